@@ -68,6 +68,14 @@ def skew_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inn
     return with_guard(facts).join(with_guard(dim), [*keys, guard], how).drop(guard)
 
 
+def dim_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", broadcast_rows: int = 100_000) -> DataFrame:
+    """skew_join, but a dim of at most so many (narrow) rows, counted, is broadcast and facts stay where they are."""
+    dim = cut(dim)
+    if dim.count() <= broadcast_rows:
+        return facts.join(F.broadcast(dim), keys, how)
+    return skew_join(facts, dim, keys, how)
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")), F.lit(n))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan
-from .common import crc_mod, table
+from . import chat, decontaminate, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, warc
+from .common import crc_mod, shared_dir, table
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -39,6 +40,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.license_scan(docs, license_scan.train(docs))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality_classifier.train(quality_classifier.split(docs), quality_classifier.split(labels))
@@ -50,6 +56,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -61,6 +71,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(turns.unionByName(hostile)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_mixing, op4_near_dedup, op6_quality_classifier, op7_quality_rules, op9_decontaminate, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_mixing, op4_near_dedup, op5_license_scan, op6_quality_classifier, op7_quality_rules, op8_warc, op9_decontaminate, op10_chat_format)}
 
 ORACLE: dict[str, str] = {}
