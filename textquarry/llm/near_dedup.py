@@ -7,11 +7,16 @@ as soon as no later rank can lower any register.  Signatures are banded; documen
 are candidates, candidates are confirmed on their full sets, and confirmed links are grouped by
 distributed star contraction.
 
-No bucket is ever expanded into all its pairs.  Each document first meets one pivot, the smallest
+No bucket is ever expanded into all its pairs.  Each document first meets one pivot, the most central
 document of its buckets.  Later rounds look only at buckets whose documents are still in different
 components, and compare a few pivots outside the bucket's largest component with the rest.  A bucket is
-settled when it has one component left or every document outside the largest one has been a pivot.
-So every candidate link between two components is checked, however large the bucket.
+settled when it has one component left or no document outside the largest one can have a link there that
+isn't checked.  So every candidate link between two components is checked, however large the bucket.
+
+Two exact bounds keep this short where thousands of copies differ by a few words.  Among the documents of large
+buckets, a shingle is rare if at most RARE of them have it.  Pairs that share a rare shingle are listed from
+these short lists and checked on their own.  All other pairs share no rare shingle, so their overlap is at most what
+either has of frequent ones, and most are ruled out by four numbers, without their sets.
 
 Edge cases: null or empty text, or text without words, has an empty set and is linked with nothing.
 Texts of fewer words than a shingle have one shingle, the whole sequence.  Rows of equal text share
@@ -26,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, chunks, connected_components, cut, hashes, lower, mix, skew_join, small_batches, windows, words
 
 BANDS, ROWS = 24, 4  # a pair at 0.85 shares no band with a chance of 2e-8, at 0.8 of 3e-6
 PIVOTS = 8
+LARGE, RARE = 16, 8  # documents of a large bucket, at least one more; of a rare shingle, at most
 
 
 def super_minhash(elements: np.ndarray, row: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -112,48 +118,89 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
     classes = cut(classes)
     member = classes.select("node", "n", F.posexplode("bands").alias("band", "value")).select("node", "n", F.xxhash64("band", "value").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1").drop("size")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = cut(skew_join(member, shared, ["bucket"]))
+    nodes = member.groupBy("node").agg(F.min("n").alias("n"), (F.max("size") > LARGE).alias("large"))
 
-    # Sets of the documents that have a candidate at all; a set's class may come from any row of that id.
-    wanted = member.select("node").distinct().withColumnRenamed("node", id_col)
+    # Sets of the documents that have a candidate at all, laid out by node: joins on it need not move them.
+    wanted = nodes.select(F.col("node").alias(id_col))
     key = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).join(wanted, id_col, "left_semi")
-    sets = cut(full_sets(key, id_col, "text", shingle).dropDuplicates(["node"]))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = cut(full_sets(key, id_col, "text", shingle).dropDuplicates(["node"]).repartition(parts, "node"))
+
+    # Of documents in large buckets: how many of their shingles are rare, and who shares one.
+    each = sets.join(nodes.where("large").select("node"), "node").select("node", F.explode("elements").alias("element"))
+    few = each.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE)
+    rare = cut(skew_join(each, few, ["element"]))
+    counts = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"), F.sum(F.when(F.col("df") == 1, 1).otherwise(0)).alias("own"))
+    nodes = nodes.join(counts, "node", "left").select("node", "n", "large", F.coalesce("rare", F.lit(0)).alias("rare"), F.coalesce("own", F.lit(0)).alias("own"))
+    nodes = cut(nodes)
+    lists = rare.where("df > 1").groupBy("element").agg(F.array_sort(F.collect_list("node")).alias("of"))  # at most RARE
+    lists = lists.select(F.explode("of").alias("a"), "of").select("a", F.explode(F.filter("of", lambda x: x > F.col("a"))).alias("b")).distinct()
+    member = cut(member.drop("n", "size").join(nodes.drop("own"), "node"))
+
+    def possible(n1: str, n2: str, most: str) -> str:
+        """Whether an overlap of at most this may be a link."""
+        return f"100 * ({most}) >= {percent} * ({n1} + {n2} - ({most}))"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b, na, nb) whose sets are similar enough; sizes alone rule out many."""
-        pairs = pairs.where("100 * least(na, nb) >= {0} * greatest(na, nb)".format(percent)).select("a", "b")
-        left = skew_join(pairs, sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), ["b"])
-        both = skew_join(left, sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), ["a"])
-        both = both.select("a", "b", F.size("ea").alias("na"), F.size("eb").alias("nb"), F.size(F.array_intersect("ea", "eb")).alias("common"))
-        return both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
-
-    sizes = classes.select(F.col("node").alias("a"), F.col("n").alias("na"))
-    first = member.groupBy(F.col("node").alias("b")).agg(F.min("head").alias("a"), F.min("n").alias("nb")).where("a < b")
-    edges = cut(confirmed(skew_join(first, sizes, ["a"])))
-    links, labels, tried = edges, connected_components(edges), None
-    labels = cut(labels)
+        """The pairs (a, b) whose full sets are similar enough.
+
+        The set of a travels to that of b; a may be the pivot of many, so that join can be split.
+        """
+        of_a = pairs.select(F.col("a").alias("node")).distinct().join(sets, "node").select(F.col("node").alias("a"), F.col("elements").alias("ea"))
+        left = skew_join(pairs.select("a", F.col("b").alias("node")), of_a, ["a"])
+        both = left.join(sets, "node").select("a", F.col("node").alias("b"), F.size("ea").alias("na"), F.size("elements").alias("nb"), F.size(F.array_intersect("ea", "elements")).alias("common"))
+        return both.where(possible("na", "nb", "common")).select("a", "b")
+
+    # What each document meets first: the one with the fewest rare shingles in any of its buckets.
+    heads = member.groupBy("bucket").agg(F.min(F.struct("rare", "node", "n")).alias("head"))
+    first = skew_join(member, heads, ["bucket"]).groupBy("node", "n").agg(F.min("head").alias("head"))
+    first = first.select(F.col("head.node").alias("a"), F.col("node").alias("b"), "n", F.col("head.n").alias("na")).where("a <> b")
+    links = cut(confirmed(first.where(possible("n", "na", "least(n, na)"))))
+    labels = cut(connected_components(links))
+
+    def grow(pairs: DataFrame) -> bool:
+        """Check pairs and take their links in; whether there were any."""
+        nonlocal links, labels
+        found = cut(confirmed(pairs))
+        if found.isEmpty():
+            return False
+        links = cut(links.unionByName(found))
+        labels = cut(connected_components(links))
+        return True
+
+    side = lambda x: nodes.join(labels, "node", "left").select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("own")).alias(f"m{x}"), F.coalesce("label", "node").alias(f"l{x}"))
+    apart = lists.join(side("a"), "a").join(side("b"), "b").where("la <> lb")
+    grow(apart.where(possible("na", "nb", "least(ma, mb)")).select("a", "b"))
+
+    tried, many = None, PIVOTS
     while True:
-        at = member.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-        groups = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
-        mixed = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("size", "label")).alias("top")).where("labels > 1").drop("labels")
+        at = member.join(labels, "node", "left").select("bucket", "node", "n", "large", "rare", F.coalesce("label", "node").alias("label"))
+        groups = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"))
+        mixed = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("size", "label")).alias("top"), F.min("least").alias("least")).where("labels > 1").drop("labels")
         at = cut(skew_join(at, mixed, ["bucket"]))
-        pivots = at.where("label <> top")
+        # A pivot that shares at most m shingles needs a partner that isn't too large for that.
+        hopeful = F.expr(f"not large or {possible('n', 'greatest(least, n - rare)', 'n - rare')}")
+        pivots = at.where(F.col("label") != F.col("top")).where(hopeful)
         if tried is not None:
             pivots = pivots.join(tried, ["bucket", "node"], "left_anti")
-        by = Window.partitionBy("bucket").orderBy("node")
-        pivots = cut(pivots.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= PIVOTS).select("bucket", F.col("node").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp")))
+        by = Window.partitionBy("bucket").orderBy("rare", "node")
+        pivots = pivots.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= many)
+        pivots = cut(pivots.select("bucket", F.col("node").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), F.col("large").alias("gp"), F.col("rare").alias("rp")))
         if pivots.isEmpty():
             break
-        near = skew_join(at, pivots.groupBy("bucket").agg(F.collect_list(F.struct("p", "np", "lp")).alias("pivots")), ["bucket"])
-        near = near.select("node", "n", "label", F.inline("pivots")).where("label <> lp").where("100 * least(n, np) >= {0} * greatest(n, np)".format(percent))
-        pairs = near.groupBy(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).agg(F.min(F.when(F.col("node") < F.col("p"), F.col("n")).otherwise(F.col("np"))).alias("na"), F.min(F.when(F.col("node") < F.col("p"), F.col("np")).otherwise(F.col("n"))).alias("nb"))
-        found = cut(confirmed(pairs))
+        of = pivots.groupBy("bucket").agg(F.collect_list(F.struct("p", "np", "lp", "gp", "rp")).alias("pivots"))  # at most so many
+        def fits(x: Column) -> Column:
+            most = F.when(F.col("large") & x["gp"], F.least(F.col("n") - F.col("rare"), x["np"] - x["rp"])).otherwise(F.least("n", x["np"]))
+            return (x["lp"] != F.col("label")) & (100 * most >= percent * (F.col("n") + x["np"] - most))
+
+        near = skew_join(at, of, ["bucket"]).select("node", F.inline(F.filter("pivots", fits)))
+        pairs = near.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
         step = pivots.select("bucket", F.col("p").alias("node"))
         tried = step if tried is None else cut(tried.unionByName(step))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = cut(connected_components(links))
+        grow(pairs)
+        many = min(4 * many, 64 * PIVOTS)  # those left are few, and mostly without links
 
     heads = classes.select("set_hash", F.col("node").alias("head"))
     out = skew_join(all_rows.drop("bands"), heads, ["set_hash"], "left")
