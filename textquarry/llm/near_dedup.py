@@ -120,7 +120,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = classes.select("node", "n", F.posexplode("bands").alias("band", "value")).select("node", "n", F.xxhash64("band", "value").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     member = cut(skew_join(member, shared, ["bucket"]))
-    nodes = member.groupBy("node").agg(F.min("n").alias("n"), (F.max("size") > LARGE).alias("large"))
+    nodes = member.groupBy("node").agg(F.min("n").alias("n"), (F.max("size") > LARGE).alias("large"), F.collect_list(F.when(F.col("size") > LARGE, F.col("bucket"))).alias("crowds"))  # at most a bucket a band
 
     # Sets of the documents that have a candidate at all, laid out by node: joins on it need not move them.
     wanted = nodes.select(F.col("node").alias(id_col))
@@ -133,7 +133,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = each.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE)
     rare = cut(skew_join(each, few, ["element"]))
     counts = rare.groupBy("node").agg(F.count(F.lit(1)).alias("rare"), F.sum(F.when(F.col("df") == 1, 1).otherwise(0)).alias("own"))
-    nodes = nodes.join(counts, "node", "left").select("node", "n", "large", F.coalesce("rare", F.lit(0)).alias("rare"), F.coalesce("own", F.lit(0)).alias("own"))
+    nodes = nodes.join(counts, "node", "left").select("node", "n", "large", "crowds", F.coalesce("rare", F.lit(0)).alias("rare"), F.coalesce("own", F.lit(0)).alias("own"))
     nodes = cut(nodes)
     lists = rare.where("df > 1").groupBy("element").agg(F.array_sort(F.collect_list("node")).alias("of"))  # at most RARE
     lists = lists.select(F.explode("of").alias("a"), "of").select("a", F.explode(F.filter("of", lambda x: x > F.col("a"))).alias("b")).distinct()
@@ -176,7 +176,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     tried, many = None, PIVOTS
     while True:
-        at = member.join(labels, "node", "left").select("bucket", "node", "n", "large", "rare", F.coalesce("label", "node").alias("label"))
+        at = member.join(labels, "node", "left").select("bucket", "node", "n", "large", "crowds", "rare", F.coalesce("label", "node").alias("label"))
         groups = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"))
         mixed = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("size", "label")).alias("top"), F.min("least").alias("least")).where("labels > 1").drop("labels")
         at = cut(skew_join(at, mixed, ["bucket"]))
@@ -187,15 +187,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pivots = pivots.join(tried, ["bucket", "node"], "left_anti")
         by = Window.partitionBy("bucket").orderBy("rare", "node")
         pivots = pivots.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= many)
-        pivots = cut(pivots.select("bucket", F.col("node").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), F.col("large").alias("gp"), F.col("rare").alias("rp")))
+        pivots = cut(pivots.select("bucket", F.col("node").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), F.col("large").alias("gp"), F.col("rare").alias("rp"), F.col("crowds").alias("cp")))
         if pivots.isEmpty():
             break
-        of = pivots.groupBy("bucket").agg(F.collect_list(F.struct("p", "np", "lp", "gp", "rp")).alias("pivots"))  # at most so many
+        of = pivots.groupBy("bucket").agg(F.collect_list(F.struct("p", "np", "lp", "gp", "rp", "cp")).alias("pivots"))  # at most so many
         def fits(x: Column) -> Column:
             most = F.when(F.col("large") & x["gp"], F.least(F.col("n") - F.col("rare"), x["np"] - x["rp"])).otherwise(F.least("n", x["np"]))
-            return (x["lp"] != F.col("label")) & (100 * most >= percent * (F.col("n") + x["np"] - most))
+            # Of the large buckets that two share, only the first lists the pair.
+            first = F.coalesce(F.array_min(F.array_intersect("crowds", x["cp"])), F.col("bucket")) == F.col("bucket")
+            return (x["lp"] != F.col("label")) & (100 * most >= percent * (F.col("n") + x["np"] - most)) & first
 
-        near = skew_join(at, of, ["bucket"]).select("node", F.inline(F.filter("pivots", fits)))
+        near = skew_join(at, of, ["bucket"]).select("node", F.inline(F.transform(F.filter("pivots", fits), lambda x: F.struct(x["p"]))))
         pairs = near.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
         step = pivots.select("bucket", F.col("p").alias("node"))
         tried = step if tried is None else cut(tried.unionByName(step))
