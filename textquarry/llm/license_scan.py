@@ -100,15 +100,27 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda w: F.btrim(w, F.lit(".+-"))), lambda w: w != "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def n_grams(words: Column) -> Column:
     """Distinct words and pairs of neighbours."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_distinct(F.concat(words, pairs))
+
+    def grams(w: Column) -> Column:
+        pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_distinct(F.concat(w, pairs))
+
+    return bound(words, grams)
 
 
 def shingles(words: Column, k: int = 5) -> Column:
-    at = F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
-    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, k), " ")))
+    def runs(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1)))
+        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, k), " ")))
+
+    return bound(words, runs)
 
 
 @dataclass(frozen=True)
