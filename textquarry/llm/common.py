@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the numpy helpers handle at once (a longer text is handled alone).
 CHUNK_BYTES = 1 << 20
+#: Removes a query's shuffle files at its end; else they stay until the driver happens to collect garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # ---------------------------------------------------------------- Spark side
@@ -38,9 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there: lost executors cost nothing done before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows to the shared folder and go on from there: lost executors cost nothing done before.
+
+    The shuffles that made the rows are of no more use then, and their files go at once.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()  # select: the plan takes the setting when it is made
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
