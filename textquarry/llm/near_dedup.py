@@ -137,7 +137,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = cut(nodes)
     lists = rare.where("df > 1").groupBy("element").agg(F.array_sort(F.collect_list("node")).alias("of"))  # at most RARE
     lists = lists.select(F.explode("of").alias("a"), "of").select("a", F.explode(F.filter("of", lambda x: x > F.col("a"))).alias("b")).distinct()
-    member = cut(member.drop("n", "size").join(nodes.drop("own"), "node"))
+    member = cut(member.drop("n", "size").join(nodes.drop("own", "crowds"), "node"))
+    crowds = nodes.select("node", "crowds")  # joined only to rows that list pairs: with every bucket of a node, these lists would be squared
 
     def possible(n1: str, n2: str, most: str) -> str:
         """Whether an overlap of at most this may be a link."""
@@ -162,12 +163,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def grow(pairs: DataFrame) -> bool:
         """Check pairs and take their links in; whether there were any."""
-        nonlocal links, labels
+        nonlocal labels
         found = cut(confirmed(pairs))
         if found.isEmpty():
             return False
-        links = cut(links.unionByName(found))
-        labels = cut(connected_components(links))
+        # Components, not documents, are what new links join.
+        ends = found
+        for x in ("a", "b"):
+            ends = ends.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")), x, "left")
+        ends = cut(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct())
+        moved = cut(connected_components(ends))
+        alone = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+        known = labels.unionByName(alone).withColumnRenamed("label", "old")
+        labels = cut(skew_join(known, moved.select(F.col("node").alias("old"), "label"), ["old"], "left").select("node", F.coalesce("label", "old").alias("label")))
         return True
 
     side = lambda x: nodes.join(labels, "node", "left").select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("own")).alias(f"m{x}"), F.coalesce("label", "node").alias(f"l{x}"))
@@ -176,7 +184,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     tried, many = None, PIVOTS
     while True:
-        at = member.join(labels, "node", "left").select("bucket", "node", "n", "large", "crowds", "rare", F.coalesce("label", "node").alias("label"))
+        at = member.join(labels, "node", "left").select("bucket", "node", "n", "large", "rare", F.coalesce("label", "node").alias("label"))
         groups = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"))
         mixed = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("size", "label")).alias("top"), F.min("least").alias("least")).where("labels > 1").drop("labels")
         at = cut(skew_join(at, mixed, ["bucket"]))
@@ -187,17 +195,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pivots = pivots.join(tried, ["bucket", "node"], "left_anti")
         by = Window.partitionBy("bucket").orderBy("rare", "node")
         pivots = pivots.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= many)
-        pivots = cut(pivots.select("bucket", F.col("node").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), F.col("large").alias("gp"), F.col("rare").alias("rp"), F.col("crowds").alias("cp")))
+        pivots = cut(pivots.select("bucket", F.col("node").alias("p"), F.col("n").alias("np"), F.col("label").alias("lp"), F.col("large").alias("gp"), F.col("rare").alias("rp")))
         if pivots.isEmpty():
             break
-        of = pivots.groupBy("bucket").agg(F.collect_list(F.struct("p", "np", "lp", "gp", "rp", "cp")).alias("pivots"))  # at most so many
+        of = pivots.join(crowds.select(F.col("node").alias("p"), F.col("crowds").alias("cp")), "p").groupBy("bucket").agg(F.collect_list(F.struct("p", "np", "lp", "gp", "rp", "cp")).alias("pivots"))  # at most so many
+
         def fits(x: Column) -> Column:
             most = F.when(F.col("large") & x["gp"], F.least(F.col("n") - F.col("rare"), x["np"] - x["rp"])).otherwise(F.least("n", x["np"]))
             # Of the large buckets that two share, only the first lists the pair.
             first = F.coalesce(F.array_min(F.array_intersect("crowds", x["cp"])), F.col("bucket")) == F.col("bucket")
             return (x["lp"] != F.col("label")) & (100 * most >= percent * (F.col("n") + x["np"] - most)) & first
 
-        near = skew_join(at, of, ["bucket"]).select("node", F.inline(F.transform(F.filter("pivots", fits), lambda x: F.struct(x["p"]))))
+        near = skew_join(at.join(crowds, "node"), of, ["bucket"]).select("node", F.inline(F.transform(F.filter("pivots", fits), lambda x: F.struct(x["p"]))))
         pairs = near.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
         step = pivots.select("bucket", F.col("p").alias("node"))
         tried = step if tried is None else cut(tried.unionByName(step))
