@@ -1,31 +1,43 @@
-"""Fuzzy queries over a string column: verdicts as native predicates.
+"""Fuzzy queries over a string column: verdicts as native predicates, scores and ranks by Arrow batches.
 
 A query is terms separated by spaces, all of which must hold; ``|`` between terms joins them as alternatives;
-``'x`` is exact, ``^x`` a prefix, ``x$`` a suffix, ``^x$`` the whole item, ``!x`` excludes; a backslash keeps a space.
+``'x`` is exact, ``'x'`` exact between word boundaries, ``^x`` a prefix, ``x$`` a suffix, ``^x$`` the whole item,
+``!x`` excludes; a backslash keeps a space.  A term without capitals ignores case, one without marked Latin letters
+ignores such marks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import alignment, fields, runes
+
 
 @dataclass(frozen=True)
 class Term:
-    kind: str  # fuzzy, exact, prefix, suffix or equal
+    kind: str  # fuzzy, exact, boundary, prefix, suffix or equal
     text: str
     inverse: bool
     sensitive: bool
+    plain: bool = False
 
     def holds(self, item: Column) -> Column:
         item = item if self.sensitive else F.lower(item)
+        if self.plain:
+            item = F.translate(item, "".join(runes.plain_letters()), "".join(runes.plain_letters().values()))
         if self.kind == "fuzzy":
             quoted = [f"\\{c}" if c in "%_\\" else c for c in self.text]
             hit = item.like("%" + "%".join(quoted) + "%")
         elif self.kind == "exact":
             hit = item.contains(self.text)
+        elif self.kind == "boundary":
+            quoted = "".join(f"\\x{{{ord(c):x}}}" for c in self.text)
+            hit = item.rlike(rf"(?<![\p{{L}}\p{{N}}]){quoted}(?![\p{{L}}\p{{N}}])")
         elif self.kind == "prefix":
             hit = (item if self.text[:1].isspace() else F.regexp_replace(item, r"(?U)\A\s+", "")).startswith(self.text)
         elif self.kind == "suffix":
@@ -35,23 +47,28 @@ class Term:
         return ~hit if self.inverse else hit
 
 
-def parse(query: str, case: str = "smart", exact: bool = False, extended: bool = True) -> list[list[Term]]:
+def parse(query: str, case: str = "smart", exact: bool = False, extended: bool = True, normalize: bool = True) -> list[list[Term]]:
     """Sets of alternative terms, all of which must hold."""
 
     def term(text: str, plain: bool = False) -> Term | None:
-        sensitive = case == "respect" or case == "smart" and text != text.lower()
-        text = text if sensitive else text.lower()
+        low = runes.lower_text(text)
+        sensitive = case == "respect" or case == "smart" and text != low
+        plain_marks = normalize and runes.plain_text(low) == low
+        text = text if sensitive else low
         kind, inverse = ("exact" if exact else "fuzzy"), False
         if not plain:
             if text.startswith("!"):
                 inverse, kind, text = True, "exact", text[1:]
             if text != "$" and text.endswith("$"):
                 kind, text = "suffix", text[:-1]
-            if text.startswith("'"):
+            if len(text) > 2 and text.startswith("'") and text.endswith("'"):
+                kind, text = "boundary", text[1:-1]
+            elif text.startswith("'"):
                 kind, text = ("exact" if not exact and not inverse else "fuzzy"), text[1:]
             elif text.startswith("^"):
                 kind, text = ("equal" if kind == "suffix" else "prefix"), text[1:]
-        return Term(kind, text, inverse, sensitive) if text else None
+            text = runes.plain_text(text) if plain_marks else text
+        return Term(kind, text, inverse, sensitive, plain_marks) if text else None
 
     if not extended:
         return [[t]] if (t := term(query, plain=True)) else []
@@ -76,10 +93,104 @@ def parse(query: str, case: str = "smart", exact: bool = False, extended: bool =
 
 
 def fuzzy_filter(df: DataFrame, item_col: str, query: str, **options) -> DataFrame:
-    """The rows whose item matches; rows keep their order column, ranking is up to the caller."""
+    """The rows whose item matches; rows keep their order column, ranking is fuzzy_rank's."""
     for terms in parse(query, **options):
         hit = F.lit(False)
         for t in terms:
             hit = hit | t.holds(F.col(item_col))
         df = df.where(hit)
     return df
+
+
+def likely(df: DataFrame, item_col: str, sets: list[list[Term]]) -> DataFrame:
+    """Drops rows that native predicates rule out; characters beyond ASCII fold differently there, so such terms wait."""
+    for terms in sets:
+        if all(t.text.isascii() for t in terms):
+            hit = F.lit(False)
+            for t in terms:
+                hit = hit | t.holds(F.col(item_col))
+            df = df.where(hit)
+    return df
+
+
+@dataclass(frozen=True)
+class Ranking:
+    """How matches are scored and ordered: a scheme (default, path, history) and up to three tiebreaks.
+
+    nth limits the search to fields between delimiters: 2, -1, 2.., ..-2 or a list of such.
+    """
+
+    scheme: str = "default"
+    tiebreak: tuple[str, ...] | None = None
+    greedy: bool = False
+    nth: str | None = None
+    delimiter: str | None = None
+
+    def order(self) -> tuple[str, ...]:
+        given = alignment.TIEBREAKS[self.scheme] if self.tiebreak is None else self.tiebreak
+        return tuple(t for t in given if t != "index")[:3]
+
+    def forward(self) -> bool:
+        return next((t in ("begin",) for t in self.order() if t in ("begin", "end", "pathname")), True)
+
+    def run(self, items: list[str], sets: list[list[Term]], places: bool = False) -> Iterator:
+        by_place = bool({"chunk", "pathname"} & set(self.order()))
+        return alignment.evaluate(items, sets, self.scheme, self.order(), self.forward(), by_place, self.greedy, places, fields.splitter(self.nth, self.delimiter) if self.nth else None)
+
+
+RANKS = ["rank3", "rank2", "rank1", "rank0"]
+
+
+def scored(df: DataFrame, item_col: str, sets: list[list[Term]], ranking: Ranking) -> DataFrame:
+    """Matching rows with their score and the four rank values (smaller first)."""
+
+    @F.pandas_udf("hit boolean, score int, rank3 int, rank2 int, rank1 int, rank0 int")
+    def fit(item: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame(0, index=range(len(item)), columns=["hit", "score", *RANKS])
+        out["hit"] = False
+        for index, hit, score, ranks, _ in ranking.run(list(item), sets):
+            out.loc[index, "hit"], out.loc[index, "score"], out.loc[index, RANKS] = hit, score, ranks
+        return out
+
+    rows = df.where(F.col(item_col).isNotNull())
+    rows = rows if ranking.nth else likely(rows, item_col, sets)
+    kept = [c for c in df.columns if c not in ("score", *RANKS)]
+    fitted = rows.select(*kept, fit(item_col).alias("_fit")).where("_fit.hit")
+    return fitted.select(*kept, *[F.col(f"_fit.{c}").alias(c) for c in ("score", *RANKS)])
+
+
+def fuzzy_rank(df: DataFrame, item_col: str, query: str, index_col: str, limit: int | None = None, ranking: Ranking = Ranking(), sort: bool = True, tac: bool = False, positions: bool = False, **options) -> DataFrame:
+    """Matching rows, best first, with score and rank values, and matched byte offsets where asked for.
+
+    Ties, and all rows of a query without sorting or without a positive term, go by the index column (tac: from
+    the last).  A null item never matches; an empty query keeps all items.  Columns score and rank0 to rank3
+    replace columns of these names.
+    """
+    sets = parse(query, **options)
+    by_index = F.col(index_col).desc() if tac else F.col(index_col).asc()
+    rows = scored(df, item_col, sets, ranking)
+    positive = not options.get("extended", True) or any(not t.inverse for terms in sets for t in terms)
+    rows = rows.orderBy(*(RANKS if sort and sets and positive else []), by_index)
+    if limit is not None:
+        rows = rows.limit(limit)
+    return with_positions(rows, item_col, sets, ranking) if positions else rows
+
+
+def with_positions(df: DataFrame, item_col: str, sets: list[list[Term]], ranking: Ranking) -> DataFrame:
+    """Adds the byte offsets of matched characters; meant for the rows that a limit kept."""
+
+    @F.pandas_udf("array<int>")
+    def offsets(item: pd.Series) -> pd.Series:
+        items, out = list(item), [[] for _ in item]
+        for index, hit, _, _, places in ranking.run(items, sets, places=True):
+            for i, ok, columns in zip(index, hit, places):
+                if ok and items[i].isascii():
+                    out[i] = columns.tolist()
+                elif ok:
+                    starts = [0]
+                    for c in items[i]:
+                        starts.append(starts[-1] + len(c.encode()))
+                    out[i] = [starts[c] for c in columns]
+        return pd.Series(out)
+
+    return df.withColumn("positions", offsets(item_col))

@@ -106,3 +106,12 @@ GIT_HASH = r"(?-u)\b[0-9a-f]{7,40}\b"
 
 def detect_git_hashes(df: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
     return only_matching(df, text_col, GIT_HASH, id_cols)
+
+
+# Fixed value: what counts as an address; marks that end a sentence don't end an address.
+URL = r"(?:https?|ftp|file)://[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]*[A-Za-z0-9\-_~/#@$&*+=%]"
+
+
+def detect_urls(df: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
+    """(ids, line_number, nth from 1, match) of every address."""
+    return only_matching(df, text_col, URL, id_cols)

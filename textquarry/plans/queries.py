@@ -25,8 +25,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register(name: str, query: Query, sql: str) -> None:
-    QUERIES[name], ORACLE[name] = query, sql
+def register(name: str, query: Query, sql: str | None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE[name] = sql
 
 
 def on_lines(name: str, pattern: str | tuple[str, ...], where: str, **options) -> None:
@@ -75,6 +77,7 @@ on_names("fuzzy_subsequence", "exorg7", "lower(url) LIKE '%e%x%o%r%g%7%'", **PAG
 on_names("fuzzy_or", "^http: org$ | net/en | 'de", "starts_with(lower(url), 'http:') AND (ends_with(lower(url), 'org') OR lower(url) LIKE '%n%e%t%/%e%n%' OR contains(lower(url), 'de'))", **PAGES)
 on_names("fuzzy_names", "ru s", "lower(p_name) LIKE '%r%u%' AND lower(p_name) LIKE '%s%'")
 on_names("fuzzy_case", "Customer 9$", "contains(c_name, 'C') AND c_name LIKE '%C%u%s%t%o%m%e%r%' AND ends_with(c_name, '9')", table="customer", key="c_custkey", item="c_name")
+on_names("fuzzy_boundary", "'en' 'example'", r"regexp_matches(lower(url), '(^|[^\p{L}\p{N}])en($|[^\p{L}\p{N}])') AND regexp_matches(lower(url), '(^|[^\p{L}\p{N}])example($|[^\p{L}\p{N}])')", **PAGES)
 on_names("fuzzy_equal", "^http://ththre.example.com/fr/825?page=2&ref=x$", "lower(url) = 'http://ththre.example.com/fr/825?page=2&ref=x'", **PAGES)
 
 
@@ -98,3 +101,24 @@ PATHS = "paths AS (SELECT DISTINCT path FROM (SELECT regexp_replace(url, '^[a-z]
 register("ignore_match", lambda s, d: ignore.verdicts(paths(s, d).withColumn("is_dir", F.lit(False)), "path", ignore.rules(s, FILES), "is_dir").drop("is_dir"), f"WITH {rules_sql(FILES)}, {PATHS}, {VERDICT.format(source='SELECT path, false AS is_dir FROM paths')} SELECT path, verdict FROM v")
 UP = "SELECT array_to_string(l[1:i], '/') AS path, i < len(l) AS is_dir FROM (SELECT l, unnest(generate_series(1, len(l))) AS i FROM (SELECT string_split(path, '/') AS l FROM paths))"
 register("ignore_check", lambda s, d: ignore.ignored(paths(s, d), "path", ignore.rules(s, FILES)), f"WITH {rules_sql(FILES)}, {PATHS}, {VERDICT.format(source=UP)} SELECT paths.path, bool_or(verdict = 'ignore') AS ignored FROM paths JOIN v ON (v.path = paths.path AND NOT v.is_dir) OR (v.is_dir AND starts_with(paths.path, v.path || '/')) GROUP BY paths.path")
+
+
+def on_ranks(name: str, query: str, sql: str | None = None, limit: int | None = None, **options) -> None:
+    """Best matches of every page address; a limit is a top-k report."""
+    register(name, lambda s, d: fuzzy.fuzzy_rank(read(s, d, "pages").select("page_id", "url"), "url", query, "page_id", limit, **options), sql)
+
+
+RANKED = """SELECT page_id, url, CAST({score} AS INT) AS score, CAST(65535 - ({score}) AS INT) AS rank3, CAST(length(trim(url)) AS INT) AS rank2, 0 AS rank1, 0 AS rank0 FROM pages WHERE {where}"""
+# A whole prefix scores 16 a letter, the bonus of a white boundary twice for the first and once for the others.
+on_ranks("fuzzy_rank_prefix", "^http", RANKED.format(score="4 * 16 + 10 * 2 + 3 * 10", where="starts_with(lower(url), 'http')"))
+on_ranks("fuzzy_rank_equal", "^http://ththre.example.com/fr/825?page=2&ref=x$", RANKED.format(score="(16 + 10) * length(url) + 10", where="lower(url) = 'http://ththre.example.com/fr/825?page=2&ref=x'"))
+on_ranks("fuzzy_rank_inverse", "!blog", RANKED.format(score="0", where="NOT contains(lower(url), 'blog')"))
+on_ranks("fuzzy_rank", "exorg7")
+on_ranks("fuzzy_rank_path", "enx", ranking=fuzzy.Ranking("path"))
+on_ranks("fuzzy_rank_chunk_end", "ex 'page", ranking=fuzzy.Ranking(tiebreak=("chunk", "end")))
+on_ranks("fuzzy_rank_nth", "8", ranking=fuzzy.Ranking(nth="-1", delimiter="/"))
+on_ranks("fuzzy_rank_greedy", "htcom", ranking=fuzzy.Ranking(greedy=True))
+on_ranks("fuzzy_top", "comfr", limit=20, ranking=fuzzy.Ranking("path"), positions=True)
+URLS = r"(?:https?|ftp|file)://[A-Za-z0-9\-._~:/?#\[\]@!$&''()*+,;=%]*[A-Za-z0-9\-_~/#@$&*+=%]"
+HTML_LINES = LINES.replace("doc_id", "page_id").replace("text", "html").replace("documents", "pages")
+register("detect_urls", lambda s, d: grep.detect_urls(read(s, d, "pages"), "html", ["page_id"]), f"WITH {HTML_LINES}, m AS (SELECT page_id, line_number, regexp_extract_all(html, '{URLS}') AS m FROM lines) SELECT page_id, line_number, CAST(i AS BIGINT) AS nth, m[i] AS match FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM m)")
