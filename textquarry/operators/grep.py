@@ -115,3 +115,18 @@ URL = r"(?:https?|ftp|file)://[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]*[A-Za-z0-9\-
 def detect_urls(df: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
     """(ids, line_number, nth from 1, match) of every address."""
     return only_matching(df, text_col, URL, id_cols)
+
+
+def printed(found: DataFrame, path_col: str, column: bool = False) -> DataFrame:
+    """Search results as text lines, by path component and line: path:line:text, with - around context lines.
+
+    Where context lines are among them, a line ``--`` goes before each new region of a document but the first.
+    """
+    by = Window.partitionBy(path_col).orderBy("line_number")
+    mark = F.when(F.col("kind") == "match", ":").otherwise("-")
+    fields = ["line_number", *(["column"] if column else [])]
+    text = F.concat(path_col, mark, *[x for c in fields for x in (F.col(c).cast("string"), mark)], "text")
+    apart = F.col("line_number") - F.lag("line_number").over(by) > 1
+    context = F.max((F.col("kind") == "context").cast("int")).over(Window.partitionBy(path_col)) == 1
+    shown = found.select(path_col, "line_number", F.when(apart & context, F.array(F.lit("--"), text)).otherwise(F.array(text)).alias("_lines"))
+    return shown.select(F.split(path_col, "/").alias("_key"), "line_number", F.posexplode("_lines").alias("_nth", "value")).orderBy("_key", "line_number", "_nth").select("value")
