@@ -120,3 +120,8 @@ def test_plain_letters():
     assert runes.plain_text("ÅéßøŁłſǎ") == "AesoŁlsa" and plain["Ａ"] == "A"
     assert "ấ" not in plain and "Ā" not in plain
     assert np.array_equal(runes.plain_table(128), np.arange(128))
+
+
+def test_items_are_scored_once_and_a_limit_stays_a_top_k(spark):
+    plan = QUERIES["fuzzy_top"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[fit(") == 1 and "TakeOrderedAndProject" in plan and "Exchange" not in plan

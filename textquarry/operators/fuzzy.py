@@ -152,6 +152,8 @@ def scored(df: DataFrame, item_col: str, sets: list[list[Term]], ranking: Rankin
             out.loc[index, "hit"], out.loc[index, "score"], out.loc[index, RANKS] = hit, score, ranks
         return out
 
+    # Not told to be deterministic, lest the filter gets an evaluation of its own.
+    fit = fit.asNondeterministic()
     rows = df.where(F.col(item_col).isNotNull())
     rows = rows if ranking.nth else likely(rows, item_col, sets)
     kept = [c for c in df.columns if c not in ("score", *RANKS)]
@@ -193,4 +195,5 @@ def with_positions(df: DataFrame, item_col: str, sets: list[list[Term]], ranking
                     out[i] = [starts[c] for c in columns]
         return pd.Series(out)
 
-    return df.withColumn("positions", offsets(item_col))
+    # Not told to be deterministic, lest it moves below the limit and a full sort replaces the top-k.
+    return df.withColumn("positions", offsets.asNondeterministic()(item_col))
