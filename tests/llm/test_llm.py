@@ -68,6 +68,22 @@ def test_near_dedup_hot_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == components(texts, 3, 85)
 
 
+def test_near_dedup_beside_a_crowd(spark):
+    """Pairs of near copies that hold a passage of a crowd: by chance, one of a pair shares a large bucket and the other doesn't."""
+    rng = random.Random(7)
+    passage, texts = [f"w{i}" for i in range(120)], {}
+    for i in range(150):  # all their shingles are frequent
+        texts[i] = " ".join(passage + [f"c{j}x{v}x{k}" for j in range(10) for v in [rng.randrange(2)] for k in range(4)])
+    for i in range(60):
+        words = passage + [f"p{i}x{j}" for j in range(150)]
+        texts[1000 + 2 * i] = " ".join(words)
+        for _ in range(3):
+            words[rng.randrange(len(words))] = f"y{i}"
+        texts[1001 + 2 * i] = " ".join(words)
+    got = near_dedup.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle=3, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == components(texts, 3, 85)
+
+
 def test_near_dedup_odd(odd):
     got = near_dedup.near_dedup(odd).collect()
     assert len(got) == len(ROWS)

@@ -16,7 +16,8 @@ isn't checked.  So every candidate link between two components is checked, howev
 Two exact bounds keep this short where thousands of copies differ by a few words.  Among the documents of large
 buckets, a shingle is rare if at most RARE of them have it.  Pairs that share a rare shingle are listed from
 these short lists and checked on their own.  All other pairs share no rare shingle, so their overlap is at most what
-either has of frequent ones, and most are ruled out by four numbers, without their sets.
+either has of frequent ones, and most are ruled out by four numbers, without their sets.  Where one of two stands in
+small buckets alone, its rare shingles are in no list, and only sizes rule the pair out.
 
 Edge cases: null or empty text, or text without words, has an empty set and is linked with nothing.
 Texts of fewer words than a shingle have one shingle, the whole sequence.  Rows of equal text share
@@ -185,11 +186,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tried, many = None, PIVOTS
     while True:
         at = member.join(labels, "node", "left").select("bucket", "node", "n", "large", "rare", F.coalesce("label", "node").alias("label"))
-        groups = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"))
-        mixed = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("size", "label")).alias("top"), F.min("least").alias("least")).where("labels > 1").drop("labels")
+        groups = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.min("large").alias("listed"))
+        mixed = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("size", "label")).alias("top"), F.min("least").alias("least"), F.min("listed").alias("listed")).where("labels > 1").drop("labels")
         at = cut(skew_join(at, mixed, ["bucket"]))
-        # A pivot that shares at most m shingles needs a partner that isn't too large for that.
-        hopeful = F.expr(f"not large or {possible('n', 'greatest(least, n - rare)', 'n - rare')}")
+        # A pivot that shares at most m shingles needs a partner that isn't too large for that.  Rare shingles are
+        # listed among documents of large buckets only, so the bound holds where all of a bucket are such.
+        hopeful = F.expr(f"not listed or {possible('n', 'greatest(least, n - rare)', 'n - rare')}")
         pivots = at.where(F.col("label") != F.col("top")).where(hopeful)
         if tried is not None:
             pivots = pivots.join(tried, ["bucket", "node"], "left_anti")
