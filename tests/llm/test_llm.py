@@ -112,6 +112,23 @@ def test_secrets(spark, odd):
     assert secret_scan.redact(odd).columns == odd.columns and secret_scan.redact(odd).count() == len(ROWS)
 
 
+def test_private_keys(spark):
+    """Keys of four sources: one is copied by all, in several wrappings; the others are each their owner's."""
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    line = lambda i, j, n=64: (hashlib.sha512(f"{i} {j}".encode()).hexdigest().upper() * 2)[:n]
+    body = lambda i, sep="\n": sep.join([line(i, 0), line(i, 1), line(i, 2, 10) + "=="])
+    whole = lambda i, sep="\n": f"{begin}{sep}{body(i, sep)}{sep}{end}"
+    rows = [(i, f"é a\n{whole(i)}\nz {whole('shared', sep)} y", f"s{i}") for i, sep in enumerate(("\n", "\\n", "\r\n", "\n> "))]
+    rows += [(4, f"a\n{begin}\nProc-Type: 4,ENCRYPTED\n\n{body(4)}\nthe rest stays", "s4"), (5, f"a {begin} is how a key begins", "s5"), (6, begin + " x-y" * 50_000, "s6"), (7, f"{begin}\n" + "\n".join(line(7, j) for j in range(3000)), "s7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "pem"] for r in secret_scan.secret_scan(docs).collect()}
+    assert [[s["copied"] for s in found[i]] for i in range(8)] == [[False, True]] * 4 + [[False], [], [], [False]]
+    assert len({s["hash"] for i in range(4) for s in found[i]}) == 5
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert all(clean[i] == t.replace(whole(i), "[SECRET]") for i, t, _ in rows[:4])
+    assert clean[4] == "a\n[SECRET]\nthe rest stays" and clean[7] == "[SECRET]" and all(clean[i] == rows[i][1] for i in (5, 6))
+
+
 def test_language(spark, odd):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = QUERIES["op2_language_id"](spark, SF).collect()

@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions alone.
 
 Candidates are found in whole texts, each with its kind and code-point span.  The hash of every
-candidate's value is then counted over the corpus by distinct repositories and owners.  A value that
+candidate's value (of a private key, its body) is then counted over the corpus by distinct repositories and owners.  A value that
 many owners have is a widely copied example; one that few have looks live.
 
 Counting first reduces candidates to distinct (hash, repository, owner), with partial aggregation, and
@@ -9,7 +9,8 @@ verdicts come back to documents by a join in which hot hashes can be split.
 
 Edge cases: null text is empty.  A null repository or owner counts as one of its own.  Rows of equal id
 share their verdicts; rows without an id are told apart by their texts.  Spans of one kind never overlap;
-spans of two kinds may.  Extra columns are ignored (and kept by ``redact``); an empty table gives an empty result.
+spans of two kinds may.  A private key is redacted from its BEGIN line to its END line; a BEGIN line without a body
+is no candidate.  Extra columns are ignored (and kept by ``redact``); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +23,15 @@ from .common import cut, skew_join, unused
 either_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 NAMES = "|".join([*(either_case(w) for w in ("password", "passwd", "secret", "token")), either_case("api") + "_?" + either_case("key")])
 ASSIGN = rf"""({NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A key's block ends at its END line; without one, at the end of its base64 body: headers, a long run, and then long runs or lines of one run.
+EDGE = "PRIVATE KEY-----"
+LEAD = r"""(?:[\s"'#>*,;|]|//\x20|\\+[nrt])*+"""
+RUN = LEAD + "[A-Za-z0-9+/]{16,}+={0,2}+"
+LAST = r"""(?:\n|\\+n)""" + LEAD + r"""[A-Za-z0-9+/]++={0,2}+(?=[\x20\t"',;]*+(?:[\r\n]|\\+[nr]|\z))"""
+BODY = rf"(?:(?:{LEAD}[A-Za-z][A-Za-z-]*+:\x20[^\n\\]*+)*+{RUN}(?:{RUN}|{LAST})*+)?+"
+PEM = rf"-----BEGIN [A-Z ]{{0,20}}{EDGE}([^-]*+(?:-{{1,4}}[^-]++)*+(?=-----END [A-Z ]{{0,20}}{EDGE})|{BODY})(?:-----END [A-Z ]{{0,20}}{EDGE})?+"
+#: What isn't part of a key's body: line breaks (written out, too), leaders, quotes.
+WRAPPING = r"\\+[nrt]|[^A-Za-z0-9+/=]"
 #: kind: (pattern, group of the value, least length of the value), in the order that breaks ties.
 KINDS: dict[str, tuple[str, int, int]] = {
     "assign": (ASSIGN, 2, 8),
@@ -29,7 +39,7 @@ KINDS: dict[str, tuple[str, int, int]] = {
     "hex": ("[0-9a-f]{32,}", 0, 32),
     "github": ("gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 26),
-    "pem": ("-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 20),
+    "pem": (PEM, 1, 20),
 }
 BASE = ("assign", "access", "hex")
 ANY = "|".join(f"(?:{p})" for p, _, _ in KINDS.values())
@@ -41,13 +51,15 @@ def spans_of(text: Column, kind: str) -> Column:
     pattern, group, least = KINDS[kind]
     no = list(KINDS).index(kind)
     match, value, piece = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
+    if kind == "pem":  # one key has one hash, however it is wrapped
+        value = F.transform(value, lambda v: F.regexp_replace(v, WRAPPING, ""))
     rows = F.arrays_zip(match.alias("m"), value.alias("v"), F.slice(piece, 1, F.size(match)).alias("p"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(no).alias("no"), F.lit(kind).alias("kind"), end.alias("end"), F.sha2(x["v"], 256).alias("hash"), F.length(x["v"]).alias("width"))
+        span = F.struct(start.alias("start"), F.lit(no).alias("no"), F.lit(kind).alias("kind"), end.alias("end"), F.sha2(x["v"], 256).alias("hash"), F.length(x["m"] if kind == "pem" else x["v"]).alias("width"))
         found = F.when(F.length(x["v"]) >= least, F.concat(a["spans"], F.array(span))).otherwise(a["spans"])
         return F.struct(end.alias("at"), found.cast(SPAN).alias("spans"))
 
