@@ -166,6 +166,14 @@ def test_licenses(spark, odd):
     assert license_scan.license_scan(odd, model).count() == 0 and license_scan.license_scan(odd.limit(0), model).count() == 0
 
 
+def test_wrapped_licenses(spark, odd):
+    mit, gpl = license_scan.NOTICES["MIT"][2].split(" "), license_scan.NOTICES["GPL"][1].split(" ")
+    wrap = lambda words, lead: "\n".join(lead + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    rows = [(1, "x = 1\n\n" + wrap(mit, " * ") + "\n *\n * Other words"), (2, wrap(gpl, "dnl ") + "\n" + license_scan.NOTICES["CC-BY-NC"][0]), (3, "// SPDX-License-Identifier: MIT Copyright (c) 2020 X"), (3, wrap(mit, "# ")), (4, wrap(mit[:9], "") + "\n\n" + wrap(mit[9:14], ""))]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.train(odd)).where("confirmed").collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [(1, 1, "MIT"), (2, 0, "CC-BY-NC"), (2, 0, "GPL"), (3, 0, "MIT"), (3, 0, "MIT")]
+
+
 def test_quality(spark, odd):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = QUERIES["op6_quality_classifier"](spark, SF).collect()

@@ -1,16 +1,18 @@
 """Licence scans, in DataFrame functions and Spark's own logistic regression.
 
-A sparse multinomial model on word 1- and 2-grams tells the licence family of a paragraph (a line).  It is
+A sparse multinomial model on word 1- and 2-grams tells the licence family of a paragraph and of each of its lines.  A
+paragraph is a run of lines between lines without a letter or digit, so notices may be wrapped, and comment leaders don't matter.  It is
 trained on the notices below and, for the class of unknown paragraphs, on a bounded sample of the corpus.  Its
 features are n-grams of the notices that hold a cue word, one that is rare in the sample; so a
 paragraph without cue words has no feature, is unknown by construction, and needs no scoring.
-Probabilities are calibrated by a temperature found on rows held out of the fit.  A predicted family is then compared
-with its notices: it is confirmed if 80 of 100 of a notice's 5-word shingles are in the paragraph.
+Probabilities are calibrated by a temperature found on rows held out of the fit.  A family is
+confirmed if 80 of 100 of the 5-word shingles of one of its notices are in the paragraph, predicted or not, as a paragraph
+may hold several.  A paragraph has a row for each family that is predicted or confirmed, of its best line or of the whole.
 
-Equal paragraphs are scored once, however many documents hold them; verdicts go back to all of them.
+Paragraphs and lines of equal features and notice shingles are scored once, however many documents hold them.
 
 Edge cases: null text is empty.  Texts without a licence give no row.  Notices of fewer than five words
-count as one shingle.  Null and repeated ids are kept as they are, a row for each.  Extra columns are ignored; an empty table gives an
+are one shingle, looked up among the paragraph's runs of as many words.  Null and repeated ids are kept as they are, a row for each.  Extra columns are ignored; an empty table gives an
 empty result.
 """
 
@@ -127,6 +129,7 @@ def shingles(words: Column, k: int = 5) -> Column:
 class Model:
     classes: list[str]
     cues: list[str]
+    features: list[str]
     weights: DataFrame  # (feature, w array<double>), at most as many rows as the notices have n-grams
     bias: list[float]
     temperature: float
@@ -142,8 +145,14 @@ def notice_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, line string")
 
 
-def lines_of(docs: DataFrame, text_col: str) -> Column:
-    return F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+def paragraphs_of(docs: DataFrame, text_col: str) -> Column:
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"(?im)^[\x20\t]*+(?:dnl|rem)(?=[\x20\t\r\n]|\z)", "")  # leaders that are words
+    return F.split(text, r"\n(?:[^\p{L}\p{N}\n]*+\n)++", -1)
+
+
+def units(paragraph: Column) -> Column:
+    """A paragraph and its lines."""
+    return F.array_distinct(F.concat(F.array(paragraph), F.split(paragraph, "\n", -1)))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_unknown: int = 3000, rare: float = 0.01) -> Model:
@@ -153,7 +162,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_u
     notices = notice_rows(spark).withColumn("words", tokens(F.col("line")))
     known = [r[0] for r in notices.where(F.col("family") != UNKNOWN).select(F.explode(shingles(F.col("words")))).distinct().collect()]
     some = docs.where(unit_hash(F.col(id_col).cast("string"), seed=23) < min(1.0, max_unknown / 8 / max(1, n)))
-    some = some.select(F.explode(lines_of(docs, text_col)).alias("line")).withColumn("words", tokens(F.col("line"))).where(F.size("words") > 0)
+    some = some.select(F.explode(paragraphs_of(docs, text_col)).alias("paragraph")).select(F.explode(units(F.col("paragraph"))).alias("line")).withColumn("words", tokens(F.col("line"))).where(F.size("words") > 0)
     some = some.where(~F.arrays_overlap(shingles(F.col("words")), F.lit(known))).orderBy(F.xxhash64("line")).limit(max_unknown)
     some = cut(some.select(F.lit(UNKNOWN).alias("family"), "line", "words"))
     total = max(1, some.count())
@@ -175,7 +184,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_u
         raise ValueError("the model has fewer classes than there are families")
     rows = [(f, [float(x) for x in table[:, i]]) for i, f in enumerate(vectors.vocabulary) if table[:, i].any()]
     weights = spark.createDataFrame(rows, "feature string, w array<double>")
-    model = Model(classes, cues, weights, bias, 1.0)
+    model = Model(classes, cues, [f for f, _ in rows], weights, bias, 1.0)
     held = cut(every.where("held").select("label", "features").withColumn("key", F.monotonically_increasing_id().cast("string")))
     # The calibration rows are written, so their keys are fixed.
     z = logits(held.select("key", "features"), model).join(held.select("key", "label"), "key")
@@ -183,7 +192,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_u
     grid = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
     losses = z.agg(*(loss(t).alias(str(i)) for i, t in enumerate(grid))).first()
     best = min((x, t) for x, t in zip(losses, grid)) if losses[0] is not None else (0.0, 1.0)
-    return Model(classes, cues, weights, bias, best[1])
+    return Model(classes, cues, [f for f, _ in rows], weights, bias, best[1])
 
 
 def logits(rows: DataFrame, model: Model) -> DataFrame:
@@ -198,19 +207,37 @@ def logits(rows: DataFrame, model: Model) -> DataFrame:
 def license_scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, percent: int = 80) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed): the licences of all paragraphs, numbered from 0."""
     spark = docs.sparkSession
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines_of(docs, text_col)).alias("paragraph", "line"))
-    hits = lines.withColumn("words", tokens(F.col("line"))).where(F.arrays_overlap("words", F.lit(model.cues)))
-    hits = cut(hits.select("doc_id", "paragraph", "line", F.sha2("line", 256).alias("key")))
-    once = hits.groupBy("key").agg(F.first("line").alias("line")).withColumn("words", tokens(F.col("line")))
-    has_cue = lambda g: F.arrays_overlap(F.split(g, " "), F.lit(model.cues))
-    once = cut(once.select("key", F.filter(n_grams(F.col("words")), has_cue).alias("features"), shingles(F.col("words")).alias("shingles")))
+    notices = notice_rows(spark).where(F.col("family") != UNKNOWN).select("family", "line", F.explode(shingles(tokens(F.col("line")))).alias("shingle"), F.size(shingles(tokens(F.col("line")))).alias("total"))
+    rows = notices.select("shingle").distinct().collect()  # fixed
+    listed = sorted(r[0] for r in rows)
+    lengths = sorted({len(x.split(" ")) for x in listed})  # of short notices, less than 5
+
+    def told_by(words: Column) -> Column:
+        """Features and notice shingles of a unit; null without a cue."""
+
+        def parts(w: Column) -> Column:
+            features = F.array_sort(F.array_intersect(n_grams(w), F.lit(model.features)))
+            known = F.array_sort(F.array_intersect(F.concat(*(shingles(w, k) for k in lengths)), F.lit(listed)))
+            return F.when(F.arrays_overlap(w, F.lit(model.cues)), F.struct(features.alias("features"), known.alias("known")))
+
+        return bound(words, parts)
+
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(paragraphs_of(docs, text_col)).alias("paragraph", "body"))
+    parts = whole.select("doc_id", "row", "paragraph", F.explode(units(F.col("body"))).alias("line")).select("doc_id", "row", "paragraph", told_by(tokens(F.col("line"))).alias("told"))
+    hits = parts.select("doc_id", "row", "paragraph", "told.*").where("size(features) > 0 or size(known) > 0")
+    hits = cut(hits.select("doc_id", "row", "paragraph", "features", "known", F.sha2(F.concat(F.array_join("features", "\n"), F.lit("\n\n"), F.array_join("known", "\n")), 256).alias("key")))
+    once = cut(hits.groupBy("key").agg(F.first("features").alias("features"), F.first("known").alias("known")))
     p = softmax(F.transform("z", lambda x: x / F.lit(model.temperature)))
-    told = logits(once.select("key", "features"), model).withColumn("p", p).withColumn("probability", F.array_max("p"))
-    told = told.withColumn("family", F.element_at(F.lit(model.classes), F.array_position("p", F.col("probability")).cast("int")))
-    told = told.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least)).select("key", "family", "probability")
-    notices = notice_rows(spark).where(F.col("family") != UNKNOWN).select("family", shingles(tokens(F.col("line"))).alias("notice"))
-    compared = told.join(once.select("key", "shingles"), "key").join(F.broadcast(notices), "family")
-    alike = F.size(F.array_intersect("shingles", "notice")) * 100 / F.size("notice")
-    verdicts = compared.groupBy("key", "family", "probability").agg(F.max(alike).alias("similarity"))
-    out = dim_join(hits.drop("line"), verdicts, ["key"])
-    return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 4).alias("probability"), F.round(F.col("similarity") / 100, 4).alias("similarity"), (F.col("similarity") >= percent).alias("confirmed"))
+    scores = cut(logits(once.select("key", "features"), model).select("key", p.alias("p")))
+    best = scores.withColumn("probability", F.array_max("p"))
+    best = best.withColumn("family", F.element_at(F.lit(model.classes), F.array_position("p", F.col("probability")).cast("int")))
+    predicted = best.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least)).select("key", "family", F.lit(True).alias("predicted"))
+    shared = once.select("key", F.explode("known").alias("shingle")).join(F.broadcast(notices), "shingle")
+    alike = shared.groupBy("key", "family", "line", "total").agg(F.count(F.lit(1)).alias("common"))
+    alike = alike.groupBy("key", "family").agg(F.max(F.col("common") * 100 / F.col("total")).alias("similarity"))
+    verdicts = predicted.join(alike, ["key", "family"], "full").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    verdicts = verdicts.where(F.col("predicted") | (F.col("similarity") >= percent)).join(scores, "key")
+    verdicts = verdicts.select("key", "family", "similarity", F.element_at("p", F.array_position(F.lit(model.classes), F.col("family")).cast("int")).alias("probability"))
+    out = dim_join(hits.drop("features", "known"), verdicts, ["key"])
+    out = out.groupBy("row", "paragraph", "family").agg(F.first("doc_id").alias("doc_id"), F.max(F.struct("similarity", "probability")).alias("best"))
+    return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("best.probability", 4).alias("probability"), F.round(F.col("best.similarity") / 100, 4).alias("similarity"), (F.col("best.similarity") >= percent).alias("confirmed"))
