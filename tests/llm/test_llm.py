@@ -174,6 +174,16 @@ def test_wrapped_licenses(spark, odd):
     assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [(1, 1, "MIT"), (2, 0, "CC-BY-NC"), (2, 0, "GPL"), (3, 0, "MIT"), (3, 0, "MIT")]
 
 
+def test_license_headings(spark):
+    """A heading that a source repeats in each document takes nothing from the notices."""
+    rows = [(i, f"MIT License\nchapter {i} of a tale" if i % 3 == 0 else f"a tale of {i} pages\nand {i + 7} rivers") for i in range(600)] + [(1000, "Released under the MIT License.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = license_scan.train(docs)
+    assert {"mit", "license", "mit license"} <= set(model.cues) | set(model.features) and "mit" in model.cues
+    got = license_scan.license_scan(docs, model).where("doc_id = 1000").collect()
+    assert [(r["family"], r["confirmed"]) for r in got] == [("MIT", True)]
+
+
 def test_quality(spark, odd):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = QUERIES["op6_quality_classifier"](spark, SF).collect()

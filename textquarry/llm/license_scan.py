@@ -3,8 +3,9 @@
 A sparse multinomial model on word 1- and 2-grams tells the licence family of a paragraph and of each of its lines.  A
 paragraph is a run of lines between lines without a letter or digit, so notices may be wrapped, and comment leaders don't matter.  It is
 trained on the notices below and, for the class of unknown paragraphs, on a bounded sample of the corpus.  Its
-features are n-grams of the notices that hold a cue word, one that is rare in the sample; so a
-paragraph without cue words has no feature, is unknown by construction, and needs no scoring.
+features are n-grams of the notices that hold a cue word, any word of the notices but English function words; so a
+paragraph without cue words has no feature, is unknown by construction, and needs no scoring.  What is scored thus depends
+on the notices alone; the sample, of distinct lines and paragraphs, decides the weights.
 Probabilities are calibrated by a temperature found on rows held out of the fit.  A family is
 confirmed if 80 of 100 of the 5-word shingles of one of its notices are in the paragraph, predicted or not, as a paragraph
 may hold several.  A paragraph has a row for each family that is predicted or confirmed, of its best line or of the whole.
@@ -95,6 +96,8 @@ OTHERS = [
     "This version of the program is distributed in several countries.",
     "Common terms and conditions of sale are published by the foundation.",
 ]
+#: Words of the notices that are no cues.
+FUNCTION_WORDS = "a above all along an and any are as at be been by can for have if in is it may must no not of on or provided should such that the this to under unless with without you".split()
 
 
 def tokens(text: Column) -> Column:
@@ -155,20 +158,20 @@ def units(paragraph: Column) -> Column:
     return F.array_distinct(F.concat(F.array(paragraph), F.split(paragraph, "\n", -1)))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_unknown: int = 3000, rare: float = 0.01) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_unknown: int = 3000) -> Model:
     """Fit on the notices and at most max_unknown paragraphs of the corpus, drawn by a hash."""
     spark = docs.sparkSession
     n = docs.count()
     notices = notice_rows(spark).withColumn("words", tokens(F.col("line")))
-    known = [r[0] for r in notices.where(F.col("family") != UNKNOWN).select(F.explode(shingles(F.col("words")))).distinct().collect()]
+    # Short lines that stand in a notice, such as headings, are no unknown ones.
+    runs = F.concat(*(shingles(F.col("words"), k) for k in range(1, 6)))
+    known = [r[0] for r in notices.where(F.col("family") != UNKNOWN).select(F.explode(runs)).distinct().collect()]
     some = docs.where(unit_hash(F.col(id_col).cast("string"), seed=23) < min(1.0, max_unknown / 8 / max(1, n)))
-    some = some.select(F.explode(paragraphs_of(docs, text_col)).alias("paragraph")).select(F.explode(units(F.col("paragraph"))).alias("line")).withColumn("words", tokens(F.col("line"))).where(F.size("words") > 0)
+    some = some.select(F.explode(paragraphs_of(docs, text_col)).alias("paragraph")).select(F.explode(units(F.col("paragraph"))).alias("line")).distinct().withColumn("words", tokens(F.col("line"))).where(F.size("words") > 0)
     some = some.where(~F.arrays_overlap(shingles(F.col("words")), F.lit(known))).orderBy(F.xxhash64("line")).limit(max_unknown)
     some = cut(some.select(F.lit(UNKNOWN).alias("family"), "line", "words"))
-    total = max(1, some.count())
-    common = some.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().where(F.col("count") > rare * total).select("word")
-    cues = notices.where(F.col("family") != UNKNOWN).select(F.explode("words").alias("word")).distinct().join(F.broadcast(common), "word", "left_anti")
-    cues = sorted(r[0] for r in cues.where(F.length("word") > 1).collect())  # words of the notices alone
+    cues = notices.where(F.col("family") != UNKNOWN).select(F.explode("words").alias("word")).distinct()
+    cues = sorted(r[0] for r in cues.where((F.length("word") > 1) & ~F.col("word").isin(FUNCTION_WORDS)).collect())
     has_cue = lambda g: F.arrays_overlap(F.split(g, " "), F.lit(cues))
     # Notices weigh as much as the sample: each stands several times.
     every = notices.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(10)))).drop("copy").unionByName(some)
