@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
 #: Removes a query's shuffle files at its end; else they stay until the driver happens to collect garbage.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Narrow rows of a partition of a small table.
+PART_ROWS = 50_000
 
 
 # ---------------------------------------------------------------- Spark side
@@ -29,34 +31,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, set here only where the session has none."""
+    """The folder that driver and executors share; where the session names none, one in its warehouse, which they share too."""
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{uuid.uuid4().hex}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
     """Write the rows to the shared folder and go on from there: lost executors cost nothing done before.
 
-    The shuffles that made the rows are of no more use then, and their files go at once.
+    The shuffles that made the rows are of no more use then, and their files go at once.  With keep_layout, Spark
+    still knows by what the rows are partitioned, so that joins on it don't move them again; it forgets that of
+    plans that adapt while they run.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
+    settings = {FREE_SHUFFLES: "true"} | ({"spark.sql.adaptive.enabled": "false"} if keep_layout else {})
+    before = {k: spark.conf.get(k, "false") for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        return df.select("*").checkpoint()  # select: the plan takes the setting when it is made
+        return df.select("*").checkpoint()  # select: the plan takes the settings when it is made
     finally:
-        spark.conf.set(FREE_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def parts_for(n: int, rows: int = PART_ROWS) -> int:
+    """How many partitions n narrow rows need."""
+    return max(1, -(-n // rows))
+
+
+def packed(df: DataFrame) -> tuple[DataFrame, int]:
+    """Narrow rows, written, counted and put in as few partitions as they need.
+
+    A small table in as many partitions as the session's shuffles have costs its tasks' overhead in each later step.
+    """
+    out = cut(df)
+    n = out.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()
+    return out.coalesce(parts_for(n)), n
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -87,6 +104,12 @@ def dim_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inne
     return skew_join(facts, dim, keys, how)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A key of a row's id and text, either of which may be null; rows of equal key say the same."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    return F.md5(F.concat(F.length(part(id_col)), F.lit(":"), part(id_col), part(text_col)))
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")), F.lit(n))
 
@@ -101,30 +124,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: the edges always stay as few as they were and shrink to stars.
     Each half round groups by a node with partial minima and joins back with splittable skew, so a hub
-    is never gathered in one task.
+    is never gathered in one task.  A large star over edges that are stars already tells so.
     """
+    e, n = packed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    few = lambda df: df.coalesce(parts_for(2 * n))
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Rows (a, b) with the least m of a and all its b."""
+        return few(skew_join(rows, few(rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))), ["a"]))
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        # e: (a, b) with b < a.  Large: every node tells its greater neighbours of its least one.
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        joined = skew_join(both, least, ["a"])
-        if large:
-            out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum("b"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first())
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    now = mark(e)
     while True:
-        e = cut(star(star(e, True), False))
-        before, now = now, mark(e)
-        if now == before:
+        large = cut(met(few(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))))
+        if not large.where("m <> least(a, b)").count():
             break
-    roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
+        small = met(few(large.where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()))
+        ends = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        e = cut(few(ends.where("a <> b").distinct()))
+    leaves = large.where("b < a").select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return leaves.unionByName(few(leaves.select("label").distinct()).select(F.col("label").alias("node"), "label"))
 
 
 # ---------------------------------------------------------------- numpy side
@@ -192,12 +209,16 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n; those of very long texts aren't kept."""
     if len(_powers.get("up", ())) < n:
         up = np.full(n, _BASE, dtype=np.uint64)
         up[0] = 1
         down = np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
         down[0] = 1
-        _powers["up"], _powers["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        both = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if n > 4 * CHUNK_BYTES:
+            return both
+        _powers["up"], _powers["down"] = both
     return _powers["up"], _powers["down"]
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, hashes, lower, small_batches, spans, windows
+from .common import buffers, chunks, hashes, lower, spans, windows
 
 K1, B = 1.2, 0.75
 ITEMS = 50_000
@@ -177,7 +177,6 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, score, n_shingles, n_found, question_found, answer_found), the best passage of each pair."""
     spark = docs.sparkSession
-    small_batches(spark)
     whole = F.coalesce(F.col(item_text_col), F.lit(""))
     answer = F.coalesce(F.col(answer_col), F.lit("")) if answer_col else last_part(F.col(item_text_col))
     body = F.rtrim(whole)

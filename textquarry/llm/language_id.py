@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, unit_hash, unused
+from .common import cut, unit_hash, unused
 
 BITS = 15
 UNKNOWN = "und"
@@ -108,7 +108,6 @@ def temperature_of(logits: np.ndarray, y: np.ndarray) -> float:
 def train(rows: DataFrame, text_col: str, lang_col: str, key_col: str, max_sample: int = 2000, alpha: float = 2.0, l1: float = 0.002, l2: float = 0.01, epochs: int = 3) -> Model | None:
     """Fit on the rows given; key_col decides which of them are sampled."""
     spark = rows.sparkSession
-    small_batches(spark)
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), unit_hash(F.col(key_col).cast("string"), seed=5).alias("at")).where("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +172,5 @@ def predict(spark, model: Model | None, text: Column) -> Column:
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """docs with the predicted language and its calibrated probability; columns of these names are replaced."""
-    small_batches(docs.sparkSession)
     got = unused(docs, "language_prediction")
     return docs.withColumn(got, predict(docs.sparkSession, model, F.col(text_col))).withColumn(lang_name, F.col(f"{got}.lang")).withColumn(score_name, F.col(f"{got}.score")).drop(got)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, unit_hash
+from .common import crc_mod, unit_hash
 
 SHAPES = 256
 MEASURES = 16
@@ -113,7 +113,6 @@ def shapes_of(texts: DataFrame, limit: int) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", max_positive: int = 3000, max_unlabelled: int = 4000) -> Model:
     """Fit on all rows given, of which the samples are drawn; the caller keeps held-out rows away."""
-    small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(quality_col).cast("int").alias("y"))
     good, total = known.agg(F.coalesce(F.sum(F.when(F.col("y") == 1, 1)), F.lit(0)), F.count(F.lit(1))).first()
     n_docs = docs.count()
@@ -128,7 +127,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted)."""
     spark = docs.sparkSession
-    small_batches(spark)
     sent = spark.sparkContext.broadcast(vars(model))
 
     @F.pandas_udf("double")

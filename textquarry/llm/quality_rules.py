@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, cut, hashes, mix, skew_join, small_batches, spans, windows, words
+from .common import buffers, chunks, cut, hashes, mix, skew_join, spans, windows, words
 
 SYMBOLS = b"#*$%&|<>"
 STRENGTH = (1.0, 1000.0)
@@ -77,7 +77,6 @@ def document_counts(docs: DataFrame, id_col: str, text_col: str, host: Column) -
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The counts of each document, base_failed, n_soft (soft rules broken), host_rejected and kept."""
-    small_batches(docs.sparkSession)
     rows = document_counts(docs, id_col, text_col, F.col(host_col))
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     soft = F.expr("int(10 * n_symbols > n_words) + int(10 * n_dup_lines > 3 * n_lines) + int(word_chars < 3 * n_words or word_chars > 12 * n_words)")

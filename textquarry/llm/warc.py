@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dim_join, small_batches
+from .common import cut, dim_join
 
 PIECE = 1 << 20
 INDEX = "path string, offset long, length long, record_id string"
@@ -202,7 +202,6 @@ def read_records(index: DataFrame, base: str) -> DataFrame:
 
 def archive_pages(pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100) -> DataFrame:
     """Write, normalise and read back all rows: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
-    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.encode("payload", "UTF-8"), 256))
