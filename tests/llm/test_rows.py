@@ -1,0 +1,172 @@
+"""Awkward rows: null and repeated ids with different texts, other layouts, other types of ids; and brute-force versions."""
+
+import hashlib
+import math
+import random
+import re
+
+import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from textquarry.llm import decontaminate, mixing, near_dedup, quality_classifier, secret_scan
+from textquarry.llm.common import connected_components
+from textquarry.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+A, B = ("one two three four five six seven eight nine ten eleven twelve", "red green blue white black brown pink grey gold teal lime plum")
+NEAR_B = B + " " + B.replace("red", "redder")
+ROWS = [(1, A), (5, A + " "), (5, B), (7, B + "\n"), (5, B), (None, A), (None, NEAR_B), (None, NEAR_B + "\t"), (9, ""), (9, ""), (None, None)]
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_groups_of_rows_not_ids(spark, order):
+    docs = spark.createDataFrame(ROWS[::order], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(docs, shingle=5, percent=80).collect()), key=repr)
+    n = len({tuple(NEAR_B.split()[i : i + 5]) for i in range(20)})
+    want = [(1, 8, 1, True), (5, 8, 1, False), (5, 8, 5, True), (7, 8, 5, False), (5, 8, 5, True), (None, 8, 1, False), (None, n, None, True), (None, n, None, True), (9, 0, 9, True), (9, 0, 9, True), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_one_of_each_group_stays(spark, parts):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("row_key", F.lit("clash")).repartition(parts)
+    got = sorted(((r["doc_id"], (r["text"] or "").strip()) for r in near_dedup.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(1, A), (5, B), (None, NEAR_B), (9, ""), (9, ""), (None, "")], key=repr)
+    assert near_dedup.keep_one(docs).columns == docs.columns and near_dedup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_ids_of_text(spark):
+    docs = spark.createDataFrame([("b", A), ("a", A), ("c", "x")], "doc_id string, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_components_of_large_numbers(spark):
+    big = 1 << 62
+    edges = [(big + i, big + i + 1) for i in range(40)] + [(7, 9), (9, 8)]
+    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {big + i: big for i in range(41)} | {7: 7, 8: 7, 9: 7}
+
+
+def test_long_texts_are_signed_in_blocks(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    elements, row = rng.integers(1 << 62, size=5000).astype(np.uint64), np.sort(rng.integers(3, size=5000))
+    whole = near_dedup.super_minhash(elements, row, 3, 96)
+    monkeypatch.setattr(near_dedup, "BLOCK", 700)
+    assert (near_dedup.super_minhash(elements, row, 3, 96) == whole).all()
+
+
+ITEMS = [(1, "which of the four rivers is the longest in the north of the land?\nthe old grey river by the mill"), (2, "alpha beta gamma delta epsilon zeta eta theta"), (3, "how many stars?\nnine"), (4, "which of the four rivers is the longest in the north of the land?\nnone")]
+
+
+def test_question_and_answer_each(spark):
+    items = spark.createDataFrame([*ITEMS, (5, ITEMS[1][1])], "item_id long, text string")
+    question = ITEMS[0][1].split("\n")[0]
+    docs = spark.createDataFrame([(10, "so " + ITEMS[0][1] + " end"), (11, question + " and more words " * 3), (12, ITEMS[1][1].upper()), (13, "how many stars? nine"), (14, "how many stars? eight"), (None, ITEMS[1][1]), (15, None), (16, question + " none")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(10, 1), (12, 2), (12, 5), (13, 3), (None, 2), (None, 5), (16, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, items, max_items=2).collect()} == got
+    kept = sorted(((r["doc_id"], r["row_key"]) for r in decontaminate.drop_leaks(docs.withColumn("row_key", F.lit(1)), items).collect()), key=repr)
+    assert kept == [(11, 1), (14, 1), (15, 1)]
+
+
+def brute_leaks(docs, items, threshold=0.6, percent=80):
+    """BM25 of every passage and item, then the shingles of question and answer; as the operator defines them, word by word."""
+    words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    bag = {i: words(t) for i, t in items.items()}
+    df, mean, longest = {}, sum(map(len, bag.values())) / len(bag), max(32, *map(len, bag.values()))
+    for w in bag.values():
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    share = {}
+    for i, w in bag.items():
+        own = {x: math.log1p((len(bag) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in set(w)}
+        share[i] = {x: v / sum(own.values()) for x, v in own.items()}
+    shingles = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+    found = set()
+    for d, t in docs.items():
+        w = words(t or "")
+        for begin in range(0, len(w), longest):
+            passage = w[begin : begin + 2 * longest]
+            for i, text in items.items():
+                if sum(share[i].get(x, 0) for x in set(passage)) < threshold:
+                    continue
+                body = text.rstrip(" ")
+                q, _, a = body.rpartition("\n") if "\n" in body else (body, "", "")
+                if not q or not a:
+                    m = re.match(r"(?s)(.*[.!?])\s+(\S.*)\Z", body)
+                    q, a = (m[1], m[2]) if m else (body, "")
+                parts = [(words(x), min(5, len(words(x)))) for x in (q, a)]
+                if all(100 * len(shingles(x, k) & shingles(passage, k)) >= percent * len(shingles(x, k)) for x, k in parts if x):
+                    found.add((d, i))
+    return found
+
+
+def test_leaks_equal_brute_force(spark):
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rng = random.Random(3)
+    for n, text in enumerate(rng.sample(sorted(items.values()), 12)):  # partial copies around the bounds
+        w = text.split(" ")
+        for _ in range(n):
+            w[rng.randrange(len(w))] = "changed"
+        docs[-1 - n] = "before " * rng.randrange(60) + " ".join(w) + " after" * 40
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert got == brute_leaks(docs, items) and len(got) >= 5
+
+
+def test_secrets_equal_brute_force(spark):
+    kinds = {"assign": (r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), "access": ("AKIA[A-Z0-9]+", 0, 16), "hex": ("[0-9a-f]+", 0, 32), "github": ("gh[pousr]_[A-Za-z0-9]{36,}", 0, 40), "jwt": (r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}", 0, 26)}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    spans, owners = {}, {}
+    for r in docs:
+        found = [(m.start(), i, k, m.end(), m[g]) for i, (k, (p, g, least)) in enumerate(kinds.items()) for m in re.finditer(p, r["text"], re.A) if len(m[g]) >= least]
+        spans[r["doc_id"]] = sorted(found)
+        for *_, v in found:
+            owners.setdefault(v, (set(), set()))[0].add((r["source"], r["lang"]))
+            owners[v][1].add(r["source"])
+    for r in QUERIES["op1_secret_scan"](spark, SF).collect():
+        mine = spans[r["doc_id"]]
+        said = lambda x: ",".join(f"{k}:{a}:{b}" for a, _, k, b, _ in x)
+        base = [s for s in mine if s[1] < 3]
+        assert r["spans"] == said(mine) and r["base_sha256"] == hashlib.sha256(said(base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s[2] == k for s in mine) for k in ("assign", "access", "hex")]
+        copied = sum(len(owners[v][0]) >= 3 and len(owners[v][1]) >= 3 for *_, v in mine)
+        assert (r["n_copied"], r["n_live"]) == (copied, len(mine) - copied)
+
+
+def test_null_ids_in_redact(spark):
+    rows = [(None, "token=abcdefgh12345", "x"), (None, "token=abcdefgh99999", "y"), (3, "token=abcdefgh12345", "x"), (3, "clean", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("secret_key", F.lit(2))
+    assert sorted(r["text"] for r in secret_scan.redact(docs).collect()) == ["clean", *["token=[SECRET]"] * 3]
+
+
+def test_quality_doesnt_depend_on_layout(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scores = []
+    for n in (1, 7):
+        model = quality_classifier.train(docs.repartition(n), labels.repartition(n))
+        scores.append({r["doc_id"]: r["score"] for r in quality_classifier.score(docs, model).collect()})
+    assert scores[0] == scores[1]
+    none = quality_classifier.train(docs.limit(0), labels.limit(0))
+    assert quality_classifier.score(docs.limit(0), none).count() == 0 and all(r["score"] == pytest.approx(none.prior) for r in quality_classifier.score(docs, none).collect())
+
+
+def test_stages_on_awkward_rows(spark):
+    """Each stage with null and repeated ids, empty and long texts, clashing names, and with no rows."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(i, t, lang, f"s{i and i % 3}", 0) for i, (t, lang) in enumerate([(A, "x"), (B, "y"), (None, "x"), ("", None), (long, "x"), (A, "x")])]
+    rows += [(None, A, "x", None, 0), (0, A, "x", "s0", 0), (0, B + " token=abcdefgh1234", "y", "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int")
+    for c in ("row_key", "lang_pred", "lang_score", "secret_spans", "taken", "component_id"):
+        docs = docs.withColumn(c, F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        if name != "mixing":
+            assert got.columns == docs.columns
+        want = {"near_dedup": 5, "decontaminate": 9, "secret_scan": 9, "mixing": 9}
+        n = got.count()
+        assert n == want.get(name, n), name

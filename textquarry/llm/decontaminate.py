@@ -6,31 +6,32 @@ score is divided by the item's score against itself, so 1 means that all its wor
 block-max WAND in vectors: items stand in blocks, each term has its greatest share in each block, and a block is
 scored exactly only where the sum of these bounds reaches the threshold.  All items at or above the
 threshold are retrieved, none is capped, and then verified: the 5-word shingles of the item's question and
-answer are looked up in the passage, and 80 of 100 must be there.
+answer are looked up in the passage, and 80 of 100 of each must be there.
 
 Words are runs of letters and digits (ASCII, or any byte above), in lower case for ASCII and Latin-1 letters.
 The answer of an item is its last line, or its last sentence if it has one line; the rest is the question.
 
-The index is broadcast.  It is built from at most ITEMS items at a time; a larger benchmark is
-searched in several passes, one for each part of it.
+The index is broadcast.  It is built from about ITEMS items at a time; a larger benchmark is searched in several
+passes, one for each part of it, under statistics of all its items.  Equal items are searched once.
 
-Edge cases: null texts are empty; documents or items without words match nothing; items of fewer than five words are one
-shingle.  Rows that repeat a (doc_id, item_id) are folded.  Null ids are kept as a value.  Extra columns are
-ignored.  An empty table on either side gives an empty result.
+Edge cases: null texts are empty; documents or items without words match nothing; a question or answer of fewer than five
+words is one shingle, and one without words is no bar.  Very long texts are read in passages like all others.  Rows that
+repeat a (doc_id, item_id) are folded; of passages with equally many shingles that of the greatest score is told.  Null ids are
+kept as a value, and ids may be of any type.  Extra columns are ignored.  An empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import buffers, chunks, hashes, lower, spans, windows
+from .common import buffers, chunks, cut, dim_join, hashes, lower, row_key, spans, unused, windows
 
 K1, B = 1.2, 0.75
 ITEMS = 50_000
@@ -80,29 +81,65 @@ class Index:
     stride: int
 
 
-def build_index(rows: list[tuple], block: int | None = None) -> Index | None:
-    """rows: (id, text, question, answer)."""
-    stop = not_word()
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts, and where each text's begin."""
+    data, at = buffers(texts)
+    data = normal(data)
+    starts, ends, first = spans(data, at, not_word())
+    return hashes(data, starts, ends), first
 
-    def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        data, at = buffers(pa.array(texts, pa.string()))
-        data = normal(data)
-        starts, ends, first = spans(data, at, stop)
-        return hashes(data, starts, ends), first
 
-    h, first = hashed([r[1] for r in rows])
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items with words: how many, their words, the longest's words, and in how many a term (sorted) is."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def statistics(h: np.ndarray, first: np.ndarray) -> Statistics:
+    length = np.diff(first)
+    row = np.repeat(np.arange(len(length)), length)
+    seen = np.unique(np.stack([h, row.astype(np.uint64)]), axis=1)[0] if len(h) else h
+    terms, df = np.unique(seen, return_counts=True)
+    return Statistics(int((length > 0).sum()), len(h), int(length.max(initial=0)), terms, df)
+
+
+def statistics_of(items: DataFrame) -> tuple[Statistics, DataFrame]:
+    """The statistics of all items (text) but for the terms, and a table (term, df) of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, first = hashed(batch.column(0))
+            sets = [np.unique(h[a:b]) for a, b in zip(first, first[1:])]
+            edge = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32))
+            terms = np.concatenate(sets) if sets else h
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(first)), pa.ListArray.from_arrays(edge, pa.array(terms.view(np.int64)))], ["words", "terms"])
+
+    each = cut(items.select("text").mapInArrow(run, "words long, terms array<long>").where("words > 0"))
+    n, words, longest = each.agg(F.count(F.lit(1)), F.sum("words"), F.max("words")).first()
+    none = np.zeros(0, np.uint64)
+    return Statistics(n, words or 0, longest or 0, none, none), cut(each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+
+
+def build_index(rows: list[tuple], over: Statistics | None = None, block: int | None = None) -> Index | None:
+    """rows: (id, text, question, answer); over: the statistics of a benchmark of which these rows are a part."""
+    h, first = hashed(pa.array([r[1] for r in rows], pa.string()))
+    over = over or statistics(h, first)
     keep = np.flatnonzero(np.diff(first) > 0)
     if not len(keep):
         return None
     length = np.diff(first)[keep]
     row = np.repeat(np.arange(len(keep)), length)
-    h = np.concatenate([h[first[i] : first[i + 1]] for i in keep])
-    terms, term = np.unique(h, return_inverse=True)
+    terms, term = np.unique(h, return_inverse=True)  # texts without words have none in h
     pair, tf = np.unique(term * len(keep) + row, return_counts=True)
     t, item = pair // len(keep), pair % len(keep)
-    df = np.bincount(t, minlength=len(terms))
-    idf = np.log1p((len(keep) - df + 0.5) / (df + 0.5))
-    share = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean()))
+    df = over.df[np.searchsorted(over.terms, terms)]
+    idf = np.log1p((over.items - df + 0.5) / (df + 0.5))
+    share = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] * over.items / over.words))
     share /= np.bincount(item, weights=share)[item]
     size = block or max(8, -(-len(keep) // 48))
     blocks = -(-len(keep) // size)
@@ -112,9 +149,9 @@ def build_index(rows: list[tuple], block: int | None = None) -> Index | None:
     cell = np.searchsorted(cell_of, np.arange(len(terms) * blocks + 1))
     maybe = np.zeros(1 << 20, dtype=bool)
     maybe[(terms >> np.uint64(44)).astype(np.int64)] = True
-    parts = [hashed([rows[i][j] for i in keep]) for j in (2, 3)]
+    parts = [hashed(pa.array([rows[i][j] for i in keep], pa.string())) for j in (2, 3)]
     parts = list(zip(*([part_of(x[f[i] : f[i + 1]]) for i in range(len(keep))] for x, f in parts)))
-    return Index(terms, maybe, item.astype(np.int32), share.astype(np.float32), cell, bound.reshape(len(terms), blocks), parts, [rows[i][0] for i in keep], length, max(32, int(length.max())))
+    return Index(terms, maybe, item.astype(np.int32), share.astype(np.float32), cell, bound.reshape(len(terms), blocks), parts, [rows[i][0] for i in keep], length, max(32, over.longest))
 
 
 def search(index: Index, h: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,22 +211,38 @@ def find_leaks(
     threshold: float = 0.6,
     percent: int = 80,
     max_items: int = ITEMS,
+    max_chars: int = 1 << 26,
 ) -> DataFrame:
-    """(doc_id, item_id, score, n_shingles, n_found, question_found, answer_found), the best passage of each pair."""
+    """(doc_id, item_id, score, n_shingles, n_found, question_found, answer_found), the best passage of each pair.
+
+    Of the question's and of the answer's shingles, each, percent are in the passage; a part without words is no bar.
+    """
     spark = docs.sparkSession
     whole = F.coalesce(F.col(item_text_col), F.lit(""))
     answer = F.coalesce(F.col(answer_col), F.lit("")) if answer_col else last_part(F.col(item_text_col))
     body = F.rtrim(whole)
     question = whole if answer_col else F.substring(body, F.lit(1), F.length(body) - F.length(answer))
     texts = F.concat_ws("\n", whole, answer) if answer_col else whole
-    rows = items.select(F.col(item_id_col).cast("long").alias("id"), texts.alias("text"), question.alias("question"), answer.alias("answer"))
-    parts = -(-rows.count() // max_items)
-    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, score double, n_shingles long, n_found long, question_found long, answer_found long"
-    found = []
+    named = cut(items.select(F.col(item_id_col).alias("item_id"), texts.alias("text"), question.alias("question"), answer.alias("answer")).distinct())
+    # Equal items are searched once; the numbers are fixed, as they are written.
+    once = cut(named.select("text", "question", "answer").distinct().withColumn("no", F.monotonically_increasing_id()))
+    count, chars = once.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+    parts = max(-(-count // max_items), -(-(chars or 0) // max_chars))
+    over, dfs = statistics_of(once) if parts > 1 else (None, None)
+    few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = {"no": LongType(), "score": DoubleType(), "n_shingles": LongType(), "n_found": LongType(), "question_found": LongType(), "answer_found": LongType()}
+    schema = StructType([few.schema["doc_id"], *(StructField(k, v) for k, v in names.items())])
+    found = spark.createDataFrame([], schema)
     for part in range(parts):
-        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-        index = build_index([tuple(r) for r in own.collect()])  # about max_items rows
+        own = once.where(F.pmod(F.xxhash64("no"), F.lit(parts)) == part).select("no", "text", "question", "answer")
+        rows = [tuple(r) for r in own.collect()]  # about max_items rows of about max_chars
+        if over:
+            terms = spark.createDataFrame(pa.table({"term": np.unique(hashed(pa.array([r[1] for r in rows], pa.string()))[0]).view(np.int64)}))
+            known = dfs.join(terms, "term").toArrow()
+            term = known["term"].to_numpy().view(np.uint64)
+            order = np.argsort(term)
+            over = replace(over, terms=term[order], df=known["df"].to_numpy()[order])
+        index = build_index(rows, over)
         if index is None:
             continue
         sent = spark.sparkContext.broadcast(vars(index))
@@ -205,17 +258,23 @@ def find_leaks(
                     out = []
                     for row, begin, item, score in zip(*search(index, h, first, threshold)):
                         end = min(first[row + 1], begin + 2 * index.stride)
-                        hits = [int(np.isin(x, shingles(h[begin:end], k)).sum()) for k, x in index.parts[item]]
-                        total = sum(len(x) for _, x in index.parts[item])
-                        if total and 100 * sum(hits) >= percent * total:
-                            out.append((lo + row, index.ids[item], score, total, sum(hits), *hits))
+                        both = index.parts[item]
+                        hits = [int(np.isin(x, shingles(h[begin:end], k)).sum()) for k, x in both]
+                        if all(100 * n >= percent * len(x) for n, (_, x) in zip(hits, both)):
+                            out.append((lo + row, index.ids[item], score, sum(len(x) for _, x in both), sum(hits), *hits))
                     if out:
                         cols = list(zip(*out))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), *(pa.array([int(x) for x in c], pa.int64()) for c in cols[3:])], [c.split()[0] for c in schema.split(", ")])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), *(pa.array([int(x) for x in c], pa.int64()) for c in cols[3:])], ["doc_id", *names])
 
-        found.append(few.mapInArrow(run, schema))
-    if not found:
-        return spark.createDataFrame([], schema)
-    every = reduce(DataFrame.unionByName, found)
+        found = found.unionByName(cut(few.mapInArrow(run, schema)))
+        sent.destroy()
     best = F.max(F.struct("n_found", "score", "n_shingles", "question_found", "answer_found")).alias("best")
-    return every.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.round("best.score", 4).alias("score"), "best.n_shingles", "best.n_found", "best.question_found", "best.answer_found")
+    every = dim_join(found.groupBy("doc_id", "no").agg(best), named.join(once, ["text", "question", "answer"]).select("no", "item_id"), ["no"])
+    return every.select("doc_id", "item_id", F.round("best.score", 4).alias("score"), "best.n_shingles", "best.n_found", "best.question_found", "best.answer_found")
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without the rows that hold an item of the benchmark, whatever their ids."""
+    key, text = unused(docs, "row_key"), F.col(text_col).alias("text")
+    leaks = find_leaks(docs.select(row_key(id_col, text_col).alias("doc_id"), text), items, **how).select(F.col("doc_id").alias(key)).distinct()
+    return dim_join(docs.withColumn(key, row_key(id_col, text_col)), leaks, [key], "left_anti").select(*docs.columns)

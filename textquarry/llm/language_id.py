@@ -7,12 +7,13 @@ the fit to find the temperature that calibrates its probabilities.  Whole texts
 and in scoring.
 
 Edge cases: text that is null or has no letters is ``und`` with score 0; so is every text if there is no
-training row.  Rows with null language or id don't train.  Repeated rows train as often as they occur.
+training row.  Rows with null language or id don't train.  Of equally probable languages the first by name is told.  Repeated rows train as often as they occur.
 A language with one row can be learned.  Extra columns are kept by ``identify``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,27 +23,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, unit_hash, unused
+from .common import unit_hash, unused
 
-BITS = 15
+BITS, BLOCK = 15, 1 << 20
 UNKNOWN = "und"
 
 
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams of 1 to 3, and how often each occurs."""
-    x = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+def gram_buckets(text: str) -> np.ndarray:
+    """The buckets of all character n-grams of 1 to 3."""
+    x = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     h = x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
     out = [h]
     for n in (1, 2):
         if len(x) > n:
             h = (out[-1][:-1] ^ (out[-1][:-1] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + x[n:] * np.uint64(0x94D049BB133111EB) + np.uint64(n)
             out.append(h)
-    bucket = np.concatenate([(h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS) for h in out]).astype(np.int64)
-    if len(bucket) > 4096:
-        count = np.bincount(bucket, minlength=1 << BITS)
-        there = np.flatnonzero(count)
-        return there, count[there]
-    return np.unique(bucket, return_counts=True)
+    return np.concatenate([(h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS) for h in out]).astype(np.int64)
+
+
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of 1 to 3, and how often each occurs.  Long texts are counted in blocks."""
+    text = text.lower()
+    if len(text) <= 1024:
+        return np.unique(gram_buckets(text), return_counts=True)
+    count = np.zeros(1 << BITS, dtype=np.int64)
+    for lo in range(0, len(text), BLOCK):
+        count += np.bincount(gram_buckets(text[lo : lo + BLOCK + 2]), minlength=1 << BITS)
+        if lo + BLOCK < len(text):  # n-grams that begin in the next block are counted there
+            count -= np.bincount(gram_buckets(text[lo + BLOCK : lo + BLOCK + 2]), minlength=1 << BITS)
+    there = np.flatnonzero(count)
+    return there, count[there]
 
 
 def has_letter(text: str | None) -> bool:
@@ -105,43 +115,49 @@ def temperature_of(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(rows: DataFrame, text_col: str, lang_col: str, key_col: str, max_sample: int = 2000, alpha: float = 2.0, l1: float = 0.002, l2: float = 0.01, epochs: int = 3) -> Model | None:
-    """Fit on the rows given; key_col decides which of them are sampled."""
-    spark = rows.sparkSession
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), unit_hash(F.col(key_col).cast("string"), seed=5).alias("at")).where("text is not null and lang is not null")
+def train(rows: DataFrame, text_col: str, lang_col: str, key_col: str, max_sample: int = 2000, max_languages: int = 2000, alpha: float = 2.0, l1: float = 0.002, l2: float = 0.01, epochs: int = 3) -> Model | None:
+    """Fit on the rows given; key_col decides which of them are sampled.  More languages than max_languages are refused."""
+    rows = rows.where(F.col(key_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), unit_hash(F.col(key_col).cast("string"), seed=5).alias("at")).where("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, total = np.zeros(1 << BITS, dtype=np.int64), 0
+        df, langs = np.zeros(1 << BITS, dtype=np.int64), Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                df[grams(text)[0]] += 1
-                total += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(df), 1 << BITS)), pa.array(np.append(df[df > 0], total))], ["bucket", "df"])
-
-    counted = rows.select("text").mapInArrow(frequencies, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()  # at most 2 ** BITS + 1 rows
-    df = np.zeros((1 << BITS) + 1)
-    df[counted["bucket"]] = counted["df"]
-    if not df[-1]:
+            for text in batch.column(0):
+                df[grams(text.as_py())[0]] += 1
+            langs.update(batch.column(1).to_pylist())
+        there = np.flatnonzero(df)
+        buckets, names = pa.array([*there, *[None] * len(langs)], pa.int64()), pa.array([*[None] * len(there), *langs], pa.string())
+        yield pa.RecordBatch.from_arrays([buckets, names, pa.array([*df[there], *langs.values()], pa.int64())], ["bucket", "lang", "n"])
+
+    counted = rows.select("text", "lang").mapInArrow(frequencies, "bucket long, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
+    counted = counted.limit((1 << BITS) + max_languages + 1).toArrow()  # so many rows tell of too many languages
+    bucket, n = counted["bucket"].to_numpy(), counted["n"].to_numpy()
+    is_gram = ~np.isnan(bucket.astype(float))
+    langs = {lang: int(k) for lang, k in zip(counted["lang"].to_pylist(), n) if lang is not None}
+    if len(langs) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    total = sum(langs.values())
+    if not total:
         return None
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(max_sample).collect()}
+    df = np.zeros(1 << BITS)
+    df[bucket[is_gram].astype(int)] = n[is_gram]
+    idf = np.log((1 + total) / (1 + df)) + 1
     each = max_sample / len(langs)
-    chance = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in langs.items()], F.lit(0.0))
+    chance = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / count))) for k, count in sorted(langs.items())], F.lit(0.0))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [grams(text) for text in batch.column(0).to_pylist()]
-            edge = pa.array(np.concatenate([[0], np.cumsum([len(a) for a, _ in both])]).astype(np.int32))
-            flat = [pa.ListArray.from_arrays(edge, pa.array(np.concatenate([b[j] for b in both]).astype(np.int32))) for j in (0, 1)] if both else [pa.array([], pa.list_(pa.int32()))] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *flat], ["lang", "at", "bucket", "n"])
+            both = [grams(text.as_py()) for text in batch.column(0)]
+            packed = [pa.array([b[j].astype(np.int32).tobytes() for b in both], pa.binary()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *packed], ["lang", "at", "bucket", "n"])
 
-    some = rows.where(F.col("at") < chance).select("text", "lang", "at").mapInArrow(sampled, "lang string, at double, bucket array<int>, n array<int>").orderBy("at", "lang").limit(2 * max_sample).collect()
+    some = rows.where(F.col("at") < chance).mapInArrow(sampled, "lang string, at double, bucket binary, n binary").orderBy("at", "lang", "bucket", "n").limit(2 * max_sample).toArrow()
     classes = sorted(langs)
-    y = np.array([classes.index(r["lang"]) for r in some], dtype=int)
+    y = np.array([classes.index(x) for x in some["lang"].to_pylist()], dtype=int)
     x = []
-    for r in some:
-        at = np.array(r["bucket"], dtype=np.int64)
-        value = (1 + np.log(np.array(r["n"], dtype=float))) * idf[at]
+    for at, count in zip(some["bucket"], some["n"]):
+        at = np.frombuffer(at.as_buffer(), dtype=np.int32)
+        value = (1 + np.log(np.frombuffer(count.as_buffer(), dtype=np.int32))) * idf[at]
         x.append((at, value / max(np.sqrt((value**2).sum()), 1e-12)))
     held = np.arange(len(x)) % 5 == 4
     w, bias = follow_the_leader([x[i] for i in np.flatnonzero(~held)], y[~held], len(classes), alpha, l1, l2, epochs)

@@ -6,7 +6,8 @@ trained on the notices below and, for the class of unknown paragraphs, on a boun
 features are n-grams of the notices that hold a cue word, any word of the notices but English function words; so a
 paragraph without cue words has no feature, is unknown by construction, and needs no scoring.  What is scored thus depends
 on the notices alone; the sample, of distinct lines and paragraphs, decides the weights.
-Probabilities are calibrated by a temperature found on rows held out of the fit.  A family is
+Probabilities are calibrated by a temperature found on notices and lines that a first fit didn't see; the fit in use sees
+all.  Of equally probable families the first in the list is told.  A family is
 confirmed if 80 of 100 of the 5-word shingles of one of its notices are in the paragraph, predicted or not, as a paragraph
 may hold several.  A paragraph has a row for each family that is predicted or confirmed, of its best line or of the whole.
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, dim_join, unit_hash
 
 UNKNOWN = "unknown"
+TEMPERATURES = [0.25 * 1.25**i for i in range(20)]
 #: Well-known notices of licence families.
 NOTICES: dict[str, list[str]] = {
     "MIT": [
@@ -80,6 +82,29 @@ NOTICES: dict[str, list[str]] = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC-SA 4.0.",
     ],
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
+    "EPL-2.0": [
+        "Licensed under the Eclipse Public License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "ISC": [
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "Zlib": [
+        "Released under the zlib License.",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work (CC0 1.0).",
@@ -95,6 +120,11 @@ OTHERS = [
     "The work was released to the general public under another name.",
     "This version of the program is distributed in several countries.",
     "Common terms and conditions of sale are published by the foundation.",
+    "Licensed under the terms of a commercial agreement with the vendor.",
+    "Released under our own proprietary license, version 2.0.",
+    "Licensed under the Example Public License 1.0.",
+    "This software is licensed under another license; see the file for details.",
+    "The source code is governed by the terms of your contract.",
 ]
 #: Words of the notices that are no cues.
 FUNCTION_WORDS = "a above all along an and any are as at be been by can for have if in is it may must no not of on or provided should such that the this to under unless with without you".split()
@@ -178,24 +208,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_u
     every = every.withColumn("features", F.filter(n_grams(F.col("words")), has_cue)).withColumn("held", unit_hash("line", seed=29) < 0.2)
     classes = [UNKNOWN, *NOTICES]
     every = every.withColumn("label", F.array_position(F.lit(classes), F.col("family")).cast("double") - 1)
-    vectors = CountVectorizer(inputCol="features", outputCol="vector", binary=True, vocabSize=1 << 14).fit(every.where("family <> 'unknown'"))
-    every = cut(vectors.transform(every).select("label", "features", "vector", "held", "family"))
-    # Every notice trains; the held rows of the sample are out, to calibrate.
-    fitted = LogisticRegression(featuresCol="vector", labelCol="label", family="multinomial", elasticNetParam=0.5, regParam=2e-4, maxIter=60, standardization=False).fit(every.where("not held or family <> 'unknown'"))
-    table, bias = fitted.coefficientMatrix.toArray(), [float(x) for x in fitted.interceptVector]
-    if len(bias) < len(classes):
-        raise ValueError("the model has fewer classes than there are families")
-    rows = [(f, [float(x) for x in table[:, i]]) for i, f in enumerate(vectors.vocabulary) if table[:, i].any()]
-    weights = spark.createDataFrame(rows, "feature string, w array<double>")
-    model = Model(classes, cues, [f for f, _ in rows], weights, bias, 1.0)
-    held = cut(every.where("held").select("label", "features").withColumn("key", F.monotonically_increasing_id().cast("string")))
-    # The calibration rows are written, so their keys are fixed.
-    z = logits(held.select("key", "features"), model).join(held.select("key", "label"), "key")
+    of_notices = every.where("family <> 'unknown'")
+    size = of_notices.select(F.explode("features")).distinct().count()
+    vectors = CountVectorizer(inputCol="features", outputCol="vector", binary=True, vocabSize=max(1, size)).fit(of_notices)
+    every = cut(vectors.transform(every).select("label", "features", "vector", "held", "family", "line"))
+
+    def fitted(rows: DataFrame, temperature: float) -> Model:
+        got = LogisticRegression(featuresCol="vector", labelCol="label", family="multinomial", elasticNetParam=0.5, regParam=2e-4, maxIter=60, standardization=False).fit(rows)
+        table, bias = got.coefficientMatrix.toArray(), [float(x) for x in got.interceptVector]
+        if len(bias) < len(classes):
+            raise ValueError("the model has fewer classes than there are families")
+        weighed = [(f, [float(x) for x in table[:, i]]) for i, f in enumerate(vectors.vocabulary) if table[:, i].any()]
+        return Model(classes, cues, [f for f, _ in weighed], spark.createDataFrame(weighed, "feature string, w array<double>"), bias, temperature)
+
+    # A model that has seen neither the held notices nor the held lines tells how far to trust one; the model
+    # that is used then learns from all.  The first notice of a family is never held.
+    firsts = F.col("line").isin([texts[0] for texts in NOTICES.values()])
+    seen = ~F.col("held") | firsts
+    trial = fitted(every.where(seen), 1.0)
+    held = cut(every.where(~seen).select("label", "features", "line").distinct().withColumn("key", F.monotonically_increasing_id().cast("string")))  # written, so the keys are fixed
+    z = logits(held.select("key", "features"), trial).join(held.select("key", "label"), "key")
     loss = lambda t: F.avg(-F.log(F.greatest(F.element_at(softmax(F.transform("z", lambda x: x / F.lit(t))), F.col("label").cast("int") + 1), F.lit(1e-9))))
-    grid = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
-    losses = z.agg(*(loss(t).alias(str(i)) for i, t in enumerate(grid))).first()
-    best = min((x, t) for x, t in zip(losses, grid)) if losses[0] is not None else (0.0, 1.0)
-    return Model(classes, cues, [f for f, _ in rows], weights, bias, best[1])
+    losses = z.agg(*(loss(t).alias(str(i)) for i, t in enumerate(TEMPERATURES))).first()
+    best = min(zip(losses, TEMPERATURES))[1] if losses[0] is not None else 1.0
+    return fitted(every, best)
 
 
 def logits(rows: DataFrame, model: Model) -> DataFrame:

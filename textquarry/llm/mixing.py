@@ -1,18 +1,20 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Golden-ratio points are mapped through the cumulative weights of the sources: slot n belongs to the
-source whose interval holds frac(n * golden ratio).  Slots are ranked within their source.  Each
-source's documents are shuffled by a hash, laid end to end and cut into blocks of equally many words,
-and the k-th slot of a source takes its block k, starting over when all are taken.  A source's last slot
-is cut so that its words meet the target.
+Golden-ratio points are mapped through the cumulative weights of the sources: slot i belongs to the
+source whose interval holds frac(i * golden ratio).  Slots are ranked within their source.  Each
+source's documents are shuffled by a hash, laid end to end and cut into blocks of nearly equally many words,
+and the slot of rank r takes block r modulo the number of blocks.  So the points alone decide how many blocks a source
+gives, and when: a source's words differ from its target by the discrepancy of the points, a few blocks.  A block is
+at most a LEAST_SLOTS-th of any target, if the limit on slots allows it.  Slots that would take a block more often than the limit take nothing.
 
 Running sums (over shuffled documents, over slots) go in two levels, totals of hash ranges first, so a
 source with a third of all rows is spread over many tasks.  Only one row for each source reaches the
 driver, and their number is checked against max_sources.
 
 Edge cases: null or blank text has size 0 and nothing is taken of it.  A null source is a source of its
-own, the last in order.  Null ids are allowed; repeated rows are documents of their own.  Extra columns
-are ignored.  An empty table gives an empty result; sources without words have a target of 0.
+own, the last in order.  Null ids are allowed; repeated rows are documents of their own, and stand in any order, as they
+are equal.  A text longer than a block stands in several.  Extra columns are ignored.  An empty table gives an empty
+result; sources without words have a target of 0.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, skew_join
+from .common import WORD, cut, row_key
 
 GOLDEN = 2654435769  # 2**32 over the golden ratio
-SLOTS, RANGE_ROWS = 4096, 20_000
+SLOTS, LEAST_SLOTS, MOST_SLOTS = 4096, 512, 1 << 31  # a source, on average; of the source of the least target; in all
+RANGE_ROWS = 20_000
 
 
 def fill(sizes: Sequence[float], weights: Sequence[float], share: float, limit: float) -> np.ndarray:
@@ -58,6 +61,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def block_words_for(target: np.ndarray, most: int) -> int:
+    """Words of a block: few enough that each source gets many, and no more than most, but not more slots than MOST_SLOTS."""
+    some = target[target > 0]
+    if not len(some):
+        return 1
+    fine = min(some.sum() / (SLOTS * len(target)), max(some.min() / LEAST_SLOTS, some.sum() / (1 << 24)), most)
+    return max(1, int(fine), int(np.ceil(some.sum() / MOST_SLOTS)))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -65,17 +77,16 @@ def mix_sources(
     source_col: str = "source",
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
-    limit: float = 2,
+    limit: int = 2,
     block_words: int = 1 << 20,
     max_sources: int = 1_000_000,
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): how many words the mix takes of each document.
+    """(doc_id, source, size, source_size, target, taken, first_slot): how many words the mix takes of each document, and when first.
 
-    Weights go to the sources by code point, null last, and repeat.  block_words is the most that a
-    block has; small corpora have smaller ones, at least SLOTS slots for each source.
+    Weights go to the sources by code point, null last, and repeat.  block_words is the most that a block has.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("at"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), row_key(id_col, text_col).alias("at"))
     rows = cut(rows)
     known = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs"))
     known = known.orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
@@ -83,50 +94,42 @@ def mix_sources(
         raise ValueError(f"more than {max_sources} sources")
     size = np.array([r["size"] for r in known], dtype=np.int64)
     target = fill(size, np.resize(np.asarray(weights, dtype=float), len(known)), share, limit) if len(known) else np.zeros(0)
-    wanted = np.minimum(np.rint(target).astype(np.int64), np.floor(limit * size).astype(np.int64))
-    block = max(1, min(block_words, int(wanted.sum()) // max(1, SLOTS * len(known))))
-    blocks = np.maximum(1, np.ceil(size / block).astype(np.int64))
-    passes, rest = wanted // np.maximum(1, size), wanted % np.maximum(1, size)
-    # Block k has the words from k * size // blocks on; of the last pass come those that begin before rest.
-    last = np.where(rest > 0, -(-rest * blocks // np.maximum(1, size)), 0)
-    last = np.minimum(last, blocks)
-    quota = np.where(size > 0, passes * blocks + last, 0)
-    table = pd.DataFrame({"n": np.arange(len(known)), "source": [r["source"] for r in known], "source_size": size, "target": np.round(target, 6), "blocks": blocks, "passes": passes, "rest": rest, "quota": quota})
-    sources = spark.createDataFrame(table.astype({"source": object}), "n long, source string, source_size long, target double, blocks long, passes long, rest long, quota long")
-
-    # The schedule, a little longer than the quotas so that few sources miss a slot.
-    edges = np.cumsum(quota / max(1, quota.sum()))
-    n_slots = int(quota.sum() * 1.02) + 64 * len(known) if quota.sum() else 0
+    block = block_words_for(target, block_words)
+    blocks = np.maximum(1, -(-size // block))
+    table = pd.DataFrame({"n": np.arange(len(known)), "source": [r["source"] for r in known], "source_size": size, "target": np.round(target, 6), "blocks": blocks})
+    sources = spark.createDataFrame(table.astype({"source": object}), "n long, source string, source_size long, target double, blocks long")
+
+    # Slots: points through the cumulative targets.
+    upto = np.cumsum(target)
+    total = float(upto[-1]) if len(upto) else 0.0
+    edges = np.floor(upto / max(1e-9, total) * 2**32 + 0.5).astype(np.int64)
 
     @F.pandas_udf("long")
     def owner(point: pd.Series) -> pd.Series:
         return pd.Series(np.minimum(np.searchsorted(edges, point.to_numpy(), side="right"), len(edges) - 1))
 
-    point = (F.col("slot") * F.lit(GOLDEN)) % F.lit(1 << 32) / F.lit(float(1 << 32))
-    slots = spark.range(n_slots).withColumnRenamed("id", "slot").select("slot", owner(point).alias("n"), F.floor(F.col("slot") / 4096).alias("part"), F.lit(1).alias("one"))
+    point = (F.col("slot") * F.lit(GOLDEN)) % F.lit(1 << 32)
+    slots = spark.range(round(total / block)).withColumnRenamed("id", "slot").select("slot", owner(point).alias("n"), F.floor(F.col("slot") / 4096).alias("part"), F.lit(1).alias("one"))
     ranked = running(slots, "n", "part", ["slot"], "one", "rank")
-    plan = F.broadcast(sources.drop("source", "target"))  # at most max_sources rows, checked above
-    ranked = ranked.join(plan, "n").where("rank < quota")
-    met = ranked.groupBy("n").agg(F.count(F.lit(1)).alias("met"))
-    missed = sources.drop("source", "target").join(met, "n", "left").withColumn("met", F.coalesce("met", F.lit(0))).where("met < quota")
-    missed = missed.withColumn("rank", F.explode(F.expr("sequence(met, quota - 1)")))
-    cols = ["n", "rank", "source_size", "blocks", "passes", "rest"]
-    schedule = ranked.select(*cols).unionByName(missed.select(*cols))
-    schedule = schedule.select("n", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("turn"), "source_size", "blocks", "passes", "rest")
-    begin = F.expr("block * source_size div blocks")
-    end = F.expr("(block + 1) * source_size div blocks")
-    schedule = schedule.select("n", "block", begin.alias("begin"), F.when(F.expr("turn < passes"), end).otherwise(F.least(end, F.col("rest"))).alias("end"))
-
-    # Documents laid end to end in hashed order; each meets the blocks that it overlaps.
-    marked = rows.join(F.broadcast(sources.select("n", F.col("source").alias("name"), "source_size", "target", "blocks")), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    plan = F.broadcast(sources.select("n", "blocks"))  # at most max_sources rows, checked above
+    schedule = ranked.join(plan, "n").where(F.expr(f"rank < {limit} * blocks"))
+    schedule = schedule.groupBy("n", F.expr("rank % blocks").alias("block")).agg(F.count(F.lit(1)).alias("turns"), F.min("slot").alias("slot"))
+
+    # Documents laid end to end in hashed order; each meets the blocks that it overlaps.  The first `over` blocks of a source have a word more.
+    split = sources.select("n", F.col("source").alias("name"), "source_size", "target", F.expr("source_size div blocks").alias("least"), F.expr("source_size % blocks").alias("over"))
+    marked = rows.join(F.broadcast(split), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     parts = max(256, sum(r["docs"] for r in known) // RANGE_ROWS)
     part = (F.conv(F.substring("at", 1, 8), 16, 10).cast("long") * F.lit(parts) / F.lit(float(1 << 32))).cast("long")
     worded = marked.where("size > 0").withColumn("part", part)
     placed = running(worded, "n", "part", ["at", "doc_id", "size"], "size", "start")
-    touched = placed.withColumn("block", F.explode(F.expr("sequence((start * blocks) div source_size, ((start + size) * blocks - 1) div source_size)")))
+    block_of = lambda word: f"if({word} < over * (least + 1), ({word}) div (least + 1), over + ({word} - over * (least + 1)) div least)"
+    touched = placed.withColumn("block", F.explode(F.expr(f"sequence({block_of('start')}, {block_of('start + size - 1')})")))
+    begin = F.expr("block * least + least(block, over)")
+    end = F.expr("(block + 1) * least + least(block + 1, over)")
+    overlap = F.least(F.expr("start + size"), end) - F.greatest("start", begin)
     met = touched.join(schedule, ["n", "block"], "left")
-    overlap = F.greatest(F.lit(0), F.least(F.expr("start + size"), F.col("end")) - F.greatest("start", "begin"))
     keys = ["n", "start", "doc_id", "source", "size", "source_size", "target"]
-    taken = met.groupBy(*keys).agg(F.sum(F.when(F.col("end").isNotNull(), overlap).otherwise(0)).cast("long").alias("taken"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return taken.select(*cols).unionByName(marked.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*cols))
+    taken = met.groupBy(*keys).agg(F.sum(overlap * F.coalesce("turns", F.lit(0))).cast("long").alias("taken"), F.min("slot").alias("first_slot"))
+    cols = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot"]
+    none = marked.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
+    return taken.select(*cols).unionByName(none.select(*cols))

@@ -41,4 +41,59 @@ m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op4_near_dedup": NEAR, "op8_warc": WARC, "op10_chat_format": CHAT}
+MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(CASE WHEN doc_id IS NULL THEN '0:' ELSE (length(CAST(doc_id AS VARCHAR)) + 1) || ':=' || doc_id END || coalesce('=' || text, '')) AS place FROM documents),
+s AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+w AS (SELECT *, CAST(CASE n % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight FROM s),
+k AS (
+  SELECT *, row_number() OVER o AS k, coalesce(sum(source_size) OVER b, 0) AS filled, coalesce(sum(weight) OVER b, 0) AS off, sum(source_size) OVER () AS words, sum(weight) OVER () AS weights
+  FROM w WINDOW o AS (ORDER BY source_size / weight, n), b AS (ORDER BY source_size / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT k AS at_k, 1.5::DOUBLE * words - 2 * filled AS rest, weights - off AS rest_weight FROM k WHERE (1.5::DOUBLE * words - 2 * filled) * weight / (weights - off) <= 2 * source_size ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, n, CASE WHEN k < at_k THEN CAST(2 * source_size AS DOUBLE) ELSE rest * weight / rest_weight END AS target FROM k, c),
+u AS (SELECT sum(target) AS total, count(*) AS sources, min(target) FILTER (WHERE target > 0) AS least FROM t),
+b AS (SELECT total, greatest(1, CAST(floor(least(total / (4096 * sources), greatest(least / 512, total / 16777216), 1048576)) AS BIGINT), CAST(ceil(total / 2147483648) AS BIGINT)) AS block FROM u),
+e AS (
+  SELECT t.*, greatest(1, (source_size + block - 1) // block) AS blocks,
+    CAST(floor(sum(target) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) / total * 4294967296 + 0.5) AS BIGINT) AS edge FROM t, b),
+g AS (SELECT *, source_size // blocks AS least, source_size % blocks AS over, lag(edge, 1, 0) OVER (ORDER BY n) AS edge_before FROM e),
+slots AS (SELECT slot, (slot * 2654435769) % 4294967296 AS point FROM b, unnest(range(0, CAST(round(total / block) AS BIGINT))) AS x(slot)),
+ranked AS (SELECT n, blocks, slot, row_number() OVER (PARTITION BY n ORDER BY slot) - 1 AS rank FROM slots JOIN g ON point >= edge_before AND point < edge),
+schedule AS (SELECT n, rank % blocks AS block, count(*) AS turns, min(slot) AS slot FROM ranked WHERE rank < 2 * blocks GROUP BY ALL),
+placed AS (
+  SELECT d.*, g.* EXCLUDE (source), coalesce(sum(size) OVER (PARTITION BY n ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+    row_number() OVER () AS row FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+edges AS (
+  SELECT *, CASE WHEN start < over * (least + 1) THEN start // (least + 1) ELSE over + (start - over * (least + 1)) // least END AS first,
+    CASE WHEN start + size - 1 < over * (least + 1) THEN (start + size - 1) // (least + 1) ELSE over + (start + size - 1 - over * (least + 1)) // least END AS last FROM placed WHERE size > 0),
+touched AS (SELECT *, unnest(generate_series(first, last)) AS block FROM edges),
+met AS (
+  SELECT row, sum((least(start + size, (block + 1) * x.least + least(block + 1, over)) - greatest(start, block * x.least + least(block, over))) * coalesce(turns, 0)) AS taken, min(slot) AS first_slot
+  FROM touched x LEFT JOIN schedule USING (n, block) GROUP BY row)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, first_slot FROM placed LEFT JOIN met USING (row)
+"""
+
+RULES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM documents),
+v AS (SELECT row, i, array_to_string(w[i:i + 2], ' ') AS three FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+a AS (SELECT row, i, count(*) OVER (PARTITION BY row, three) AS times FROM v),
+r AS (SELECT row, count(DISTINCT i + j) AS n FROM a, range(3) AS x(j) WHERE times > 1 GROUP BY row),
+c AS (
+  SELECT row, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r USING (row)),
+f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CAST(CAST(10 * n_symbols > n_words AS INT) + CAST(10 * n_dup_lines > 3 * n_lines AS INT) + CAST(word_chars < 3 * n_words OR word_chars > 12 * n_words AS INT) AS BIGINT) AS n_soft FROM c),
+h AS (SELECT source, count(*) AS docs, count(*) FILTER (WHERE base_failed OR n_soft > 0) AS failures FROM f GROUP BY source),
+m AS (SELECT avg(failures / docs) AS m, var_pop(failures / docs) AS v FROM h),
+p AS (SELECT m, CASE WHEN v > 1e-12 THEN least(greatest(m * (1 - m) / v - 1, 1), 1000) ELSE 1 END AS strength FROM m),
+j AS (SELECT source, (failures + m * strength) / (docs + strength) > 0.5 AS host_rejected FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_soft, host_rejected, NOT base_failed AND (NOT host_rejected OR n_soft = 0) AS kept
+FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": MIX, "op4_near_dedup": NEAR, "op7_quality_rules": RULES, "op8_warc": WARC, "op10_chat_format": CHAT}

@@ -9,7 +9,8 @@ the step goes against it instead.
 Samples are drawn by hashes and bounded by max_positive and max_unlabelled.  Whole texts are read throughout.
 
 Edge cases: null text is empty and gets a score too.  Labels that are null, or whose document is absent, are
-left out.  Without positives or unlabelled rows every score is the prior.  Repeated rows count each.  Extra
+left out.  Without positives or unlabelled rows every score is the prior.  Repeated rows count each.  How the tables lie
+on disk has no part in the model: samples are ordered by hashes and shapes.  Extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,13 +104,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def shapes_of(texts: DataFrame, limit: int) -> np.ndarray:
-    @F.pandas_udf("array<float>")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shape(x) for x in texts])
+    """The shapes of texts (at, text), at most limit of them, in an order that depends on the rows alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = [shape(x.as_py()).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.binary())], ["at", "shape"])
 
-    rows = texts.select(measured("text").alias("x")).limit(limit).collect()
-    return np.array([r["x"] for r in rows], dtype=np.float32).reshape(-1, MEASURES + SHAPES)
+    rows = texts.select("at", "text").mapInArrow(run, "at double, shape binary").orderBy("at", "shape").limit(limit).toArrow()
+    return np.frombuffer(b"".join(x.as_buffer() for x in rows["shape"]), dtype=np.float32).reshape(-1, MEASURES + SHAPES)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", max_positive: int = 3000, max_unlabelled: int = 4000) -> Model:
@@ -117,10 +121,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good, total = known.agg(F.coalesce(F.sum(F.when(F.col("y") == 1, 1)), F.lit(0)), F.count(F.lit(1))).first()
     n_docs = docs.count()
     prior = min(max((good + 1) / (total + 2), 0.02), 0.98)
-    few = known.where((F.col("y") == 1) & (unit_hash("label_id", seed=11) < min(1.0, max_positive / max(1, good)))).select("label_id").distinct().limit(2 * max_positive)
+    few = known.where((F.col("y") == 1) & (unit_hash("label_id", seed=11) < min(1.0, max_positive / max(1, good)))).select("label_id").distinct()
+    few = few.withColumn("at", unit_hash("label_id", seed=11)).orderBy("at", "label_id").limit(2 * max_positive)
     both = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
     positive = both.join(F.broadcast(few), "label_id")  # at most 2 * max_positive ids
-    unlabelled = both.where(unit_hash(F.col("label_id").cast("string"), seed=13) < min(1.0, max_unlabelled / max(1, n_docs)))
+    unlabelled = both.withColumn("at", unit_hash(F.col("label_id").cast("string"), "text", seed=13)).where(F.col("at") < min(1.0, max_unlabelled / max(1, n_docs)))
     return fit(shapes_of(positive, 2 * max_positive), shapes_of(unlabelled, 2 * max_unlabelled), prior)
 
 

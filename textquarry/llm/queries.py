@@ -16,7 +16,8 @@ HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+    # Documents name an owner, their source; what one owner has in one language stands for a repository.
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"), repo_col=F.concat_ws("/", "source", "lang"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -7,9 +7,10 @@ many owners have is a widely copied example; one that few have looks live.
 Counting first reduces candidates to distinct (hash, repository, owner), with partial aggregation, and
 verdicts come back to documents by a join in which hot hashes can be split.
 
-Edge cases: null text is empty.  A null repository or owner counts as one of its own.  Rows of equal id
-share their verdicts; rows without an id are told apart by their texts.  Spans of one kind never overlap;
-spans of two kinds may.  A private key is redacted from its BEGIN line to its END line; a BEGIN line without a body
+Edge cases: null text is empty.  A null repository or owner counts as one of its own.  Rows are told apart as rows,
+whatever their ids, so null and repeated ids do no harm; repeated rows are of one repository and owner and count once.
+Spans of one kind never overlap; spans of two kinds may, and stand in the order of KINDS where they begin together.  Long
+texts are searched whole.  A private key is redacted from its BEGIN line to its END line; a BEGIN line without a body
 is no candidate.  Extra columns are ignored (and kept by ``redact``); an empty table gives an empty result.
 """
 
@@ -73,11 +74,9 @@ def all_spans(text: Column) -> Column:
     return F.when(text.rlike(ANY), F.array_sort(F.concat(*kinds))).otherwise(none)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.sha2(text, 256)))
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    return docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), name(repo_col).alias("repo"), name(owner_col).alias("owner"), all_spans(text).alias("spans"))
+def named(col: str | Column) -> Column:
+    """A repository or owner as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), (F.col(col) if isinstance(col, str) else col).cast("string")), F.lit(""))
 
 
 def copied_by_key(rows: DataFrame, min_repos: int, min_owners: int) -> DataFrame:
@@ -89,30 +88,33 @@ def copied_by_key(rows: DataFrame, min_repos: int, min_owners: int) -> DataFrame
     return skew_join(seen.select("key", "hash").distinct(), copied, ["hash"]).groupBy("key").agg(F.collect_set("hash").alias("copied"))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", min_repos: int = 3, min_owners: int = 3) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | Column = "source", owner_col: str | Column = "source", min_repos: int = 3, min_owners: int = 3) -> DataFrame:
     """(doc_id, spans, n_live, n_copied); a span has start, kind, end, hash of the value and copied."""
-    rows = cut(keyed(docs, id_col, text_col, repo_col, owner_col))
-    out = rows.join(copied_by_key(rows, min_repos, min_owners), "key", "left")
+    spans = all_spans(F.coalesce(F.col(text_col), F.lit("")))
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), named(repo_col).alias("repo"), named(owner_col).alias("owner"), spans.alias("spans"), F.monotonically_increasing_id().alias("key")))  # written, so the keys are fixed
+    has = F.size("spans") > 0
+    found = rows.where(has).join(copied_by_key(rows, min_repos, min_owners), "key", "left")
     copied = F.coalesce("copied", F.array().cast("array<string>"))
     span = lambda s: F.struct(s["start"], s["kind"], s["end"], s["hash"], F.array_contains(copied, s["hash"]).alias("copied"))
-    out = out.select("doc_id", F.transform("spans", span).alias("spans"))
+    told = F.transform("spans", span).alias("spans")
     n = lambda c: F.size(F.filter("spans", c)).cast("long")
+    out = found.select("doc_id", told).unionByName(rows.where(~has).withColumn("copied", F.array().cast("array<string>")).select("doc_id", told))
     return out.select("doc_id", "spans", n(lambda s: ~s["copied"]).alias("n_live"), n(lambda s: s["copied"]).alias("n_copied"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", min_repos: int = 3, min_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", repo_col: str | Column = "source", owner_col: str | Column = "source", min_repos: int = 3, min_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
     """docs with every live-looking value replaced by mark; widely copied examples stay.
 
-    Only documents that have candidates are joined to their verdicts; all others pass by.
+    Texts are searched once and written with their spans.  Only documents that have candidates are joined to their
+    verdicts; all others pass by.
     """
-    rows = cut(keyed(docs, id_col, text_col, repo_col, owner_col).where(F.size("spans") > 0))
-    verdicts = copied_by_key(rows, min_repos, min_owners)
+    key, found, copied, repo, owner = (unused(docs, c) for c in ("secret_key", "secret_spans", "secret_copied", "secret_repo", "secret_owner"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    has = text.rlike(ANY)
-    key, found, copied = (unused(docs, c) for c in ("secret_key", "secret_spans", "secret_copied"))
-    id_key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.sha2(text, 256)))
-    hit = docs.where(has).withColumn(key, id_key).withColumn(found, all_spans(text))
-    hit = hit.join(verdicts.select(F.col("key").alias(key), F.col("copied").alias(copied)), key, "left")
+    rows = docs.withColumns({found: all_spans(text), repo: named(repo_col), owner: named(owner_col), key: F.monotonically_increasing_id()})
+    rows = cut(rows)  # the keys are fixed from here on
+    has = F.size(found) > 0
+    verdicts = copied_by_key(rows.select(F.col(key).alias("key"), F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.col(found).alias("spans")), min_repos, min_owners)
+    hit = rows.where(has).join(verdicts.select(F.col("key").alias(key), F.col("copied").alias(copied)), key, "left")
     live = F.filter(found, lambda s: ~F.array_contains(F.coalesce(copied, F.array().cast("array<string>")), s["hash"]))
 
     def step(a: Column, s: Column) -> Column:
@@ -127,4 +129,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
     hit = hit.withColumn(text_col, clean)
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return docs.where(~has).unionByName(hit.select(*docs.columns))
+    return rows.where(~has).select(*docs.columns).unionByName(hit.select(*docs.columns))
