@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that go on; all but the last return the
 columns of documents.
+
+Edge cases, for all stages: rows are decided on as rows, by id and text together, so rows of one id with different texts
+are different documents and a null id is an id like any other.  Null and empty texts are of no language and go in the
+first stage; later stages keep them, as they hold no words to compare or match.  Repeated rows share every decision, and
+of rows with equal id and text one stays in the second stage.  Texts are read whole, however long.  Extra columns are kept by all
+stages but the last, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,24 +31,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that shares at least 0.8 of its five-word shingles, the document of the smallest id stays."""
-    gone = near_dedup.near_dedup(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group that shares at least 0.8 of its five-word shingles, one document stays: that of the smallest id, null last."""
+    return near_dedup.keep_one(docs, shingle=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking secrets are replaced by a mark; all documents stay."""
-    return secret_scan.redact(docs)
+    return secret_scan.redact(docs, repo_col=F.concat_ws("/", "source", "lang"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
+    """How many words the mix takes of each document; none is dropped."""
     return mixing.mix_sources(docs)
 
 
