@@ -19,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
 #: Removes a query's shuffle files at its end; else they stay until the driver happens to collect garbage.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Narrow rows of a partition of a small table.
 PART_ROWS = 50_000
 
@@ -44,14 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
     """Write the rows to the shared folder and go on from there: lost executors cost nothing done before.
 
-    The shuffles that made the rows are of no more use then, and their files go at once.  With keep_layout, Spark
+    The shuffles that made the rows are of no more use then, and their files go at once.  Arrow batches are kept short
+    meanwhile, as texts may be long; the session's settings are as before at the end.  With keep_layout, Spark
     still knows by what the rows are partitioned, so that joins on it don't move them again; it forgets that of
     plans that adapt while they run.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    settings = {FREE_SHUFFLES: "true"} | ({"spark.sql.adaptive.enabled": "false"} if keep_layout else {})
-    before = {k: spark.conf.get(k, "false") for k in settings}
+    settings = {FREE_SHUFFLES: "true", BATCH_ROWS: "500"} | ({"spark.sql.adaptive.enabled": "false"} if keep_layout else {})
+    before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
