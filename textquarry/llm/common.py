@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the numpy helpers handle at once (a longer text is handled alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Removes a query's shuffle files at its end; else they stay until the driver happens to collect garbage.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -42,25 +43,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """These settings for a while, and those of before afterwards; a plan takes them when it is made."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def short_batches(spark: SparkSession):
+    """Arrow batches of few rows meanwhile, as texts may be long."""
+    return settings(spark, {BATCH_ROWS: "500"})
+
+
 def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
     """Write the rows to the shared folder and go on from there: lost executors cost nothing done before.
 
-    The shuffles that made the rows are of no more use then, and their files go at once.  Arrow batches are kept short
-    meanwhile, as texts may be long; the session's settings are as before at the end.  With keep_layout, Spark
+    The shuffles that made the rows are of no more use then, and their files go at once.  With keep_layout, Spark
     still knows by what the rows are partitioned, so that joins on it don't move them again; it forgets that of
     plans that adapt while they run.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    settings = {FREE_SHUFFLES: "true", BATCH_ROWS: "500"} | ({"spark.sql.adaptive.enabled": "false"} if keep_layout else {})
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        return df.select("*").checkpoint()  # select: the plan takes the settings when it is made
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    with settings(spark, {FREE_SHUFFLES: "true", BATCH_ROWS: "500"} | ({"spark.sql.adaptive.enabled": "false"} if keep_layout else {})):
+        return df.select("*").checkpoint()  # select: the plan is made here
 
 
 def parts_for(n: int, rows: int = PART_ROWS) -> int:
@@ -218,7 +229,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
         down = np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
         down[0] = 1
         both = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if n > 4 * CHUNK_BYTES:
+        if n > 16 * CHUNK_BYTES:
             return both
         _powers["up"], _powers["down"] = both
     return _powers["up"], _powers["down"]

@@ -18,12 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash, unused
+from .common import short_batches, unit_hash, unused
 
 BITS, BLOCK = 15, 1 << 20
 UNKNOWN = "und"
@@ -130,7 +129,8 @@ def train(rows: DataFrame, text_col: str, lang_col: str, key_col: str, max_sampl
         yield pa.RecordBatch.from_arrays([buckets, names, pa.array([*df[there], *langs.values()], pa.int64())], ["bucket", "lang", "n"])
 
     counted = rows.select("text", "lang").mapInArrow(frequencies, "bucket long, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
-    counted = counted.limit((1 << BITS) + max_languages + 1).toArrow()  # so many rows tell of too many languages
+    with short_batches(rows.sparkSession):
+        counted = counted.limit((1 << BITS) + max_languages + 1).toArrow()  # so many rows tell of too many languages
     bucket, n = counted["bucket"].to_numpy(), counted["n"].to_numpy()
     is_gram = ~np.isnan(bucket.astype(float))
     langs = {lang: int(k) for lang, k in zip(counted["lang"].to_pylist(), n) if lang is not None}
@@ -151,7 +151,9 @@ def train(rows: DataFrame, text_col: str, lang_col: str, key_col: str, max_sampl
             packed = [pa.array([b[j].astype(np.int32).tobytes() for b in both], pa.binary()) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *packed], ["lang", "at", "bucket", "n"])
 
-    some = rows.where(F.col("at") < chance).mapInArrow(sampled, "lang string, at double, bucket binary, n binary").orderBy("at", "lang", "bucket", "n").limit(2 * max_sample).toArrow()
+    some = rows.where(F.col("at") < chance).mapInArrow(sampled, "lang string, at double, bucket binary, n binary").orderBy("at", "lang", "bucket", "n").limit(2 * max_sample)
+    with short_batches(rows.sparkSession):
+        some = some.toArrow()
     classes = sorted(langs)
     y = np.array([classes.index(x) for x in some["lang"].to_pylist()], dtype=int)
     x = []
@@ -169,19 +171,17 @@ def predict(spark, model: Model | None, text: Column) -> Column:
     """struct<lang, score> of a text column."""
     sent = spark.sparkContext.broadcast(vars(model) if model else None)
 
-    @F.pandas_udf("lang string, score double")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(**sent.value) if sent.value else None
         for texts in batches:
-            out = []
-            for text in texts:
-                if model is None or not has_letter(text):
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                p = model.probabilities(text)
-                best = int(p.argmax())
-                out.append((model.classes[best], min(1.0, float(p[best]))))
-            yield pd.DataFrame(out, columns=["lang", "score"])
+            langs, scores = [], []
+            for text in (x.as_py() for x in texts):  # one text at a time is a Python string
+                known = model is not None and has_letter(text)
+                p = model.probabilities(text) if known else np.zeros(1)
+                langs.append(model.classes[int(p.argmax())] if known else UNKNOWN)
+                scores.append(min(1.0, float(p.max())))
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return apply(text)
 

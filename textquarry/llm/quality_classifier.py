@@ -21,12 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, unit_hash
+from .common import crc_mod, short_batches, unit_hash
 
 SHAPES = 256
 MEASURES = 16
@@ -111,7 +110,9 @@ def shapes_of(texts: DataFrame, limit: int) -> np.ndarray:
             shapes = [shape(x.as_py()).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.binary())], ["at", "shape"])
 
-    rows = texts.select("at", "text").mapInArrow(run, "at double, shape binary").orderBy("at", "shape").limit(limit).toArrow()
+    rows = texts.select("at", "text").mapInArrow(run, "at double, shape binary").orderBy("at", "shape").limit(limit)
+    with short_batches(texts.sparkSession):
+        rows = rows.toArrow()
     return np.frombuffer(b"".join(x.as_buffer() for x in rows["shape"]), dtype=np.float32).reshape(-1, MEASURES + SHAPES)
 
 
@@ -134,13 +135,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vars(model))
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(**sent.value)
         for texts in batches:
-            x = np.array([shape(t) for t in texts]).reshape(-1, MEASURES + SHAPES)
+            x = np.array([shape(t.as_py()) for t in texts]).reshape(-1, MEASURES + SHAPES)
             x = model.mean + np.clip((x - model.mean) / model.scale, -8, 8) * model.scale
-            yield pd.Series(model.scores(x))
+            yield pa.array(model.scores(x))
 
     out = docs.select(F.col(id_col).alias("doc_id"), scored(F.col(text_col)).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= least, 1).otherwise(0))
