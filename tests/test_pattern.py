@@ -3,17 +3,37 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.pattern import PatternError, compile_pattern
 from textquarry.operators.fuzzy import parse
-from textquarry.operators.ignore import glob_regex
+from textquarry.operators.ignore import Rules, bytewise, glob_regex, ignored, parse_rules, rg_glob_regex, rg_glob_valid, verdicts
 import re
 
 
-@pytest.mark.parametrize("bad", [r"(?=a)", r"(?<!a)b", r"a\1", "(", ")", "[a", "*a", r"\y", "a{3,2}", "a\nb", "[b-a]"])
-def test_bad_patterns(bad):
+@pytest.mark.parametrize("bad", [r"(?=a)", r"(?<!a)b", r"a\1", "(", ")", "[a", "*a", r"\y", "a{3,2}", "a\nb", "[b-a]", "(?P<n>a)(?P<n>b)", r"\p{Nope}", r"\p{gc=Greek}", r"\p{scx=Nope}", "[[:nope:]]", "[a&&]", "(?q)a"])
+def test_bad_patterns(spark, bad):
     with pytest.raises(PatternError):
         compile_pattern(bad)
 
 
-CASES = [("a.b", "a\u2028b", True), ("a$", "a\r", False), ("(?i)k", "\u212a", True), ("(?i)straße", "STRASSE", False), (r"\d", "٣", True), (r"(?-u)\d", "٣", False), ("x{,2}y", "xxy", True), (r"[\w--\d]", "7", False), (r"[\w--\d]", "q", True), ("a++b", "aab", True), (r"\bfoo\b", "éfoo", False), (r"\<foo\>", "a foo b", True), ("[]a]", "]", True), ("[^]a]", "b", True), ("[[:alpha:]]", "é", False), (r"\p{Greek}", "λ", True), (r"a|b|", "", True)]
+CASES = [("a.b", "a\u2028b", True), ("a$", "a\r", False), ("(?i)k", "\u212a", True), ("(?i)straße", "STRASSE", False), (r"\d", "٣", True), (r"(?-u)\d", "٣", False), ("x{,2}y", "xxy", True), (r"[\w--\d]", "7", False), (r"[\w--\d]", "q", True), ("a++b", "aab", True), (r"\bfoo\b", "éfoo", False), (r"\<foo\>", "a foo b", True), ("[]a]", "]", True), ("[^]a]", "b", True), ("[[:alpha:]]", "é", False), (r"\p{Greek}", "λ", True), (r"a|b|", "", True), ("^[a-c~~b-d]$", "a", True), ("^[a-c~~b-d]$", "d", True), ("^[a-c~~b-d]$", "b", False), ("^[a-c~~b-d]$", "~", False), ("[a-z--aeiou]", "e", False), ("[a-z--aeiou]", "f", True), (r"^\p{Lowercase_Letter}$", "é", True), (r"^\p{Lowercase_Letter}$", "É", False), (r"^\p{Any}$", "\U0001f600", True), (r"\p{White_Space}", "\u2003", True), (r"\p{scx=Hira}", "ー", True), (r"\p{sc=Hira}", "ー", False), (r"\p{^Greek}", "λ", False), ("^[[:word:]]+$", "a_1", True), ("(?x) a b # c", "ab", True), ("(?x) a b # c", "a b", False), ("(?R)a$", "a\r", True), ("a$", "a\r", False), ("(?-m)^a$", "a", True), ("(?sR).", "\r", True), ("(?R)^.$", "\r", False)]
+
+
+def test_long_lines_end_no_session(spark):
+    """Repeats of choices over long lines, which recursion can't follow."""
+    texts = ["ab" * 10_000 + "c", "ab" * 10_000, "a" * 20_000 + "b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern, want in (("(a|b)*c", [True, False, False]), ("(?:ab|a)*c", [True, False, False]), ("^(a*)*b$", [False, False, True])):
+        assert [r[0] for r in df.select(compile_pattern(pattern).matches(F.col("t"))).collect()] == want
+    assert spark.range(1).count() == 1
+
+
+SPANS = [("a*", "ba", [(0, 0), (1, 2)]), ("a*", "", [(0, 0)]), ("", "é", [(0, 0), (2, 2)]), ("x*", "axxb", [(0, 0), (1, 3), (4, 4)]), (r"\b", "ab c", [(0, 0), (2, 2), (3, 3), (4, 4)]), ("b", "éb b", [(2, 3), (4, 5)]), ("(?:ab|a)*", "aabc", [(0, 3), (4, 4)])]
+
+
+@pytest.mark.parametrize("pattern,text,want", SPANS)
+def test_spans(spark, pattern, text, want):
+    p = compile_pattern(pattern)
+    row = spark.createDataFrame([(text,)], "t string").select(p.spans(F.col("t")).alias("s"), p.all(F.col("t")).alias("m"), p.counts(F.array("t")).alias("n")).first()
+    assert [tuple(x) for x in row["s"]] == want and row["n"] == [len(want)]
+    assert row["m"] == [text.encode()[a:b].decode() for a, b in want]
 
 
 @pytest.mark.parametrize("pattern,text,hit", CASES)
@@ -34,3 +54,43 @@ def test_globs(glob, text, hit):
 def test_fuzzy_terms():
     sets = parse(r"^core go$ | rb$ | py$ !x 'a\ b")
     assert [[(t.kind, t.text, t.inverse) for t in s] for s in sets] == [[("prefix", "core", False)], [("suffix", "go", False), ("suffix", "rb", False), ("suffix", "py", False)], [("exact", "x", True)], [("exact", "a b", False)]]
+
+
+RG = [("[[:digit:]]x", ":]x", True), ("[\\]]x", "\\]x", True), ("[a-c-e]", "d", True), ("[a-c-e]", "-", False), ("[!]]", "]", False), ("a[!b]c", "a/c", True), ("a?c", "a/c", False), ("x[ab", "x[ab", True), ("{p,q}z", "qz", True), ("k{,1}m", "km", False), ("a{b,{c,d}}e", "ade", True), ("f{}g", "fg", True), ("**/x", "x", True), ("a/**/b", "a/x/y/b", True), ("a**b", "a/b", False), ("?", "é", False), ("??", "é", True), ("[é]?", "é", True)]
+
+
+def test_rg_globs(spark):
+    rows = [(i, g, t, h) for i, (g, t, h) in enumerate(RG)]
+    for _, glob, text, hit in rows:
+        assert spark.createDataFrame([(text,)], "t string").select(bytewise(F.col("t")).rlike(rg_glob_regex(glob))).first()[0] is hit, (glob, text)
+    assert [bool(rg_glob_valid(g)) for g in ("n{a,b", "o}r", "[z-a]", "[a--]", "a\\", "a\\/")] == [True] * 5 + [False]
+
+
+def test_rule_lines():
+    line = lambda text, dialect="git": [(r.regex, r.negated, r.dir_only) for r in parse_rules(text, dialect=dialect)]
+    assert len(line("# c\n\n   \n\\#hash\n\\!bang\n!neg\ndir/\n/anchored\nmid/dle\n*.o\nlit\n")) == 8
+    assert line("tab\t\n", "rg") == line("tab\n", "rg") != line("tab\t\n")
+    assert line("esc\\  \n", "rg") == [] and len(line("esc\\  \n")) == 1
+    assert line("{a,b\n[z-a]\nok\n", "rg") == line("ok", "rg") and line("a\n\udcff\nb\n", "rg") == line("a", "rg")
+    rules = Rules([("", "*.a\n!b\n"), ("x", "c")])
+    assert (rules.rule_count, rules.whitelist_count) == (3, 1)
+    rules.clear()
+    assert rules.rule_count == 0
+
+
+@pytest.mark.parametrize("chain", [300, 0])
+def test_verdicts(spark, monkeypatch, chain):
+    """The same by one expression and by joins."""
+    from textquarry.operators import ignore
+
+    monkeypatch.setattr(ignore, "CHAIN", chain)
+    rules = Rules([("", "*.log\n!keep.log\nbuild/\n/top\nlit\na/*.x\n"), ("sub", "!*.log\nlit/\n")])
+    paths = [("x.log", "ignore"), ("keep.log", "whitelist"), ("sub/x.log", "whitelist"), ("./top/", "ignore"), ("q/top", "none"), ("/lit", "ignore"), ("sub/lit", "ignore"), ("a/q.x", "ignore"), ("a/b/q.x", "none"), (".", "none"), ("", "none")]
+    df = spark.createDataFrame([(p, False) for p, _ in paths], "p string, d boolean")
+    assert {r["path"]: r["verdict"] for r in verdicts(df, "p", rules, "d").collect()} == dict(paths)
+    below = {"build/x/y": True, "/r/build/z": True, "build": False, "sub/keep": False, "lit/q": True}
+    df = spark.createDataFrame([(p,) for p in below], "p string")
+    assert {r["path"]: r["ignored"] for r in ignored(df, "p", rules, root="/r").collect()} == below
+    folded = Rules([("Sub", "A*.TXT")], icase=True)
+    df = spark.createDataFrame([("sub/ab.txt", False), ("sub/xab.txt", False)], "p string, d boolean")
+    assert {r["path"]: r["verdict"] for r in verdicts(df, "p", folded, "d").collect()} == {"sub/ab.txt": "ignore", "sub/xab.txt": "none"}

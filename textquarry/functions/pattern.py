@@ -11,9 +11,16 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pandas as pd
+import regex
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import running
+
 # The Unicode classes behind \d, \w and \s.
 DIGIT = r"\p{Nd}"
 WORD = r"\p{IsAlphabetic}\p{M}\p{Nd}\p{Pc}\u200c\u200d"
@@ -24,6 +31,21 @@ CONTROL = {"t": 9, "n": 10, "r": 13, "f": 12, "v": 11, "a": 7}
 PUNCTUATION = set("\\.+*?()|[]{}^$#&-~/ \"'<>!%,:;=@_`")
 
 
+# The general categories by their long names.
+CATEGORIES = {
+    "letter": "L", "cased letter": "LC", "uppercase letter": "Lu", "lowercase letter": "Ll", "titlecase letter": "Lt", "modifier letter": "Lm", "other letter": "Lo",
+    "mark": "M", "nonspacing mark": "Mn", "spacing mark": "Mc", "enclosing mark": "Me", "number": "N", "decimal number": "Nd", "letter number": "Nl", "other number": "No",
+    "punctuation": "P", "connector punctuation": "Pc", "dash punctuation": "Pd", "open punctuation": "Ps", "close punctuation": "Pe", "initial punctuation": "Pi", "final punctuation": "Pf", "other punctuation": "Po",
+    "symbol": "S", "math symbol": "Sm", "currency symbol": "Sc", "modifier symbol": "Sk", "other symbol": "So", "separator": "Z", "space separator": "Zs", "line separator": "Zl", "paragraph separator": "Zp",
+    "other": "C", "control": "Cc", "format": "Cf", "surrogate": "Cs", "private use": "Co", "unassigned": "Cn",
+}
+OTHER_PROPERTIES = {"any": r"[\x{0}-\x{10ffff}]", "ascii": r"[\x{0}-\x{7f}]", "assigned": r"\P{Cn}", "white space": r"\p{IsWhite_Space}", "alphabetic": r"\p{IsAlphabetic}", "uppercase": r"\p{IsUppercase}", "lowercase": r"\p{IsLowercase}"}
+# The POSIX classes, ASCII alone.
+POSIX = {"alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x{0}-\x{7f}", "blank": r"\t ", "cntrl": r"\x{0}-\x{1f}\x{7f}", "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t-\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f"}
+#: Stands around matches in a marked text; no character, so texts don't hold it.
+MARK = "\uffff"
+
+
 class PatternError(ValueError):
     """The pattern isn't valid here."""
 
@@ -35,13 +57,44 @@ class Flags:
     swap: bool = False
     ignore_case: bool = False
     line_mode: bool = True
+    multi: bool = True
+    crlf: bool = False
+    extended: bool = False
+
+
+class Node(str):
+    """A printed part.  empty: it can match nothing; one: it is one character's class, without brackets; loop: the part that it repeats
+    without bound, and whether once at least; risky: it repeats without bound what has choices, which Java does by recursion."""
+
+    empty: bool = False
+    one: str | None = None
+    loop: tuple[Node, bool] | None = None
+    risky: bool = False
+    choices: bool = False
+
+
+def node(text: str, **what) -> Node:
+    out = Node(text)
+    vars(out).update(what)
+    return out
+
+
+@lru_cache(maxsize=64)
+def script_extensions(name: str) -> str:
+    """The characters of a script and those it shares, as ranges of a class."""
+    try:
+        own = regex.compile(rf"\p{{scx={name}}}+")
+    except regex.error:
+        raise PatternError(f"an unknown script: {name}") from None
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return "".join(f"\\x{{{ord(m[0][0]):x}}}-\\x{{{ord(m[0][-1]):x}}}" for m in own.finditer(every))
 
 
 class Printer:
     """Reads a pattern once and prints it for Java."""
 
     def __init__(self, text: str, flags: Flags) -> None:
-        self.s, self.i, self.f, self.literals = text, 0, flags, []
+        self.s, self.i, self.f, self.literals, self.names = text, 0, flags, [], set()
 
     def peek(self, n: int = 1) -> str:
         return self.s[self.i : self.i + n]
@@ -50,104 +103,142 @@ class Printer:
         self.i += 1
         return self.s[self.i - 1]
 
+    def skip(self) -> None:
+        """White space and comments, under the x flag."""
+        if self.f.extended:
+            self.i = re.compile(r"(?:\s|#[^\n]*)*").match(self.s, self.i).end()
+
     def word(self) -> str:
         return f"[{(UNICODE if self.f.unicode else ASCII)['w']}]"
 
-    def alternation(self, depth: int = 0) -> str:
+    def alternation(self, depth: int = 0) -> Node:
         if depth > 250:
             raise PatternError("the pattern is nested too deeply")
         out = [self.sequence(depth)]
         while self.peek() == "|":
             self.i += 1
             out.append(self.sequence(depth))
-        return "|".join(out)
-
-    def sequence(self, depth: int) -> str:
-        out = []
-        while self.i < len(self.s) and self.peek() not in "|)":
+        if len(out) == 1:
+            return out[0]
+        if all(x.one for x in out):
+            inner = "".join(f"[{x.one}]" for x in out)
+            return node(f"[{inner}]", one=inner)
+        return node("|".join(out), empty=any(x.empty for x in out), risky=any(x.risky for x in out), choices=True)
+
+    def sequence(self, depth: int) -> Node:
+        out: list[Node] = []
+        while True:
+            self.skip()
+            if self.i >= len(self.s) or self.peek() in "|)":
+                break
             atom = self.atom(depth)
+            self.skip()
             while (q := self.quantifier()) is not None:
-                if not atom:
-                    raise PatternError("a repeat has nothing to repeat")
-                atom = f"(?:{atom}){q}"
+                atom = self.repeated(atom, *q)
+                self.skip()
             out.append(atom)
-        return "".join(out)
+        if len(out) == 1:
+            return out[0]
+        return node("".join(out), empty=all(x.empty for x in out), risky=any(x.risky for x in out), choices=any(x.choices for x in out))
 
-    def quantifier(self) -> str | None:
+    def repeated(self, atom: Node, least: int, most: int | None, lazy: bool) -> Node:
+        if not atom:
+            raise PatternError("a repeat has nothing to repeat")
+        if most is None and least <= 1 and not lazy and atom.loop:  # a loop of a loop is one loop
+            body, once = atom.loop
+            return self.repeated(body, int(once and least == 1), None, False)
+        q = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((least, most)) or "{" + (str(least) if most == least else f"{least},{'' if most is None else most}") + "}"
+        text = f"{atom}{q}" if atom.one else f"(?:{atom}){q}"
+        loop = (atom, least == 1) if most is None and least <= 1 and not lazy else None
+        return node(text + "?" * lazy, empty=atom.empty or least == 0, loop=loop, risky=atom.risky or most is None and atom.choices, choices=not atom.one or most != least)
+
+    def quantifier(self) -> tuple[int, int | None, bool] | None:
         c = self.peek()
         if c and c in "*+?":
             self.i += 1
-            q = c
-        elif m := re.compile(r"\{(\d*)(,?)(\d*)\}").match(self.s, self.i):
+            least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}[c]
+        elif m := re.compile(r"\{\s*(\d*)\s*(,?)\s*(\d*)\s*\}").match(self.s, self.i):
             if not m[1] and not m[3]:
                 raise PatternError("a repeat needs a number")
             self.i = m.end()
-            q = "{" + (m[1] or "0") + (m[2] + m[3] if m[2] else "") + "}"
-            if m[3] and int(m[3]) < int(m[1] or 0):
+            least = int(m[1] or 0)
+            most = (int(m[3]) if m[3] else None) if m[2] else least
+            if most is not None and most < least:
                 raise PatternError("a repeat's range is empty")
         elif c == "{":
             raise PatternError("a repeat isn't closed")
         else:
             return None
+        self.skip()
         lazy = self.peek() == "?"
         self.i += lazy
-        return q + "?" * (lazy != self.f.swap)
+        return least, most, lazy != self.f.swap
 
-    def atom(self, depth: int) -> str:
+    def atom(self, depth: int) -> Node:
         c = self.take()
         if c == "(":
             return self.group(depth)
         if c == "[":
-            return self.bracket()
+            return self.of_class(self.bracket())
         if c == ".":
-            return r"(?s:.)" if self.f.dot_all else r"[^\n]"
-        if c == "^":
-            return r"\A" if self.f.line_mode else r"(?<![^\n])"
-        if c == "$":
-            return r"\z" if self.f.line_mode else r"(?![^\n])"
+            inner = r"\x{0}-\x{10ffff}" if self.f.dot_all else r"^\n\r" if self.f.crlf else r"^\n"
+            return self.of_class(f"[{inner}]")
+        if c in "^$":
+            return node(self.anchor(c), empty=True)
         if c == "\\":
             return self.escape()
         if c in "*+?":
             raise PatternError("a repeat has nothing to repeat")
         return self.literal(ord(c))
 
-    def literal(self, code: int) -> str:
+    def of_class(self, text: str) -> Node:
+        return node(text, one=text)
+
+    def anchor(self, c: str) -> str:
+        if self.f.crlf and (self.f.multi or self.f.line_mode):
+            return (r"(?<![^\r\n])" if c == "^" else r"(?![^\r\n])") + r"(?!(?<=\r)\n)"
+        if self.f.line_mode or not self.f.multi:
+            return r"\A" if c == "^" else r"\z"
+        return r"(?<![^\n])" if c == "^" else r"(?![^\n])"
+
+    def literal(self, code: int) -> Node:
         if code == 10 and self.f.line_mode:
             raise PatternError("a line pattern can't hold a line feed")
         self.literals.append(chr(code))
         c = chr(code)
-        return c if c.isascii() and c.isalnum() else f"\\x{{{code:x}}}"
+        text = c if c.isascii() and c.isalnum() else f"\\x{{{code:x}}}"
+        return node(text, one=text)
 
-    def group(self, depth: int) -> str:
-        before = Flags(**vars(self.f))
+    def group(self, depth: int) -> Node:
+        before, case = Flags(**vars(self.f)), ""
         if self.peek() == "?":
             rest = self.s[self.i + 1 :]
             if re.match(r"<?[=!]", rest):
                 raise PatternError("look-around isn't supported")
-            if m := re.match(r"P?<([A-Za-z_]\w*)>", rest):
+            if m := re.match(r"P?<([A-Za-z_][\w.\[\]]*)>", rest):
+                if m[1] in self.names:
+                    raise PatternError(f"two groups have the name {m[1]}")
+                self.names.add(m[1])
                 self.i += 1 + m.end()
             elif m := re.match(r"([imsUxuR]*)(?:-([imsUxuR]+))?([:)])", rest):
-                if "x" in m[1]:
-                    raise PatternError("the x flag isn't supported")
                 self.i += 1 + m.end()
+                if m[3] == ")" and not m[1] and not m[2]:
+                    raise PatternError("a group has no flags")
                 for names, on in ((m[1], True), (m[2] or "", False)):
-                    self.f.dot_all = on if "s" in names else self.f.dot_all
-                    self.f.swap = on if "U" in names else self.f.swap
-                    self.f.unicode = on if "u" in names else self.f.unicode
-                    self.f.ignore_case = on if "i" in names else self.f.ignore_case
+                    for flag, name in (("s", "dot_all"), ("U", "swap"), ("u", "unicode"), ("i", "ignore_case"), ("x", "extended"), ("m", "multi"), ("R", "crlf")):
+                        if flag in names:
+                            setattr(self.f, name, on)
                 case = "(?iu)" if "i" in m[1] else "(?-i)" if "i" in (m[2] or "") else ""
                 if m[3] == ")":
-                    return case
-                inner = case + self.alternation(depth + 1)
-                self.close()
-                self.f = before
-                return f"(?:{inner})"
+                    return node(case, empty=True)
             else:
                 raise PatternError("a group has unknown flags")
         inner = self.alternation(depth + 1)
         self.close()
         self.f = before
-        return f"(?:{inner})"
+        if inner.one and not case:
+            return inner
+        return node(f"(?:{case}{inner})", empty=inner.empty, loop=None if case else inner.loop, risky=inner.risky, choices=inner.choices)
 
     def close(self) -> None:
         if self.peek() != ")":
@@ -172,14 +263,14 @@ class Printer:
         self.i -= bool(c)
         return None
 
-    def escape(self) -> str:
+    def escape(self) -> Node:
         c = self.peek()
         if c and c in "dwsDWS":
             self.i += 1
             inner = (UNICODE if self.f.unicode else ASCII)[c.lower()]
-            return f"[^{inner}]" if c.isupper() else f"[{inner}]"
+            return self.of_class(f"[^{inner}]" if c.isupper() else f"[{inner}]")
         if c and c in "pP":
-            return self.property()
+            return self.of_class(self.property())
         w = self.word()
         edges = {"b": f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))", "B": f"(?:(?<={w})(?={w})|(?<!{w})(?!{w}))", "<": f"(?:(?<!{w})(?={w}))", ">": f"(?:(?<={w})(?!{w}))", "A": r"\A", "z": r"\z"}
         named = {"start": edges["<"], "end": edges[">"], "start-half": f"(?<!{w})", "end-half": f"(?!{w})"}
@@ -187,10 +278,10 @@ class Printer:
             if m[1] not in named:
                 raise PatternError("an unknown boundary")
             self.i = m.end()
-            return named[m[1]]
+            return node(named[m[1]], empty=True)
         if c and c in edges:
             self.i += 1
-            return edges[c]
+            return node(edges[c], empty=True)
         code = self.code()
         if code is None:
             raise PatternError(f"an unknown escape: \\{self.peek()}")
@@ -201,44 +292,61 @@ class Printer:
         if not m:
             raise PatternError("a property isn't closed")
         self.i = m.end()
-        name = re.sub(r"^(?:gc|sc|scx|Script|General_Category)=", "", m[3] or m[4])
-        negated = (m[1] == "P") != bool(m[2])
-        java = f"{{{name}}}" if len(name) <= 2 else f"{{Is{name}}}"
-        return f"\\{'P' if negated else 'p'}{java}"
+        kind, _, value = (m[3] or m[4]).rpartition("=")
+        kind, name = kind.lower().replace("_", ""), re.sub(r"[\s_-]+", " ", value).strip().lower()
+        if kind not in ("", "gc", "generalcategory", "sc", "script", "scx", "scriptextensions"):
+            raise PatternError(f"an unknown property: {kind}")
+        short = {v.lower(): v for v in CATEGORIES.values()}
+        if kind.startswith("scx") or kind == "scriptextensions":
+            java = f"[{script_extensions(value)}]"
+        elif kind not in ("sc", "script") and (name in CATEGORIES or name in short):
+            java = f"\\p{{{CATEGORIES.get(name) or short[name]}}}"
+        elif not kind and name in OTHER_PROPERTIES:
+            java = OTHER_PROPERTIES[name]
+        elif kind in ("gc", "generalcategory"):
+            raise PatternError(f"an unknown category: {value}")
+        else:
+            java = f"\\p{{script={name.replace(' ', '_')}}}"
+        return f"[^{java}]" if (m[1] == "P") != bool(m[2]) else java
 
     def bracket(self) -> str:
-        out = ["["]
-        if self.peek() == "^":
-            out.append("^")
-            self.i += 1
-        first = True
+        """A class from behind its ``[``: unions of members, joined by && -- ~~ from the left."""
+        negated = self.peek() == "^"
+        self.i += negated
+        left = self.union(first=True)
+        while (op := self.peek(2)) in ("&&", "--", "~~"):
+            self.i += 2
+            right = self.union()
+            left = {"&&": f"[{left}&&{right}]", "--": f"[{left}&&[^{right}]]", "~~": f"[[{left}&&[^{right}]][{right}&&[^{left}]]]"}[op]
+        self.i += 1
+        return f"[^{left}]" if negated else left
+
+    def union(self, first: bool = False) -> str:
+        """Members up to an operator or the end of the class, which is left to be read."""
+        out = []
         while True:
+            if self.f.extended:
+                self.skip()
             c = self.peek()
             if not c:
                 raise PatternError("a class isn't closed")
-            if c == "]" and not first:
-                self.i += 1
-                return "".join(out) + "]"
-            first = False
-            if self.peek(2) == "&&":
-                out.append("&&")
-                self.i += 2
-            elif self.peek(2) == "--" and self.s[self.i + 2 : self.i + 3] not in ("]", ""):
-                self.i += 2
-                if self.peek() == "[":
-                    self.i += 1
-                    rest = self.bracket()
-                else:
-                    rest = "[" + self.member() + "]"
-                out.append(f"&&[^{rest}]")
-            elif m := re.compile(r"\[:(\^?)([a-z]+):\]").match(self.s, self.i):
+            if c == "]" and not (first and not out):
+                break
+            if self.peek(2) in ("&&", "~~") or self.peek(2) == "--" and self.s[self.i + 2 : self.i + 3] != "]":
+                break
+            if m := re.compile(r"\[:(\^?)([a-z]+):\]").match(self.s, self.i):
+                if m[2] not in POSIX:
+                    raise PatternError(f"an unknown class: {m[2]}")
                 self.i = m.end()
-                out.append(f"\\{'P' if m[1] else 'p'}{{{m[2].capitalize() if m[2] not in ('xdigit', 'ascii') else {'xdigit': 'XDigit', 'ascii': 'ASCII'}[m[2]]}}}")
+                out.append(f"[{m[1]}{POSIX[m[2]]}]")
             elif c == "[":
                 self.i += 1
                 out.append(self.bracket())
             else:
                 out.append(self.member())
+        if not out:
+            raise PatternError("a class has nothing on one side")
+        return f"[{''.join(out)}]"
 
     def member(self) -> str:
         """A character, a range, or a class escape within brackets."""
@@ -257,7 +365,7 @@ class Printer:
         else:
             code = ord(c)
         self.literals.append(chr(code))
-        if self.peek() == "-" and self.peek(2) not in ("-]", "--"):
+        if self.peek() == "-" and self.peek(2) not in ("-]", "--") and len(self.peek(2)) == 2:
             self.i += 1
             end = self.take()
             if end == "\\":
@@ -274,56 +382,160 @@ class Printer:
 
 @dataclass(frozen=True)
 class Pattern:
-    """A pattern for Java, and the fixed string that it is, if it is one."""
+    """A pattern for Java, and the fixed string that it is, if it is one.
+
+    Java repeats choices by recursion, so a long text could exhaust its stack.  Such patterns go to Python's regex module,
+    which doesn't, in Arrow batches.
+    """
 
     java: str
     fixed: str | None
+    empty: bool = False
+    risky: bool = False
+
+    def python(self) -> str:
+        """The same for the regex module."""
+        text = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", self.java)
+        return "(?V1)" + text.replace(r"\z", r"\Z").replace("(?iu)", "(?i)")
 
     def matches(self, col: Column) -> Column:
-        return col.contains(self.fixed) if self.fixed is not None else col.rlike(self.java)
+        if self.fixed is not None:
+            return col.contains(self.fixed)
+        if not self.risky:
+            return col.rlike(self.java)
+        python = self.python()
+
+        @F.pandas_udf("boolean")
+        def searched(texts: pd.Series) -> pd.Series:
+            found = regex.compile(python).search
+            return texts.map(lambda t: None if t is None else found(t) is not None)
+
+        return searched(col)
+
+    def flags(self, lines: Column) -> Column:
+        """Of an array of lines, which match."""
+        if not self.risky:
+            return F.transform(lines, self.matches)
+        python = self.python()
+
+        @F.pandas_udf("array<boolean>")
+        def searched(arrays: pd.Series) -> pd.Series:
+            found = regex.compile(python).search
+            return arrays.map(lambda a: None if a is None else [found(t) is not None for t in a])
+
+        return searched(lines)
+
+    def counts(self, lines: Column) -> Column:
+        """Of an array of lines, how many matches each has."""
+        if self.fixed:
+            bare = lambda x: F.octet_length(F.replace(x, F.lit(self.fixed), F.lit("")))
+            return F.transform(lines, lambda x: ((F.octet_length(x) - bare(x)) / len(self.fixed.encode())).cast("int"))
+        if not self.risky:
+            return F.transform(lines, lambda x: F.size(self.all(x)))
+        python = self.python()
+
+        @F.pandas_udf("array<int>")
+        def counted(arrays: pd.Series) -> pd.Series:
+            found = regex.compile(python)
+
+            def n(text: str) -> int:
+                last, total = -1, 0
+                for m in found.finditer(text):
+                    total += m.end() > m.start() or m.start() != last
+                    last = m.end()
+                return total
+
+            return arrays.map(lambda a: None if a is None else [n(t) for t in a])
+
+        return counted(lines)
+
+    def marked(self, col: Column) -> Column:
+        """The text with MARK before and after every match; a text that holds MARK is refused."""
+        refused = F.raise_error(F.lit("a text holds U+FFFF, which is no character"))
+        if not self.risky:
+            return F.when(col.contains(MARK), refused).otherwise(F.regexp_replace(col, self.java, f"{MARK}$0{MARK}"))
+        python = self.python()
+
+        @F.pandas_udf("string")
+        def replaced(texts: pd.Series) -> pd.Series:
+            found = regex.compile(python)
+            return texts.map(lambda t: None if t is None else found.sub(lambda m: f"{MARK}{m[0]}{MARK}", t))
+
+        return F.when(col.contains(MARK), refused).otherwise(replaced(col))
+
+    def pairs(self, col: Column) -> Column:
+        """array<struct<gap, match>>: each match with the text between it and the one before, without empty matches that touch one.
+
+        The gap of a match behind one that was left out is whole, as that one had no text.
+        """
+        pieces = F.split(self.marked(col), MARK, -1)
+
+        def of(p: Column) -> Column:
+            every = F.transform(F.sequence(F.lit(1), F.floor(F.size(p) / 2).cast("int")), lambda i: F.struct(F.element_at(p, i * 2 - 1).alias("gap"), F.element_at(p, i * 2).alias("match"), i.alias("i")))
+            if self.empty:
+                every = F.filter(every, lambda x: (x["match"] != "") | (x["gap"] != "") | (x["i"] == 1))
+            return F.when(F.size(p) > 1, F.transform(every, lambda x: F.struct(x["gap"], x["match"]))).otherwise(F.array().cast("array<struct<gap:string,match:string>>"))
+
+        return F.element_at(F.transform(F.array(pieces), of), 1)
 
     def all(self, col: Column) -> Column:
+        """The matches, as strings."""
+        if self.empty or self.risky:
+            return F.transform(self.pairs(col), lambda x: x["match"])
         return F.regexp_extract_all(col, F.lit(self.java), F.lit(0))
 
-    def pieces(self, col: Column) -> Column:
-        return F.split(col, self.java, -1)
+    def before_first(self, col: Column) -> Column:
+        """What stands before the first match; null without one."""
+        return F.when(self.matches(col), F.element_at(self.pairs(col), 1)["gap"])
 
     def spans(self, col: Column) -> Column:
-        """array<struct<start, end>> of byte offsets, for patterns without empty matches."""
-        rows = F.zip_with(F.slice(self.pieces(col), 1, F.size(self.all(col))), self.all(col), lambda p, m: F.struct(F.octet_length(p).alias("gap"), F.octet_length(m).alias("size")))
-        kind = "array<struct<start:int,end:int>>"
-        begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+        """array<struct<start, end>> of byte offsets."""
+        pairs = self.pairs(col)
+
+        def of(p: Column) -> Column:
+            ends = F.transform(p, lambda x: (F.octet_length(x["gap"]) + F.octet_length(x["match"])).cast("long"))
+            return F.zip_with(p, running(ends), lambda x, at: F.struct((at + F.octet_length(x["gap"])).cast("int").alias("start"), (at + F.octet_length(x["gap"]) + F.octet_length(x["match"])).cast("int").alias("end")))
+
+        return F.element_at(F.transform(F.array(pairs), of), 1)
 
-        def step(a: Column, x: Column) -> Column:
-            start = a["at"] + x["gap"]
-            end = start + x["size"]
-            return F.struct(end.alias("at"), F.concat(a["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).cast(kind).alias("spans"))
 
-        return F.aggregate(rows, begin, step, lambda a: a["spans"])
+def check(java: str) -> None:
+    """Refuse now what Java can't compile, where a session runs."""
+    sc = SparkContext._active_spark_context
+    if sc is None or sc._jvm is None:
+        return
+    try:
+        sc._jvm.java.util.regex.Pattern.compile(java)
+    except (Py4JJavaError, IllegalArgumentException) as error:
+        raise PatternError(str(error).split("\n")[0]) from None
 
 
 @lru_cache(maxsize=128)
-def compile_pattern(text: str | tuple[str, ...], fixed: bool = False, case: str = "sensitive", word: bool = False, line: bool = False, line_mode: bool = True, dot_all: bool = False) -> Pattern:
+def compile_pattern(text: str | tuple[str, ...], fixed: bool = False, case: str = "sensitive", word: bool = False, line: bool = False, line_mode: bool = True, dot_all: bool = False, crlf: bool = False) -> Pattern:
     """case is sensitive, ignore or smart (ignore if there are letters and none is upper case); several texts are alternatives."""
     texts = (text,) if isinstance(text, str) else text
-    printed, literals = [], []
+    printed, literals, empty, risky = [], [], False, False
     for t in texts:
         if fixed:
             printed.append("".join(f"\\x{{{ord(c):x}}}" for c in t))
             literals += t
+            empty |= not t
         else:
-            p = Printer(t, Flags(line_mode=line_mode, dot_all=dot_all))
+            p = Printer(t, Flags(line_mode=line_mode, dot_all=dot_all, crlf=crlf))
             out = p.alternation()
             if p.i < len(t):
                 raise PatternError("a group isn't opened")
             printed.append(out)
             literals += p.literals
+            empty, risky = empty | out.empty, risky | out.risky
     ignore = case == "ignore" or case == "smart" and bool(literals) and not any(c.isupper() for c in literals)
     java = printed[0] if len(printed) == 1 else "|".join(f"(?:{x})" for x in printed)
     if line:
-        java = f"\\A(?:{java})\\z"
+        java = f"\\A(?:{java})\\r?\\z" if crlf else f"\\A(?:{java})\\z" if line_mode else f"(?<![^\\n])(?:{java})(?![^\\n])"
     elif word:
         java = f"(?<![{WORD}])(?:{java})(?![{WORD}])"
+    java = f"(?iu)(?:{java})" if ignore else str(java)
+    check(java)
     plain = fixed or not re.search(r"[\\.+*?()|\[\]{}^$]", texts[0])
     only = texts[0] if len(texts) == 1 and plain and not (ignore or word or line) else None
-    return Pattern(f"(?iu)(?:{java})" if ignore else java, only)
+    return Pattern(java, only, empty, risky and not fixed)

@@ -1,8 +1,11 @@
 """Line search over a text column.
 
-A line is what stands between line feeds; a final line feed doesn't begin another line.  Where only lines
-are selected, all is one narrow stage: a whole-text test first, where the pattern is a fixed string, then
-the lines.  Context, limits and offsets look at neighbours and so shuffle lines by document.
+A line is what stands between line feeds; a final line feed doesn't begin another line.  A document's lines are in
+its row already, so nothing here moves rows between tasks: lines are selected in one narrow stage (a whole-text test
+first, where the pattern is a fixed string), and context, limits and offsets are worked out over the row's array of lines.
+
+With ``multiline`` a pattern meets whole texts and may span lines: all lines that a match touches are selected, and
+limits count matches.  Documents are rows, whatever their ids.
 """
 
 from __future__ import annotations
@@ -10,111 +13,207 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running
 from ..functions.pattern import Pattern, compile_pattern
 
 
-def lines(df: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
-    """(ids, line_number from 1, text) of every line."""
-    text = F.col(text_col)
-    body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    split = F.posexplode(F.split(body, "\n", -1)).alias("pos", "text")
-    return df.where(text.isNotNull() & (text != "")).select(*id_cols, split).select(*id_cols, (F.col("pos") + 1).cast("long").alias("line_number"), "text")
+def free(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it where an id column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def body_of(text: Column) -> Column:
+    return F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
 
 
-def selected(pattern: Pattern, invert: bool) -> Column:
-    hit = pattern.matches(F.col("text"))
+def lines_of(text: Column) -> Column:
+    """The lines of a text; of none, null or empty, no lines."""
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(body_of(text), "\n", -1))
+
+
+def selected(pattern: Pattern, text: Column, invert: bool) -> Column:
+    hit = pattern.matches(text)
     return ~hit if invert else hit
 
 
 def column_of(pattern: Pattern, text: Column) -> Column:
     """The byte column, from 1, of the first match; 1 where there is none."""
-    before = F.element_at(pattern.pieces(text), 1)
-    return F.when(pattern.matches(text), F.octet_length(before) + 1).otherwise(1).cast("long")
+    return F.coalesce(F.octet_length(pattern.before_first(text)) + 1, F.lit(1)).cast("long")
 
 
-def grep(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], invert: bool = False, before: int = 0, after: int = 0, max_count: int | None = None, byte_offset: bool = False, column: bool = False, spans: bool = False, **options) -> DataFrame:
-    """Matching lines, with context lines where asked for: (ids, kind, line_number, text, ...)."""
-    p = compile_pattern(pattern, **options)
-    rows = df
-    plain = not (before or after or max_count or byte_offset)
-    if plain and p.fixed and not invert:
-        rows = df.where(F.col(text_col).contains(p.fixed))
-    rows = lines(rows, text_col, id_cols).withColumn("selected", selected(p, invert))
-    if plain:
-        rows = rows.where("selected").withColumn("kind", F.lit("match"))
+def matches_in(pattern: Pattern, text: Column) -> Column:
+    """array<struct<line, last, match>>: the matches of a whole text with the first and last line that each touches.
+
+    An empty match behind the final line feed is on no line.
+    """
+    feeds = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("long")
+
+    def of(p: Column) -> Column:
+        before = running(F.transform(p, lambda x: feeds(x["gap"]) + feeds(x["match"])))
+        ends = running(F.transform(p, lambda x: (F.length(x["gap"]) + F.length(x["match"])).cast("long")))
+
+        def line(x: Column, n: Column) -> Column:
+            first = n + feeds(x["gap"]) + 1
+            return F.struct(first.alias("line"), (first + feeds(x["match"]) - x["match"].endswith("\n").cast("long")).alias("last"), x["match"].alias("match"))
+
+        lined = F.zip_with(p, before, line)
+        behind = F.zip_with(p, ends, lambda x, at: (x["match"] == "") & (at + F.length(x["gap"]) == F.length(text)) & (text.endswith("\n") | (text == "")))
+        return F.filter(lined, lambda x, i: ~F.element_at(behind, i + 1))
+
+    return F.element_at(F.transform(F.array(pattern.pairs(F.coalesce(text, F.lit("")))), of), 1)
+
+
+def grep(
+    df: DataFrame,
+    text_col: str,
+    pattern: str | tuple[str, ...],
+    id_cols: list[str],
+    invert: bool = False,
+    before: int = 0,
+    after: int = 0,
+    max_count: int | None = None,
+    byte_offset: bool = False,
+    column: bool = False,
+    spans: bool = False,
+    max_spans_per_line: int | None = None,
+    multiline: bool = False,
+    multiline_dotall: bool = False,
+    **options,
+) -> DataFrame:
+    """Matching lines, with context lines where asked for: (ids, kind, line_number, [byte_offset, column, spans,] text).
+
+    Names that an id column has get an underscore.  Inverted lines have no spans.
+    """
+    p = compile_pattern(pattern, line_mode=not multiline, dot_all=multiline_dotall, **options)
+    text = F.col(text_col)
+    rows = df.where(text.contains(p.fixed)) if p.fixed and not invert else df.where(text.isNotNull() & (text != ""))
+    ids, parts = [f"_id{i}" for i in range(len(id_cols))], {}
+    rows = rows.select(*(F.col(c).alias(i) for c, i in zip(id_cols, ids)), text.alias("_text"))
+    if not (before or after or max_count or byte_offset or multiline):
+        rows = rows.select(*ids, F.posexplode(lines_of(F.col("_text"))).alias("_pos", "_line")).where(selected(p, F.col("_line"), invert))
+        rows = rows.select(*ids, F.lit("match").alias("_kind"), (F.col("_pos") + 1).cast("long").alias("_number"), "_line")
     else:
-        by = Window.partitionBy(*id_cols).orderBy("line_number")
-        upto = by.rowsBetween(Window.unboundedPreceding, 0)
-        if byte_offset:
-            rows = rows.withColumn("byte_offset", F.coalesce(F.sum(F.octet_length("text") + 1).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-        if before or after or max_count:
-            kept = F.col("selected") & (F.sum(F.col("selected").cast("int")).over(upto) <= max_count) if max_count else F.col("selected")
-            rows = rows.withColumn("kept", kept)
-            near = F.max(F.col("kept").cast("int")).over(by.rowsBetween(-after, before)) == 1
-            rows = rows.withColumn("show", near).where("show")
+        rows = rows.withColumn("_lines", lines_of(F.col("_text")))
+        everything = F.sequence(F.lit(1).cast("long"), F.size("_lines").cast("long"))
+        if multiline:
+            rows = rows.withColumn("_found", matches_in(p, F.col("_text")))
+            found = F.slice("_found", 1, max_count) if max_count else F.col("_found")
+            touched = F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["line"], x["last"]))))
+            rows = rows.withColumn("_hits", F.array_except(everything, touched) if invert else touched).withColumn("_kept", F.col("_hits"))
+        else:
+            hits = F.filter(everything, lambda i: F.element_at("_flags", i.cast("int")) != F.lit(invert))
+            rows = rows.withColumn("_flags", p.flags(F.col("_lines"))).withColumn("_hits", hits).withColumn("_kept", F.slice("_hits", 1, max_count) if max_count else F.col("_hits"))
+        rows = rows.where(F.size("_kept") > 0)
+        if before or after:
+            near = F.transform("_kept", lambda i: F.sequence(F.greatest(i - before, F.lit(1).cast("long")), F.least(i + after, F.size("_lines").cast("long"))))
+            rows = rows.withColumn("_shown", F.array_distinct(F.flatten(near)))
+            kinds = [("match", F.array_intersect("_shown", "_hits")), ("context", F.array_except("_shown", "_hits"))]
         else:
-            rows = rows.where("selected")
-        rows = rows.withColumn("kind", F.when(F.col("selected"), "match").otherwise("context"))
-    out = [*id_cols, "kind", "line_number", *(["byte_offset"] if byte_offset else [])]
+            kinds = [("match", F.col("_kept"))]
+        if byte_offset:
+            rows = rows.withColumn("_starts", running(F.transform("_lines", lambda x: (F.octet_length(x) + 1).cast("long"))))
+            parts["_offset"] = lambda i: F.element_at("_starts", i.cast("int"))
+        row = lambda kind: lambda i: F.struct(F.lit(kind).alias("_kind"), i.alias("_number"), F.element_at("_lines", i.cast("int")).alias("_line"), *(f(i).alias(n) for n, f in parts.items()))
+        rows = rows.select(*ids, F.inline(F.concat(*(F.transform(at, row(kind)) for kind, at in kinds))))
+    line, out = F.col("_line"), {"kind": F.col("_kind"), "line_number": F.col("_number")}
+    if byte_offset:
+        out["byte_offset"] = F.col("_offset")
     if column:
-        rows, out = rows.withColumn("column", column_of(p, F.col("text"))), [*out, "column"]
+        out["column"] = column_of(p, line)
     if spans:
-        rows, out = rows.withColumn("spans", p.spans(F.col("text"))), [*out, "spans"]
-    return rows.select(*out, "text")
+        own = F.slice(p.spans(line), 1, max_spans_per_line) if max_spans_per_line else p.spans(line)
+        out["spans"] = F.array().cast("array<struct<start:int,end:int>>") if invert else own
+    out["text"] = line
+    return rows.select(*(F.col(i).alias(c) for i, c in zip(ids, id_cols)), *(v.alias(free(k, id_cols)) for k, v in out.items()))
 
 
-def grep_count(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], invert: bool = False, matches: bool = False, **options) -> DataFrame:
-    """(ids, n): selected lines, or matches, of every document that has any."""
-    p = compile_pattern(pattern, **options)
-    rows = lines(df, text_col, id_cols)
-    n = F.sum(F.size(p.all(F.col("text")))) if matches else F.count(F.lit(1))
-    return rows.where(selected(p, invert)).groupBy(*id_cols).agg(n.cast("long").alias("n"))
+def grep_count(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], invert: bool = False, matches: bool = False, multiline: bool = False, multiline_dotall: bool = False, **options) -> DataFrame:
+    """(ids, n): selected lines, or matches, of every document that has any; with multiline always matches, unless inverted."""
+    p = compile_pattern(pattern, line_mode=not multiline, dot_all=multiline_dotall, **options)
+    text = F.col(text_col)
+    if multiline:
+        found = matches_in(p, text)
+        touched = F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["line"], x["last"])))))
+        n = F.size(lines_of(text)) - touched if invert else F.size(found)
+    elif matches:
+        n = F.lit(0) if invert else F.aggregate(p.counts(lines_of(text)), F.lit(0), lambda a, x: a + x)
+    else:
+        n = F.size(F.filter(p.flags(lines_of(text)), lambda x: x != F.lit(invert)))
+    return df.where(text.isNotNull() & (text != "")).select(*id_cols, n.cast("long").alias(free("n", id_cols))).where(F.col(free("n", id_cols)) > 0)
 
 
 def grep_documents(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], without: bool = False, **options) -> DataFrame:
-    """The ids of documents with (or without) a matching line, without a shuffle."""
+    """The ids of documents with (or without) a matching line."""
     p = compile_pattern(pattern, **options)
     if p.fixed is not None and "\n" not in p.fixed:
         hit = F.coalesce(F.col(text_col).contains(p.fixed), F.lit(False))
+    elif p.risky:
+        hit = F.exists(p.flags(lines_of(F.col(text_col))), lambda x: x)
     else:
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-        hit = (text != "") & F.exists(F.split(body, "\n", -1), p.matches)
+        hit = F.exists(lines_of(F.col(text_col)), p.matches)
     return df.where(~hit if without else hit).select(*id_cols)
 
 
-def only_matching(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], **options) -> DataFrame:
-    """(ids, line_number, nth from 1, match): a row for each match."""
-    p = compile_pattern(pattern, **options)
-    rows = lines(df, text_col, id_cols).where(p.matches(F.col("text")))
-    return rows.select(*id_cols, "line_number", F.posexplode(p.all(F.col("text"))).alias("nth", "match")).withColumn("nth", (F.col("nth") + 1).cast("long"))
+def only_matching(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], column: bool = False, multiline: bool = False, multiline_dotall: bool = False, **options) -> DataFrame:
+    """(ids, line_number, nth from 1, [column,] match): a row for each match, nth within its line or, with multiline, its text.
+
+    With column, the byte column from 1 where the match begins in its line.
+    """
+    p = compile_pattern(pattern, line_mode=not multiline, dot_all=multiline_dotall, **options)
+    text = F.col(text_col)
+    names = {k: free(k, id_cols) for k in ("line_number", "nth", "column", "match")}
+    if multiline:
+        found = df.where(text.isNotNull() & (text != "")).select(*id_cols, F.posexplode(matches_in(p, text)).alias("_pos", "_found"))
+        return found.select(*id_cols, F.col("_found.line").alias(names["line_number"]), (F.col("_pos") + 1).cast("long").alias(names["nth"]), F.col("_found.match").alias(names["match"]))
+    rows = df.select(*id_cols, F.posexplode(lines_of(text)).alias("_pos", "_line")).where(p.matches(F.col("_line")))
+    each = F.transform(p.all(F.col("_line")), lambda m: F.struct(m.alias("match")))
+    if column:
+        each = F.zip_with(p.all(F.col("_line")), p.spans(F.col("_line")), lambda m, s: F.struct(m.alias("match"), (s["start"] + 1).cast("long").alias("column")))
+    rows = rows.select(*id_cols, (F.col("_pos") + 1).cast("long").alias("_number"), F.posexplode(each).alias("_nth", "_found"))
+    return rows.select(*id_cols, F.col("_number").alias(names["line_number"]), (F.col("_nth") + 1).cast("long").alias(names["nth"]), *([F.col("_found.column").alias(names["column"])] if column else []), F.col("_found.match").alias(names["match"]))
+
+
+def vimgrep(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], **options) -> DataFrame:
+    """(ids, line_number, column, text): the line once for each of its matches."""
+    found = grep(df, text_col, pattern, id_cols, spans=True, **options)
+    spans, number, text = (free(c, id_cols) for c in ("spans", "line_number", "text"))
+    return found.select(*id_cols, number, F.explode(spans).alias("_span"), text).select(*id_cols, number, (F.col("_span.start") + 1).cast("long").alias(free("column", id_cols)), text)
+
+
+def grep_hits(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], path_col: str, max_results: int | None = None, **options) -> DataFrame:
+    """(path, line, column, text) of matching lines; with max_results the first so many by path component and line."""
+    found = grep(df, text_col, pattern, [path_col], column=True, **options)
+    found = found.select(F.col(path_col).alias("path"), F.col(free("line_number", [path_col])).alias("line"), F.col(free("column", [path_col])).alias("column"), F.col(free("text", [path_col])).alias("text"))
+    return found.orderBy(F.split("path", "/"), "line").limit(max_results) if max_results else found
 
 
 def grep_stats(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], **options) -> DataFrame:
     """One row: documents searched and matched, matching lines, matches, and bytes searched."""
     p = compile_pattern(pattern, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    hits = F.when(text == "", F.array().cast("array<string>")).otherwise(F.filter(F.split(body, "\n", -1), p.matches))
-    each = df.select(F.octet_length(text).alias("bytes"), F.size(hits).alias("hit"), F.aggregate(hits, F.lit(0), lambda a, x: a + F.size(p.all(x))).alias("found"))
+    each = df.select(F.octet_length(text).alias("bytes"), p.counts(lines_of(text)).alias("counts"))
+    each = each.select("bytes", F.size(F.filter("counts", lambda x: x > 0)).alias("hit"), F.aggregate("counts", F.lit(0), lambda a, x: a + x).alias("found"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return each.agg(F.count(F.lit(1)).alias("searched"), total((F.col("hit") > 0).cast("long")).alias("matched"), total("hit").alias("matched_lines"), total("found").alias("matches"), total("bytes").alias("bytes_searched"))
 
 
-GIT_HASH = r"(?-u)\b[0-9a-f]{7,40}\b"
+GIT_HASH = r"\b[0-9a-f]{7,40}\b"
 
 
-def detect_git_hashes(df: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
-    return only_matching(df, text_col, GIT_HASH, id_cols)
+def detect_git_hashes(df: DataFrame, text_col: str, id_cols: list[str], column: bool = False) -> DataFrame:
+    return only_matching(df, text_col, GIT_HASH, id_cols, column=column)
 
 
 # Fixed value: what counts as an address; marks that end a sentence don't end an address.
 URL = r"(?:https?|ftp|file)://[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]*[A-Za-z0-9\-_~/#@$&*+=%]"
 
 
-def detect_urls(df: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
-    """(ids, line_number, nth from 1, match) of every address."""
-    return only_matching(df, text_col, URL, id_cols)
+def detect_urls(df: DataFrame, text_col: str, id_cols: list[str], column: bool = False) -> DataFrame:
+    """(ids, line_number, nth from 1, [column,] match) of every address."""
+    return only_matching(df, text_col, URL, id_cols, column=column)
 
 
 def printed(found: DataFrame, path_col: str, column: bool = False) -> DataFrame:

@@ -41,13 +41,13 @@ on_lines("grep_invert", "the", "NOT contains(text, 'the')", invert=True)
 on_lines("grep_ignore_case", "STREA", "regexp_matches(text, '(?i)strea')", case="ignore")
 on_lines("grep_smart_case", "ist die", "regexp_matches(text, '(?i)ist die')", case="smart")
 on_lines("grep_smart_case_upper", "Ist", "contains(text, 'Ist')", case="smart")
-on_lines("grep_fixed", "a.b", "contains(text, 'a.b')", fixed=True)
+on_lines("grep_fixed", "n. T", "contains(text, 'n. T')", fixed=True)
 on_lines("grep_word", "on", r"regexp_matches(text, '(^|[^\p{L}\p{M}\p{Nd}\p{Pc}])on([^\p{L}\p{M}\p{Nd}\p{Pc}]|$)')", word=True)
 on_lines("grep_line_regexp", r"\w{1,3}\.", r"regexp_matches(text, '^[\p{L}\p{M}\p{Nd}\p{Pc}]{1,3}\.$')", line=True)
 on_lines("grep_multi_pattern", ("ouai", "sche", r"\d{3}"), r"regexp_matches(text, 'ouai|sche|\p{Nd}{3}')")
 on_lines("grep_anchors", r"^Is\b.*\.$", r"regexp_matches(text, '^Is($|[^\p{L}\p{M}\p{Nd}\p{Pc}].*\.$)') AND text LIKE '%.'")
 on_lines("grep_unicode_class", r"^\p{Lu}\w+è\b", r"regexp_matches(text, '^\p{Lu}[\p{L}\p{M}\p{Nd}\p{Pc}]+è($|[^\p{L}\p{M}\p{Nd}\p{Pc}])')")
-on_lines("grep_empty_lines", "^$", "text = ''")
+register("grep_empty_lines", lambda s, d: grep.grep(read(s, d, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n\n"))), "text", "^$", ["doc_id"]), f"WITH {LINES.replace('FROM documents', "FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS text FROM documents)")} SELECT doc_id, 'match' AS kind, line_number, text FROM lines WHERE text = ''")
 
 register("grep_column", lambda s, d: grep.grep(read(s, d, "documents"), "text", "è", ["doc_id"], column=True).select("doc_id", "line_number", "column"), f"WITH {LINES} SELECT doc_id, line_number, CAST(strlen(left(text, instr(text, 'è') - 1)) + 1 AS BIGINT) AS \"column\" FROM lines WHERE contains(text, 'è')")
 register("grep_byte_offset", lambda s, d: grep.grep(read(s, d, "documents"), "text", "que", ["doc_id"], byte_offset=True).select("doc_id", "line_number", "byte_offset"), f"WITH {LINES}, o AS (SELECT *, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lines) SELECT doc_id, line_number, CAST(b AS BIGINT) AS byte_offset FROM o WHERE contains(text, 'que')")
@@ -61,7 +61,18 @@ register("grep_files_without", lambda s, d: grep.grep_documents(read(s, d, "docu
 register("grep_only_matching", lambda s, d: grep.only_matching(read(s, d, "documents"), "text", r"[A-Z]\w*schen", ["doc_id"]), rf"WITH {LINES}, m AS (SELECT doc_id, line_number, regexp_extract_all(text, '[A-Z][\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]*schen') AS m FROM lines) SELECT doc_id, line_number, CAST(i AS BIGINT) AS nth, m[i] AS match FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM m)")
 register("grep_stats", lambda s, d: grep.grep_stats(read(s, d, "documents"), "text", "tion", ["doc_id"]), f"WITH {LINES}, h AS (SELECT * FROM lines WHERE contains(text, 'tion')) SELECT (SELECT count(*) FROM documents) AS searched, (SELECT count(DISTINCT doc_id) FROM h) AS matched, (SELECT count(*) FROM h) AS matched_lines, (SELECT CAST(coalesce(sum(len(regexp_extract_all(text, 'tion'))), 0) AS BIGINT) FROM h) AS matches, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS bytes_searched")
 register("grep_spans", lambda s, d: grep.grep(read(s, d, "documents"), "text", "è[a-z]", ["doc_id"], spans=True).select("doc_id", "line_number", F.explode("spans").alias("x")).select("doc_id", "line_number", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end")), f"WITH {LINES}, m AS (SELECT doc_id, line_number, regexp_extract_all(text, 'è[a-z]') AS m, string_split_regex(text, 'è[a-z]') AS p FROM lines), e AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM m), o AS (SELECT doc_id, line_number, CAST(list_sum(list_transform(p[1:i], lambda x: strlen(x))) + 3 * (i - 1) AS BIGINT) AS start FROM e) SELECT doc_id, line_number, start, start + 3 AS \"end\" FROM o")
-register("detect_git_hashes", lambda s, d: grep.detect_git_hashes(read(s, d, "documents"), "text", ["doc_id"]), rf"WITH {LINES}, m AS (SELECT doc_id, line_number, regexp_extract_all(text, '\b[0-9a-f]{{7,40}}\b') AS m FROM lines) SELECT doc_id, line_number, CAST(i AS BIGINT) AS nth, m[i] AS match FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM m)")
+BEFORE, BEHIND = r"(?:^|[^\p{L}\p{M}\p{Nd}\p{Pc}])", r"(?:$|[^\p{L}\p{M}\p{Nd}\p{Pc}])"
+# Words are told apart by doubling what stands between them, so that one mark can end a word and begin the next.
+HASHES = rf"SELECT doc_id, line_number, [regexp_extract(x, '[0-9a-f]{{7,40}}') FOR x IN regexp_extract_all(regexp_replace(text, '([^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])', '\1\1', 'g'), '{BEFORE}[0-9a-f]{{7,40}}{BEHIND}')] AS m FROM lines"
+register("detect_git_hashes", lambda s, d: grep.detect_git_hashes(read(s, d, "documents"), "text", ["doc_id"]), f"WITH {LINES}, m AS ({HASHES}) SELECT doc_id, line_number, CAST(i AS BIGINT) AS nth, m[i] AS match FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM m)")
+register("grep_vimgrep", lambda s, d: grep.vimgrep(read(s, d, "documents"), "text", "est ", ["doc_id"]), f"WITH {LINES}, p AS (SELECT *, string_split(text, 'est ') AS p FROM lines WHERE contains(text, 'est ')), i AS (SELECT *, unnest(generate_series(1, len(p) - 1)) AS i FROM p) SELECT doc_id, line_number, CAST(strlen(array_to_string(p[1:i], 'est ')) + 1 AS BIGINT) AS \"column\", text FROM i")
+register("grep_hits", lambda s, d: grep.grep_hits(read(s, d, "documents").withColumn("path", F.concat("source", F.lit("/"), "doc_id")), "text", "que l", "path", max_results=500), f"WITH {LINES} SELECT path, line, \"column\", text FROM (SELECT source || '/' || doc_id AS path, line_number AS line, CAST(strlen(left(lines.text, instr(lines.text, 'que l') - 1)) + 1 AS BIGINT) AS \"column\", lines.text FROM lines JOIN documents USING (doc_id) WHERE contains(lines.text, 'que l') ORDER BY source, CAST(doc_id AS VARCHAR), line_number LIMIT 500)")
+# A repeat that can match nothing: between letters there is an empty match, but none that touches the match before it.
+register("grep_spans_empty", lambda s, d: grep.grep(read(s, d, "documents"), "text", "[a-z]*", ["doc_id"], spans=True).select("doc_id", "line_number", F.size("spans").cast("long").alias("n"), F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.start)").alias("width")), f"WITH {LINES} SELECT doc_id, line_number, CAST(len(regexp_extract_all(text, '[a-z]+')) + length(regexp_replace(regexp_replace(text, '[a-z]+.?', 'a', 'g'), 'a', '', 'g')) + CAST(regexp_matches(text, '^$|[^a-z]$') AS INT) AS BIGINT) AS n, CAST(strlen(regexp_replace(text, '[^a-z]', '', 'g')) AS BIGINT) AS width FROM lines")
+register("grep_multiline", lambda s, d: grep.grep(read(s, d, "documents"), "text", r"[.]\n[A-D]", ["doc_id"], multiline=True), f"WITH {LINES} SELECT doc_id, 'match' AS kind, line_number, text FROM (SELECT *, lead(text) OVER w AS after, lag(text) OVER w AS before FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_number)) WHERE (text LIKE '%.' AND regexp_matches(after, '^[A-D]')) OR (before LIKE '%.' AND regexp_matches(text, '^[A-D]'))")
+register("grep_multiline_count", lambda s, d: grep.grep_count(read(s, d, "documents"), "text", r"e\s+[A-Z]", ["doc_id"], multiline=True), r"SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, 'e[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+[A-Z]')) AS BIGINT) AS n FROM documents) WHERE n > 0")
+register("grep_multiline_matches", lambda s, d: grep.only_matching(read(s, d, "documents"), "text", r"\w+[.]\n+\w", ["doc_id"], multiline=True), r"WITH m AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+[.]\n+[\p{L}\p{M}\p{Nd}\p{Pc}]') AS m, string_split_regex(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+[.]\n+[\p{L}\p{M}\p{Nd}\p{Pc}]') AS p FROM documents), e AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM m) SELECT doc_id, CAST(1 + length(regexp_replace(array_to_string(p[1:i], ''), '[^\n]', '', 'g')) + length(regexp_replace(array_to_string(m[1:i - 1], ''), '[^\n]', '', 'g')) AS BIGINT) AS line_number, CAST(i AS BIGINT) AS nth, m[i] AS match FROM e")
+register("grep_crlf", lambda s, d: grep.grep(read(s, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n"))), "text", r"on\.$", ["doc_id"], crlf=True).select("doc_id", "line_number"), f"WITH {LINES} SELECT doc_id, line_number FROM lines WHERE ends_with(text, 'on.')")
 
 
 def on_names(name: str, query: str, where: str, table: str = "part", key: str = "p_partkey", item: str = "p_name", **options) -> None:
@@ -75,7 +86,7 @@ on_names("fuzzy_exact", "'example.org", "contains(lower(url), 'example.org')", *
 on_names("fuzzy_inverse", "!blog !fr", "NOT contains(lower(url), 'blog') AND NOT contains(lower(url), 'fr')", **PAGES)
 on_names("fuzzy_subsequence", "exorg7", "lower(url) LIKE '%e%x%o%r%g%7%'", **PAGES)
 on_names("fuzzy_or", "^http: org$ | net/en | 'de", "starts_with(lower(url), 'http:') AND (ends_with(lower(url), 'org') OR lower(url) LIKE '%n%e%t%/%e%n%' OR contains(lower(url), 'de'))", **PAGES)
-on_names("fuzzy_names", "ru s", "lower(p_name) LIKE '%r%u%' AND lower(p_name) LIKE '%s%'")
+on_names("fuzzy_names", "ld bt", "lower(p_name) LIKE '%l%d%' AND lower(p_name) LIKE '%b%t%'")
 on_names("fuzzy_case", "Customer 9$", "contains(c_name, 'C') AND c_name LIKE '%C%u%s%t%o%m%e%r%' AND ends_with(c_name, '9')", table="customer", key="c_custkey", item="c_name")
 on_names("fuzzy_boundary", "'en' 'example'", r"regexp_matches(lower(url), '(^|[^\p{L}\p{N}])en($|[^\p{L}\p{N}])') AND regexp_matches(lower(url), '(^|[^\p{L}\p{N}])example($|[^\p{L}\p{N}])')", **PAGES)
 on_names("fuzzy_equal", "^http://ththre.example.com/fr/825?page=2&ref=x$", "lower(url) = 'http://ththre.example.com/fr/825?page=2&ref=x'", **PAGES)
@@ -87,8 +98,8 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rules_sql(files: list[tuple[str, str]]) -> str:
     quoted = lambda x: x.replace("'", "''")
-    rows = [r for base, text in files for r in ignore.parse_rules(text, base)]
-    return "rules(base, ord, negated, dir_only, basename_only, regex) AS (VALUES " + ", ".join(f"('{quoted(b)}', {o}, {n}, {d}, {k}, '{quoted(x)}')" for b, o, n, d, k, x in rows) + ")"
+    rows = ignore.Rules(files).all
+    return "rules(base, ord, negated, dir_only, basename_only, regex) AS (VALUES " + ", ".join(f"('{quoted(r.base)}', {r.ord}, {r.negated}, {r.dir_only}, {r.basename_only}, '{quoted(r.regex)}')" for r in rows) + ")"
 
 
 FILES = [("", IGNORE), ("en", SCOPED)]
@@ -97,10 +108,18 @@ VERDICT = r"""p AS (SELECT DISTINCT path, is_dir FROM ({source})), hits AS (
   FROM p LEFT JOIN rules ON (base = '' OR starts_with(path, base || '/')) AND (NOT dir_only OR is_dir) AND
     regexp_matches(CASE WHEN basename_only THEN string_split(path, '/')[-1] WHEN base = '' THEN path ELSE substring(path, length(base) + 2) END, regex)),
 v AS (SELECT path, is_dir, CASE WHEN max(code) IS NULL THEN 'none' WHEN max(code) % 2 = 1 THEN 'whitelist' ELSE 'ignore' END AS verdict FROM hits GROUP BY path, is_dir)"""
-PATHS = "paths AS (SELECT DISTINCT path FROM (SELECT regexp_replace(url, '^[a-z]+://[^/]*/', '') AS path FROM pages) WHERE path <> '')"
-register("ignore_match", lambda s, d: ignore.verdicts(paths(s, d).withColumn("is_dir", F.lit(False)), "path", ignore.rules(s, FILES), "is_dir").drop("is_dir"), f"WITH {rules_sql(FILES)}, {PATHS}, {VERDICT.format(source='SELECT path, false AS is_dir FROM paths')} SELECT path, verdict FROM v")
-UP = "SELECT array_to_string(l[1:i], '/') AS path, i < len(l) AS is_dir FROM (SELECT l, unnest(generate_series(1, len(l))) AS i FROM (SELECT string_split(path, '/') AS l FROM paths))"
-register("ignore_check", lambda s, d: ignore.ignored(paths(s, d), "path", ignore.rules(s, FILES)), f"WITH {rules_sql(FILES)}, {PATHS}, {VERDICT.format(source=UP)} SELECT paths.path, bool_or(verdict = 'ignore') AS ignored FROM paths JOIN v ON (v.path = paths.path AND NOT v.is_dir) OR (v.is_dir AND starts_with(paths.path, v.path || '/')) GROUP BY paths.path")
+PATHS = r"paths AS (SELECT DISTINCT path, trim(regexp_replace(path, '^(\./)+', ''), '/') AS place FROM (SELECT regexp_replace(url, '^[a-z]+://[^/]*/', '') AS path FROM pages) WHERE path <> '')"
+register("ignore_match", lambda s, d: ignore.verdicts(paths(s, d).withColumn("is_dir", F.lit(False)), "path", ignore.rules(s, FILES), "is_dir").drop("is_dir"), f"WITH {rules_sql(FILES)}, {PATHS}, {VERDICT.format(source='SELECT place AS path, false AS is_dir FROM paths')} SELECT paths.path, verdict FROM paths JOIN v ON v.path = place")
+UP = "SELECT array_to_string(l[1:i], '/') AS path, i < len(l) AS is_dir FROM (SELECT l, unnest(generate_series(1, len(l))) AS i FROM (SELECT string_split(place, '/') AS l FROM paths))"
+register("ignore_check", lambda s, d: ignore.ignored(paths(s, d), "path", ignore.rules(s, FILES)), f"WITH {rules_sql(FILES)}, {PATHS}, {VERDICT.format(source=UP)} SELECT paths.path, bool_or(verdict = 'ignore') AS ignored FROM paths JOIN v ON (v.path = place AND NOT v.is_dir) OR (v.is_dir AND starts_with(place, v.path || '/')) GROUP BY paths.path")
+
+
+RG_FILES = [("", "{en,de}/[!0-4]*\n!**/*{5,7}\n*.{html,htm}\n?page\n")]
+RG_SQL = [(r.negated, r.dir_only, r.regex) for r in ignore.Rules(RG_FILES, "rg").all]
+register("ignore_rg", lambda s, d: ignore.verdicts(paths(s, d).withColumn("is_dir", F.lit(False)), "path", ignore.rules(s, RG_FILES, "rg"), "is_dir").drop("is_dir"), f"WITH {PATHS} SELECT path, CASE " + " ".join(f"WHEN regexp_matches(place, '{x}') THEN '{'whitelist' if n else 'ignore'}'" for n, _, x in reversed(RG_SQL)) + " ELSE 'none' END AS verdict FROM paths")
+# So many rules that paths are joined to them: names by equality, the rest by pattern.
+MANY = [("", "".join(f"{i}\n" for i in range(400)) + "!37\n" + "*#top\n"), ("en", "!4?\n")]
+register("ignore_many", lambda s, d: ignore.verdicts(paths(s, d).withColumn("is_dir", F.lit(False)), "path", ignore.rules(s, MANY), "is_dir").drop("is_dir"), f"WITH {PATHS}, n AS (SELECT *, string_split(place, '/')[-1] AS name FROM paths) SELECT path, CASE WHEN place LIKE 'en/%' AND name LIKE '4_' THEN 'whitelist' WHEN name LIKE '%#top' THEN 'ignore' WHEN name = '37' THEN 'whitelist' WHEN regexp_matches(name, '^(0|[1-9][0-9]?|[1-3][0-9][0-9])$') THEN 'ignore' ELSE 'none' END AS verdict FROM n")
 
 
 def on_ranks(name: str, query: str, sql: str | None = None, limit: int | None = None, **options) -> None:
@@ -119,6 +138,6 @@ on_ranks("fuzzy_rank_chunk_end", "ex 'page", ranking=fuzzy.Ranking(tiebreak=("ch
 on_ranks("fuzzy_rank_nth", "8", ranking=fuzzy.Ranking(nth="-1", delimiter="/"))
 on_ranks("fuzzy_rank_greedy", "htcom", ranking=fuzzy.Ranking(greedy=True))
 on_ranks("fuzzy_top", "comfr", limit=20, ranking=fuzzy.Ranking("path"), positions=True)
-URLS = r"(?:https?|ftp|file)://[A-Za-z0-9\-._~:/?#\[\]@!$&''()*+,;=%]*[A-Za-z0-9\-_~/#@$&*+=%]"
-HTML_LINES = LINES.replace("doc_id", "page_id").replace("text", "html").replace("documents", "pages")
-register("detect_urls", lambda s, d: grep.detect_urls(read(s, d, "pages"), "html", ["page_id"]), f"WITH {HTML_LINES}, m AS (SELECT page_id, line_number, regexp_extract_all(html, '{URLS}') AS m FROM lines) SELECT page_id, line_number, CAST(i AS BIGINT) AS nth, m[i] AS match FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM m)")
+URLS = grep.URL.replace("'", "''")
+LINKS = LINES.replace("doc_id", "page_id").replace("documents", "(SELECT page_id, 'see ' || url || ', or <' || url || '>.' || chr(10) || 'no http:// here' AS text FROM pages)")
+register("detect_urls", lambda s, d: grep.detect_urls(read(s, d, "pages").withColumn("text", F.concat(F.lit("see "), "url", F.lit(", or <"), "url", F.lit(">.\nno http:// here"))), "text", ["page_id"]), f"WITH {LINKS}, m AS (SELECT page_id, line_number, regexp_extract_all(text, '{URLS}') AS m FROM lines) SELECT page_id, line_number, CAST(i AS BIGINT) AS nth, m[i] AS match FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM m)")
