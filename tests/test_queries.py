@@ -1,7 +1,9 @@
 import pytest
 
 from tests.oracle import same
-from textquarry.plans.queries import ORACLE, QUERIES
+from textquarry.plans import queries, trees
+
+QUERIES, ORACLE = queries.QUERIES | trees.QUERIES, queries.ORACLE | trees.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

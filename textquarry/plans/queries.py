@@ -132,12 +132,36 @@ RANKED = """SELECT page_id, url, CAST({score} AS INT) AS score, CAST(65535 - ({s
 on_ranks("fuzzy_rank_prefix", "^http", RANKED.format(score="4 * 16 + 10 * 2 + 3 * 10", where="starts_with(lower(url), 'http')"))
 on_ranks("fuzzy_rank_equal", "^http://ththre.example.com/fr/825?page=2&ref=x$", RANKED.format(score="(16 + 10) * length(url) + 10", where="lower(url) = 'http://ththre.example.com/fr/825?page=2&ref=x'"))
 on_ranks("fuzzy_rank_inverse", "!blog", RANKED.format(score="0", where="NOT contains(lower(url), 'blog')"))
-on_ranks("fuzzy_rank", "exorg7")
-on_ranks("fuzzy_rank_path", "enx", ranking=fuzzy.Ranking("path"))
-on_ranks("fuzzy_rank_chunk_end", "ex 'page", ranking=fuzzy.Ranking(tiebreak=("chunk", "end")))
-on_ranks("fuzzy_rank_nth", "8", ranking=fuzzy.Ranking(nth="-1", delimiter="/"))
-on_ranks("fuzzy_rank_greedy", "htcom", ranking=fuzzy.Ranking(greedy=True))
-on_ranks("fuzzy_top", "comfr", limit=20, ranking=fuzzy.Ranking("path"), positions=True)
+# Two letters are aligned by a formula: each place of the second goes with the nearest place of the first before it.
+CHARS = """chars AS (
+  SELECT page_id, i, c, CASE WHEN k >= 1 AND before = 0 THEN {white} WHEN k >= 1 AND before = 2 THEN {delimiter} WHEN k >= 1 AND before = 1 THEN 8
+    WHEN before = 3 AND k = 4 OR before <> 6 AND k = 6 THEN 7 WHEN k IN (1, 2) THEN 8 WHEN k = 0 THEN {white} ELSE 0 END AS bonus
+  FROM (SELECT *, lag(k, 1, {start}) OVER (PARTITION BY page_id ORDER BY i) AS before FROM (
+    SELECT page_id, i, c, CASE WHEN c = ' ' THEN 0 WHEN regexp_matches(c, '[a-z]') THEN 3 WHEN regexp_matches(c, '[A-Z]') THEN 4 WHEN regexp_matches(c, '[0-9]') THEN 6
+      WHEN contains('{delimiters}', c) THEN 2 ELSE 1 END AS k
+    FROM (SELECT page_id, unnest(generate_series(1, length({text}))) AS i, {text}[i] AS c FROM pages)))),
+{name} AS (SELECT b.page_id, b.i AS last, max(a.i) AS first FROM chars a JOIN chars b ON a.page_id = b.page_id AND a.i < b.i AND lower(a.c) = '{one}' AND lower(b.c) = '{two}' GROUP BY b.page_id, b.i),
+fits AS (
+  SELECT m.page_id, first, last, CASE WHEN last = first + 1 THEN 16 + 2 * a.bonus + 16 + CASE WHEN b.bonus >= 8 AND b.bonus > a.bonus THEN b.bonus ELSE greatest(b.bonus, 4, a.bonus) END
+    ELSE greatest(16 + 2 * a.bonus - 3 - (last - first - 2), 0) + 16 + b.bonus END AS score
+  FROM {name} m JOIN chars a ON a.page_id = m.page_id AND a.i = first JOIN chars b ON b.page_id = m.page_id AND b.i = last),
+best AS (SELECT page_id, max(score) AS score, arg_max(first, (score, {turn}last)) AS first, arg_max(last, (score, {turn}last)) AS last FROM fits GROUP BY page_id)"""
+SHOWN = "CAST(score AS INT) AS score, CAST(65535 - score AS INT) AS rank3, CAST({rank2} AS INT) AS rank2, CAST({rank1} AS INT) AS rank1, 0 AS rank0"
+
+
+def aligned(one: str, two: str, backward: bool = False, path: bool = False) -> str:
+    how = {"white": 8, "delimiter": 9, "start": 2, "delimiters": "/"} if path else {"white": 10, "delimiter": 9, "start": 0, "delimiters": "/,:;|"}
+    return CHARS.format(one=one, two=two, name="pairs", text="url", turn="" if backward else "-", **how)
+
+
+SLASH = "CASE WHEN length(url) - instr(reverse(url), '/') < first THEN first - 1 - (length(url) - instr(reverse(url), '/')) ELSE 65535 END"
+on_ranks("fuzzy_rank", "eg", f"WITH {aligned('e', 'g')} SELECT page_id, url, {SHOWN.format(rank2='length(url)', rank1=0)} FROM best JOIN pages USING (page_id)")
+on_ranks("fuzzy_rank_path", "ex", f"WITH {aligned('e', 'x', backward=True, path=True)} SELECT page_id, url, {SHOWN.format(rank2=SLASH, rank1='length(url)')} FROM best JOIN pages USING (page_id)", ranking=fuzzy.Ranking("path"))
+PAGE = "SELECT page_id, first, last, greatest(last, p + 3) AS stop, score + 16 + 2 * bonus + 3 * (16 + greatest(bonus, 4)) AS score, url FROM best JOIN (SELECT page_id, url, length(url) - instr(reverse(lower(url)), 'egap') - 2 AS p FROM pages WHERE contains(lower(url), 'page')) USING (page_id) JOIN chars USING (page_id) WHERE i = p"
+on_ranks("fuzzy_rank_chunk_end", "ex 'page", f"WITH {aligned('e', 'x', backward=True)} SELECT page_id, url, {SHOWN.format(rank2='length(url)', rank1='65535 - 65535 * stop // (length(url) + 1)')} FROM ({PAGE})", ranking=fuzzy.Ranking(tiebreak=("chunk", "end")))
+on_ranks("fuzzy_rank_nth", "8", "WITH f AS (SELECT *, string_split(url, '/')[-1] AS f, instr(f, '8') AS p FROM pages WHERE contains(f, '8')), g AS (SELECT *, [CASE WHEN i = 1 THEN 10 WHEN regexp_matches(f[i - 1], '[0-9]') THEN 0 WHEN regexp_matches(f[i - 1], '[a-zA-Z]') THEN 7 WHEN contains(',:;|', f[i - 1]) THEN 9 ELSE 8 END FOR i IN generate_series(1, length(f)) IF f[i] = '8'] AS b FROM f), h AS (SELECT *, 16 + 2 * CASE WHEN list_max(b) >= 8 THEN [x FOR x IN b IF x >= 8][1] ELSE list_max(b) END AS score FROM g) SELECT page_id, url, " + SHOWN.format(rank2="length(url)", rank1=0) + " FROM h", ranking=fuzzy.Ranking(nth="-1", delimiter="/"))
+on_ranks("fuzzy_rank_greedy", "eg", f"WITH {aligned('e', 'g')}, nearest AS (SELECT page_id, min(last) AS last FROM fits GROUP BY page_id) SELECT page_id, url, {SHOWN.format(rank2='length(url)', rank1=0)} FROM nearest JOIN fits USING (page_id, last) JOIN pages USING (page_id)", ranking=fuzzy.Ranking(greedy=True))
+register("fuzzy_top", lambda s, d: fuzzy.fuzzy_rank(read(s, d, "pages").select("page_id", "url"), "url", "pf", "page_id", 20, ranking=fuzzy.Ranking("path"), positions=True).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ",")), f"WITH {aligned("p", "f", backward=True, path=True)} SELECT page_id, url, {SHOWN.format(rank2=SLASH, rank1='length(url)')}, (first - 1) || ',' || (last - 1) AS positions FROM best JOIN pages USING (page_id) ORDER BY rank3, rank2, rank1, page_id LIMIT 20")
 URLS = grep.URL.replace("'", "''")
 LINKS = LINES.replace("doc_id", "page_id").replace("documents", "(SELECT page_id, 'see ' || url || ', or <' || url || '>.' || chr(10) || 'no http:// here' AS text FROM pages)")
 register("detect_urls", lambda s, d: grep.detect_urls(read(s, d, "pages").withColumn("text", F.concat(F.lit("see "), "url", F.lit(", or <"), "url", F.lit(">.\nno http:// here"))), "text", ["page_id"]), f"WITH {LINKS}, m AS (SELECT page_id, line_number, regexp_extract_all(text, '{URLS}') AS m FROM lines) SELECT page_id, line_number, CAST(i AS BIGINT) AS nth, m[i] AS match FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM m)")
