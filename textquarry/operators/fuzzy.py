@@ -161,21 +161,45 @@ def scored(df: DataFrame, item_col: str, sets: list[list[Term]], ranking: Rankin
     return fitted.select(*kept, *[F.col(f"_fit.{c}").alias(c) for c in ("score", *RANKS)])
 
 
-def fuzzy_rank(df: DataFrame, item_col: str, query: str, index_col: str, limit: int | None = None, ranking: Ranking = Ranking(), sort: bool = True, tac: bool = False, positions: bool = False, **options) -> DataFrame:
+def fuzzy_rank(df: DataFrame, item_col: str | Column, query: str, index_col: str, limit: int | None = None, ranking: Ranking = Ranking(), sort: bool = True, tac: bool = False, positions: bool = False, **options) -> DataFrame:
     """Matching rows, best first, with score and rank values, and matched byte offsets where asked for.
 
-    Ties, and all rows of a query without sorting or without a positive term, go by the index column (tac: from
-    the last).  A null item never matches; an empty query keeps all items.  Columns score and rank0 to rank3
-    replace columns of these names.
+    item_col is a column's name or any expression.  Ties, and all rows of a query without sorting or without a positive term,
+    go by the index column (tac: from the last).  A null item never matches; an empty query keeps all items.  Columns score
+    and rank0 to rank3 replace columns of these names.
     """
     sets = parse(query, **options)
-    by_index = F.col(index_col).desc() if tac else F.col(index_col).asc()
-    rows = scored(df, item_col, sets, ranking)
+    rows = df.withColumn("_rank_item", F.col(item_col) if isinstance(item_col, str) else item_col).withColumn("_rank_index", F.col(index_col))
+    by_index = F.col("_rank_index").desc() if tac else F.col("_rank_index").asc()
+    rows = scored(rows, "_rank_item", sets, ranking)
     positive = not options.get("extended", True) or any(not t.inverse for terms in sets for t in terms)
     rows = rows.orderBy(*(RANKS if sort and sets and positive else []), by_index)
     if limit is not None:
         rows = rows.limit(limit)
-    return with_positions(rows, item_col, sets, ranking) if positions else rows
+    if positions:
+        rows = with_positions(rows, "_rank_item", sets, ranking)
+    return rows.drop("_rank_item", "_rank_index")
+
+
+def char_indices(item: Column, positions: Column) -> Column:
+    """Byte offsets within an item as numbers of characters; an offset within a character goes with the next."""
+    data = F.encode(item, "UTF-8")
+    starts = lambda p: F.length(F.regexp_replace(F.hex(F.substring(data, F.lit(1), p)), "[89AB].|(..)", "$1"))
+    return F.transform(positions, lambda p: (starts(p) / 2).cast("int"))
+
+
+def display(item: Column, positions: Column) -> Column:
+    """struct<text, positions>: strings hold no bytes that can't be read, so an item is shown as it is."""
+    return F.struct(item.alias("text"), positions.alias("positions"))
+
+
+def printed(ranked: DataFrame, item_col: str, debug: bool = False) -> DataFrame:
+    """Ranked rows as text lines, in their order: the item; with debug its score and positions before it."""
+    line = F.col(item_col)
+    if debug:
+        places = F.concat(F.lit("["), F.array_join(F.col("positions").cast("array<string>"), ","), F.lit("]"))
+        line = F.concat_ws("\t", F.col("score").cast("string"), places, line)
+    return ranked.select(line.alias("value"))
 
 
 def with_positions(df: DataFrame, item_col: str, sets: list[list[Term]], ranking: Ranking) -> DataFrame:

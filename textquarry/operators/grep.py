@@ -229,3 +229,16 @@ def printed(found: DataFrame, path_col: str, column: bool = False) -> DataFrame:
     context = F.max((F.col("kind") == "context").cast("int")).over(Window.partitionBy(path_col)) == 1
     shown = found.select(path_col, "line_number", F.when(apart & context, F.array(F.lit("--"), text)).otherwise(F.array(text)).alias("_lines"))
     return shown.select(F.split(path_col, "/").alias("_key"), "line_number", F.posexplode("_lines").alias("_nth", "value")).orderBy("_key", "line_number", "_nth").select("value")
+
+
+def printed_matches(found: DataFrame, path_col: str, text_col: str = "match") -> DataFrame:
+    """Matches, or lines of vimgrep (text_col: text), as text lines path:line:column:text, in the order of printed."""
+    nth = [c for c in ("nth", "column") if c in found.columns][:1]
+    line = F.concat_ws(":", path_col, F.col("line_number").cast("string"), *([F.col("column").cast("string")] if "column" in found.columns else []), text_col)
+    return found.orderBy(F.split(path_col, "/"), "line_number", *nth).select(line.alias("value"))
+
+
+def binary_notices(found: DataFrame, path_col: str = "path") -> DataFrame:
+    """The notice of each file with a NUL that matches behind it."""
+    told = F.concat(path_col, F.lit(': binary file matches (found "\\0" byte around offset '), F.col("binary_offset").cast("string"), F.lit(")"))
+    return found.orderBy(F.split(path_col, "/")).select(told.alias("value"))

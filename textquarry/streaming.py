@@ -9,8 +9,6 @@ from .operators.grep import grep
 
 
 def grep_stream(stream: DataFrame, text_col: str, pattern: str, id_cols: list[str], path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Append matching lines of new rows to Parquet; options are those that need no neighbours."""
-    if {"before", "after", "max_count", "byte_offset"} & set(options):
-        raise ValueError("a stream of rows has no order between lines")
+    """Append what grep finds in new rows to Parquet, with all of its options, as a document is a row."""
     out = grep(stream, text_col, pattern, id_cols, **options)
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
