@@ -42,6 +42,7 @@ from .common import buffers, chunks, connected_components, cut, dim_join, hashes
 BANDS, ROWS = 24, 4  # a pair at 0.85 shares no band with a chance of 2e-8, at 0.8 of 3e-6
 PIVOTS, MORE_PIVOTS = 8, 512  # of a bucket in its first round, in later ones
 BLOCK = 1 << 18  # shingles that are signed at once
+PAIRS, WIDE_ROWS = 2000, 20_000  # of a partition: pairs whose sets are compared, rows with their bands
 LARGE, RARE = 16, 8  # documents of a large bucket, at least one more; of a rare shingle, at most
 
 
@@ -160,11 +161,11 @@ def link(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
 
         The set of a travels to that of b; a may be the pivot of many, so that join can be split.
         """
-        pairs = cut(pairs)
+        pairs, n = packed(pairs)
         of_a = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node").select(F.col("node").alias("a"), F.col("elements").alias("ea"))
         left = skew_join(pairs.select("a", F.col("b").alias("node")), of_a, ["a"])
         both = left.join(sets, "node").select("a", F.col("node").alias("b"), F.size("ea").alias("na"), F.size("elements").alias("nb"), F.size(F.array_intersect("ea", "elements")).alias("common"))
-        return packed(both.where(possible("na", "nb", "common")).select("a", "b"))
+        return packed(both.where(possible("na", "nb", "common")).select("a", "b").coalesce(parts_for(n, PAIRS)))
 
     # What each class meets first: the one with the fewest rare shingles in any of its buckets.
     heads = few(member.groupBy("bucket").agg(F.min(F.struct("rare", "node", "n")).alias("head")))
@@ -192,8 +193,8 @@ def link(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     def from_lists() -> DataFrame:
         """Pairs of different components that share a rare shingle."""
         side = lambda x: few(nodes.join(labels, "node", "left")).select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("own")).alias(f"m{x}"), F.coalesce("label", "node").alias(f"l{x}"))
-        apart = lists.join(side("a"), "a").join(side("b"), "b").where("la <> lb")
-        return apart.where(possible("na", "nb", "least(ma, mb)")).select("a", "b")
+        apart = few(few(lists).join(side("a"), "a")).join(side("b"), "b").where("la <> lb")
+        return few(apart).where(possible("na", "nb", "least(ma, mb)")).select("a", "b")
 
     tried, many = None, PIVOTS
     while True:
@@ -221,7 +222,7 @@ def link(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
             return (x["lp"] != F.col("label")) & (100 * most >= percent * (F.col("n") + x["np"] - most)) & first
 
         near = few(skew_join(few(at.join(crowds, "node")), few(of), ["bucket"])).select("node", F.inline(F.transform(F.filter("pivots", fits), lambda x: F.struct(x["p"]))))
-        pairs = near.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = few(near.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
         step = pivots.select("bucket", F.col("p").alias("node"))
         if tried is None:
             pairs, tried = pairs.unionByName(from_lists()), step
@@ -236,9 +237,10 @@ def grouped(rows: DataFrame, shingle: int, percent: int, bands: int, per_band: i
     every = cut(signatures(rows, shingle, bands, per_band))
     usable = every.where("set_hash is not null")
     classes = usable.groupBy("set_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = classes.coalesce(parts_for(every.count(), WIDE_ROWS))
     classes = cut(classes.select("set_hash", "first", "n", "bands", "first.key", F.monotonically_increasing_id().alias("node")))  # written, so the numbers are fixed
     labels = link(classes, rows.select("key", "text"), shingle, percent)
-    named = cut(skew_join(labels, classes.select("node", "first"), ["node"]))
+    named = cut(skew_join(labels, classes.select("node", "first"), ["node"]).coalesce(labels.rdd.getNumPartitions()))
     first = named.groupBy("label").agg(F.min("first").alias("group_first"))
     named = skew_join(named.select("node", "label"), first, ["label"]).select("node", "group_first")
     heads = skew_join(classes.select("set_hash", "node", "first"), named, ["node"], "left").select("set_hash", F.coalesce("group_first", "first").alias("group_first"))
