@@ -26,6 +26,11 @@ def test_any_names_of_ids(spark):
     assert rows(g.grep_count(df, "t", "x", ["n"])) == [(1, 1)] and g.only_matching(df, "t", "x", ["nth"]).columns == ["nth", "line_number", "_nth", "match"]
 
 
+def test_folded_letters(spark):
+    df = spark.createDataFrame([(1, "a\n\u017ftrea\u212a"), (2, "STREAk"), (3, "x"), (4, None)], "id long, t string")
+    assert rows(g.grep(df, "t", "Streak", ["id"], case="ignore").select("id", "line_number")) == [(1, 2), (2, 1)]
+
+
 def test_limits(spark):
     df = spark.createDataFrame([(1, "x\nx\na\nx x\nb")], "id long, t string")
     assert rows(g.grep(df, "t", "x", ["id"], max_count=2, after=2).select("line_number", "kind")) == [(1, "match"), (2, "match"), (3, "context"), (4, "match")]

@@ -42,6 +42,13 @@ def test_matches(spark, pattern, text, hit):
     assert row[0] is hit
 
 
+def test_find_from_a_start(spark):
+    df = spark.createDataFrame([("éab ab\nb",)], "t string")
+    find = lambda pattern, start: df.select(compile_pattern(pattern, line_mode=False).find(F.col("t"), start)).first()[0]
+    assert tuple(find("ab", 0)) == (2, 4) and tuple(find("ab", 2)) == (5, 7) and find("ab", 6) is None
+    assert tuple(find(r"\bb", 3)) == (8, 9) and tuple(find("a*", 3)) == (4, 4)
+
+
 @pytest.mark.parametrize("glob,text,hit", [("*.c", "a.c", True), ("*.c", "a/b.c", False), ("**/b", "b", True), ("**/b", "x/y/b", True), ("a/**", "a", False), ("a/**", "a/b/c", True), ("a/**/b", "a/b", True), ("[!a]x", "bx", True), ("[!a]x", "/x", False), ("[[:digit:]]", "5", True), ("[[:nope:]]", "5", None), ("a\\*b", "a*b", True), ("a\\*b", "axb", False), ("[]-]", "]", True)])
 def test_globs(glob, text, hit):
     regex = glob_regex(glob)

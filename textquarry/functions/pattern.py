@@ -392,6 +392,15 @@ class Pattern:
     fixed: str | None
     empty: bool = False
     risky: bool = False
+    whole: bool = False  # a text without it has no line with it
+
+    def find(self, col: Column, start: int = 0) -> Column:
+        """struct<start, end> in bytes of the first match from the start-th character on; what is before is seen by boundaries."""
+        if self.risky:
+            raise PatternError("a repeat of choices can't be looked for from a start")
+        ahead = rf"\A([\x{{0}}-\x{{10ffff}}]{{{start}}}[\x{{0}}-\x{{10ffff}}]*?)({self.java})"
+        begin = F.octet_length(F.regexp_extract(col, ahead, 1)).alias("start")
+        return F.when(col.rlike(ahead), F.struct(begin, (begin + F.octet_length(F.regexp_extract(col, ahead, 2))).alias("end")))
 
     def python(self) -> str:
         """The same for the regex module."""
@@ -538,4 +547,5 @@ def compile_pattern(text: str | tuple[str, ...], fixed: bool = False, case: str
     check(java)
     plain = fixed or not re.search(r"[\\.+*?()|\[\]{}^$]", texts[0])
     only = texts[0] if len(texts) == 1 and plain and not (ignore or word or line) else None
-    return Pattern(java, only, empty, risky and not fixed)
+    whole = len(texts) == 1 and plain and ignore and not (word or line) and bool(texts[0])
+    return Pattern(java, only, empty, risky and not fixed, whole)

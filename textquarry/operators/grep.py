@@ -89,7 +89,7 @@ def grep(
     """
     p = compile_pattern(pattern, line_mode=not multiline, dot_all=multiline_dotall, **options)
     text = F.col(text_col)
-    rows = df.where(text.contains(p.fixed)) if p.fixed and not invert else df.where(text.isNotNull() & (text != ""))
+    rows = df.where(p.matches(text)) if (p.fixed or p.whole) and not invert else df.where(text.isNotNull() & (text != ""))
     ids, parts = [f"_id{i}" for i in range(len(id_cols))], {}
     rows = rows.select(*(F.col(c).alias(i) for c, i in zip(id_cols, ids)), text.alias("_text"))
     if not (before or after or max_count or byte_offset or multiline):
