@@ -5,8 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from textquarry.llm import language_id, license_scan, quality_classifier
 from textquarry.llm.common import crc_mod
@@ -64,28 +64,41 @@ def test_many_languages_are_refused(spark):
 
 
 def measures(text):
-    """The named measures of a text, one by one."""
-    data, words = text.encode(), text.split()
-    lines = [x for x in text.split("\n") if x.strip()]
+    """The named measures of a text, one by one; letters are ASCII ones and all bytes beyond."""
+    data = text.encode()
+    words, lines = re.findall(rb"[^\x20\x09-\x0D]+", data), [x for x in data.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
     n, m = max(1, len(data)), max(1, len(words))
     share = lambda f: sum(map(f, data)) / n
     low, high, digit = (lambda b: 97 <= b <= 122 or b >= 128), (lambda b: 65 <= b <= 90), (lambda b: 48 <= b <= 57)
-    blank = lambda b: chr(b) in " \t\r\v\f"
+    blank = lambda b: b in (9, 11, 12, 13, 32)
     rest = lambda b: not (low(b) or high(b) or digit(b) or blank(b) or b == 10)
-    triples = {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
-    return [math.log1p(len(words)), math.log1p(len(data)) / 4, len(data) / m / 10, len(set(words)) / m, len(triples) / max(1, len(words) - 2), len(set(lines)) / max(1, len(lines)), len(words) / max(1, len(lines)) / 50, share(low), share(high), share(digit), share(lambda b: b == 10), share(blank), share(rest), sum(w[0].isupper() for w in words) / m, sum(not any(c.isalpha() for c in w) for w in words) / m, 1.0]
+    triples = {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    return [math.log1p(len(words)), math.log1p(len(data)) / 4, len(data) / m / 10, len(set(words)) / m, len(triples) / max(1, len(words) - 2), len(set(lines)) / max(1, len(lines)), len(words) / max(1, len(lines)) / 50, share(low), share(high), share(digit), share(lambda b: b == 10), share(blank), share(rest), sum(high(w[0]) for w in words) / m, sum(not any(low(b) or high(b) for b in w) for w in words) / m, 1.0]
+
+
+def runs(text):
+    """The shares of hashed trigrams of runs, by integer arithmetic."""
+    kind = lambda b: 1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b == 10 else 5 if b in (9, 11, 12, 13, 32) else 6 + b
+    r, out = [], Counter()
+    for b in text.encode():
+        if not r or r[-1] != kind(b):
+            r.append(kind(b))
+    for x, y, z in zip(r, r[1:], r[2:]):
+        h = (x * 0x9E3779B97F4A7C15 + y * 0xBF58476D1CE4E5B9 + z * 0x94D049BB133111EB) * 0xD6E8FEB86659FD93 % (1 << 64)
+        out[h >> 56] += 1
+    return [math.sqrt(out[k] / max(1, len(r) - 2)) for k in range(quality_classifier.SHAPES)]
 
 
 def test_quality_scores_equal_a_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     texts = [r["text"] for r in docs.limit(40).collect()] + ODD
-    for t in texts:
-        assert np.allclose(quality_classifier.shape(t)[: quality_classifier.MEASURES], measures(t), rtol=1e-5, atol=1e-6)
+    plain = np.array([measures(t) + runs(t) for t in texts])
+    assert np.allclose(quality_classifier.shapes(pa.array(texts)), plain, rtol=1e-5, atol=1e-6)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = quality_classifier.train(quality_classifier.split(docs), quality_classifier.split(labels))
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
     for r in quality_classifier.score(df, model).collect():
-        x = quality_classifier.shape((texts + [""])[r["doc_id"]])
+        x = quality_classifier.shapes(pa.array([(texts + [""])[r["doc_id"]]]))[0]
         z = sum(float(w) * max(-8.0, min(8.0, float(v - m) / float(s))) for w, v, m, s in zip(model.weights, x, model.mean, model.scale)) + model.bias
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-5) and r["predicted"] == int(r["score"] >= 0.3)
 

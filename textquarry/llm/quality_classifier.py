@@ -6,7 +6,8 @@ texts minimises the non-negative unbiased risk: the loss of positives times the
 unlabelled as negatives less what positives contribute to it; where that difference would fall below zero,
 the step goes against it instead.
 
-Samples are drawn by hashes and bounded by max_positive and max_unlabelled.  Whole texts are read throughout.
+Samples are drawn by hashes and bounded by max_positive and max_unlabelled.  Whole texts are read throughout; memory goes
+by the longest of them.
 
 Edge cases: null text is empty and gets a score too.  Labels that are null, or whose document is absent, are
 left out.  Without positives or unlabelled rows every score is the prior.  Repeated rows count each.  How the tables lie
@@ -16,7 +17,6 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,39 +25,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, short_batches, unit_hash
+from .common import buffers, chunks, crc_mod, hashes, mix, short_batches, spans, unit_hash, windows, words
 
 SHAPES = 256
 MEASURES = 16
-_CLASS = np.zeros(256, dtype=np.uint64)
-for _i in range(256):
-    _c = chr(_i)
-    _CLASS[_i] = 1 if "a" <= _c <= "z" or _i >= 128 else 2 if "A" <= _c <= "Z" else 3 if "0" <= _c <= "9" else 4 if _c == "\n" else 5 if _c in " \t\r\v\f" else 6 + _i
-
-
-def shape(text: str | None) -> np.ndarray:
-    """Measures of a text and the shares of its hashed trigrams of character classes."""
-    text = text or ""
-    data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
-    c = _CLASS[data]
-    n = max(1, len(c))
-    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
-    n_words, distinct = max(1, len(words)), len(set(words))
-    share = lambda v: (c == v).sum() / n
-    measures = [
-        np.log1p(len(words)), np.log1p(len(data)) / 4, len(data) / n_words / 10, distinct / n_words,
-        len(set(zip(words, words[1:], words[2:]))) / max(1, len(words) - 2), len(set(lines)) / max(1, len(lines)), len(words) / max(1, len(lines)) / 50,
-        share(1), share(2), share(3), share(4), share(5), (c >= 6).sum() / n,
-        sum(w[:1].isupper() for w in words) / n_words, sum(not any(map(str.isalpha, w)) for w in words) / n_words, 1.0,
-    ]
-    out = np.zeros(MEASURES + SHAPES, dtype=np.float32)
-    out[:MEASURES] = measures
-    if len(c) > 2:
+#: Classes of bytes: 1 lower-case letters and all beyond ASCII, 2 capitals, 3 digits, 4 line feeds, 5 blanks, 6 and above each other byte.
+_CLASS = np.arange(6, 262, dtype=np.uint64)
+_CLASS[97:123] = _CLASS[128:] = 1
+_CLASS[65:91] = 2
+_CLASS[48:58] = 3
+_CLASS[10] = 4
+_CLASS[[9, 11, 12, 13, 32]] = 5
+_FEED = np.arange(256) == 10
+
+
+def distinct(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """How many different values each of n rows has."""
+    key = mix(values + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.bincount(row[np.unique(key, return_index=True)[1]], minlength=n)
+
+
+def shapes(text: pa.Array) -> np.ndarray:
+    """Of each text its measures and the shares of its hashed trigrams of runs of byte classes; null is empty."""
+    data_all, at_all = buffers(text)
+    out = np.zeros((len(text), MEASURES + SHAPES), dtype=np.float32)
+    for lo, hi in chunks(at_all):
+        data, at, n = data_all[at_all[lo] : at_all[hi]], at_all[lo : hi + 1] - at_all[lo], hi - lo
+        c, row = _CLASS[data], np.repeat(np.arange(n), np.diff(at))
+        per_row = lambda mark: np.bincount(row[mark], minlength=n)
+        starts, ends, first = words(data, at)
+        n_words, word_row = np.diff(first), np.repeat(np.arange(n), np.diff(first))
+        h = hashes(data, starts, ends)
+        three, three_row = windows(h, first, 3)
+        begin, end, line_first = spans(data, at, _FEED)
+        full = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
+        line_row = np.repeat(np.arange(n), np.diff(line_first))[full]
+        n_lines = np.bincount(line_row, minlength=n)
+        letters = np.concatenate([[0], np.cumsum((c == 1) | (c == 2))])
+        size, w, some_lines = np.maximum(1, np.diff(at)), np.maximum(1, n_words), np.maximum(1, n_lines)
+        out[lo:hi, :MEASURES] = np.stack([
+            np.log1p(n_words), np.log1p(np.diff(at)) / 4, np.diff(at) / w / 10, distinct(h, word_row, n) / w,
+            distinct(three, three_row, n) / np.maximum(1, n_words - 2), distinct(hashes(data, begin, end)[full], line_row, n) / some_lines, n_words / some_lines / 50,
+            *(per_row(c == k) / size for k in range(1, 6)), per_row(c >= 6) / size,
+            np.bincount(word_row[c[starts] == 2], minlength=n) / w, np.bincount(word_row[letters[ends] == letters[starts]], minlength=n) / w, np.ones(n),
+        ], axis=1)
         # Runs of one class count as one character.
-        runs = c[np.concatenate([[True], c[1:] != c[:-1]])]
-        if len(runs) > 2:
-            h = (runs[:-2] * np.uint64(0x9E3779B97F4A7C15) + runs[1:-1] * np.uint64(0xBF58476D1CE4E5B9) + runs[2:] * np.uint64(0x94D049BB133111EB)) * np.uint64(0xD6E8FEB86659FD93)
-            out[MEASURES:] = np.sqrt(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=SHAPES) / len(h))
+        edge = np.ones(len(c), dtype=bool)
+        edge[1:] = (c[1:] != c[:-1]) | (row[1:] != row[:-1])
+        run, of = c[edge], row[edge]
+        same = np.flatnonzero(of[:-2] == of[2:]) if len(of) > 2 else np.zeros(0, np.int64)
+        t = (run[same] * np.uint64(0x9E3779B97F4A7C15) + run[same + 1] * np.uint64(0xBF58476D1CE4E5B9) + run[same + 2] * np.uint64(0x94D049BB133111EB)) * np.uint64(0xD6E8FEB86659FD93)
+        count = np.bincount(of[same] * SHAPES + (t >> np.uint64(56)).astype(np.int64), minlength=n * SHAPES).reshape(n, SHAPES)
+        out[lo:hi, MEASURES:] = np.sqrt(count / np.maximum(1, count.sum(axis=1, keepdims=True)))
     return out
 
 
@@ -107,8 +126,7 @@ def shapes_of(texts: DataFrame, limit: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes = [shape(x.as_py()).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.binary())], ["at", "shape"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shapes(batch.column(1))], pa.binary())], ["at", "shape"])
 
     rows = texts.select("at", "text").mapInArrow(run, "at double, shape binary").orderBy("at", "shape").limit(limit)
     with short_batches(texts.sparkSession):
@@ -139,7 +157,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(**sent.value)
         for texts in batches:
-            x = np.array([shape(t.as_py()) for t in texts]).reshape(-1, MEASURES + SHAPES)
+            x = shapes(texts)
             x = model.mean + np.clip((x - model.mean) / model.scale, -8, 8) * model.scale
             yield pa.array(model.scores(x))
 
