@@ -6,7 +6,6 @@ UTF-8 buffers of Arrow batches, so a task holds one batch and never a Python obj
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the numpy helpers handle at once (a longer text is handled alone).
 CHUNK_BYTES = 1 << 18
@@ -32,17 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none, one in its warehouse, which they share too."""
-    sc = spark.sparkContext
-    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{uuid.uuid4().hex}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
-
-
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """These settings for a while, and those of before afterwards; a plan takes them when it is made."""
