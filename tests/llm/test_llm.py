@@ -239,11 +239,11 @@ def test_leaks(spark, odd):
 
 
 def test_chat_odd(spark):
-    rows = [(1, None, None, None), (1, 0, "user", "<|im_end|>\n<\\|x<|"), (1, 1, "as\nsist", "é"), (None, 0, "assistant", "")]
+    rows = [(1, None, None, None), (1, 0, "user", "<|im_end|>\n<\\|x<|"), (1, 1, "as\nsist", "é"), (None, 0, "assistant", ""), (None, 1, "user", "q")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("valid", F.lit(1))
     got = {r["conv_id"]: r for r in chat.format_chat(df).withColumn("back", chat.read_back(F.col("formatted"))).collect()}
     assert [(t["role"], t["text"]) for t in got[1]["back"]] == [("user", rows[1][3]), ("as\nsist", "é"), ("", "")]
-    assert got[None]["n_turns"] == 1 and not got[None]["valid"]
+    assert got[None]["n_turns"] == 1 and not got[None]["valid"] and chat.format_chat(df).count() == 3
     assert chat.format_chat(df.limit(0)).count() == 0
 
 

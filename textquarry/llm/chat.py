@@ -10,8 +10,8 @@ Control strings inside texts are escaped by a backslash: ``<|`` becomes ``<\\|``
 Roles other than plain names are URL-encoded.
 
 Edge cases: null text and null role are empty.  Rows are ordered by turn, then role, then text, with
-nulls last; repeated rows are turns of their own.  Rows without a conversation id form one
-conversation.  Invalid conversations are formatted as well and marked.  Extra columns are ignored; an empty table gives an empty result.
+nulls last; repeated rows are turns of their own.  A row without a conversation id is a conversation
+of its own, as nothing bounds how many there are.  Invalid conversations are formatted as well and marked.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def format_chat(turns: DataFrame, template: Template = CHATML, conv_col: str = "
     """(conv_id, n_turns, valid, formatted, segments array<struct<text, loss>>)."""
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     turn = F.struct(F.col(turn_col).isNull().alias("last"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    grouped = turns.select(F.col(conv_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    grouped = turns.select(F.col(conv_col).alias("conv_id"), alone.alias("alone"), turn.alias("t")).groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("t"))
 
     def allowed(state: Column, role: Column) -> Column:
         return F.coalesce(*[F.when(state == s, role.isin(*after)) for s, after in template.follows.items()], F.lit(False))

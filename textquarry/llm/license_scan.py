@@ -27,7 +27,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, dim_join, unit_hash
+from .common import cut, dim_join, packed, unit_hash
 
 UNKNOWN = "unknown"
 TEMPERATURES = [0.25 * 1.25**i for i in range(20)]
@@ -211,7 +211,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_u
     of_notices = every.where("family <> 'unknown'")
     size = of_notices.select(F.explode("features")).distinct().count()
     vectors = CountVectorizer(inputCol="features", outputCol="vector", binary=True, vocabSize=max(1, size)).fit(of_notices)
-    every = cut(vectors.transform(every).select("label", "features", "vector", "held", "family", "line"))
+    every, _ = packed(vectors.transform(every).select("label", "features", "vector", "held", "family", "line"))  # few: the notices, max_unknown
 
     def fitted(rows: DataFrame, temperature: float) -> Model:
         got = LogisticRegression(featuresCol="vector", labelCol="label", family="multinomial", elasticNetParam=0.5, regParam=2e-4, maxIter=60, standardization=False).fit(rows)
