@@ -99,10 +99,14 @@ def skew_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inn
     return with_guard(facts).join(with_guard(dim), [*keys, guard], how).drop(guard)
 
 
-def dim_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", broadcast_rows: int = 100_000) -> DataFrame:
-    """skew_join, but a dim of at most so many (narrow) rows, counted, is broadcast and facts stay where they are."""
-    dim = cut(dim)
-    if dim.count() <= broadcast_rows:
+def dim_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", n: int | None = None, broadcast_rows: int = 100_000) -> DataFrame:
+    """skew_join, but a dim of at most so many (narrow) rows, counted, is broadcast and facts stay where they are.
+
+    n: the number of rows of a dim that is written already.
+    """
+    if n is None:
+        dim, n = packed(dim)
+    if n <= broadcast_rows:
         return facts.join(F.broadcast(dim), keys, how)
     return skew_join(facts, dim, keys, how)
 

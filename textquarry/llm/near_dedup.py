@@ -264,11 +264,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows of equal id and text are one document, of which any row stays.  Rows without words all stay.
     """
-    key = unused(docs, "row_key")
+    key, stays = unused(docs, "row_key"), unused(docs, "row_stays")
     all_rows = grouped(with_text(docs, text_col, doc_id=F.col(id_col), key=row_key(id_col, text_col)), shingle, percent, bands, rows).where("group_first is not null")
     marked = all_rows.select("key", (F.col("key") == F.col("group_first.key")).alias("stays")).groupBy("key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times")).where("not stays or times > 1")
-    verdict = F.when(~F.col("stays"), F.lit("goes")).otherwise(F.lit("once"))
-    verdict_col = unused(docs, "row_verdict")
-    told = dim_join(docs.withColumn(key, row_key(id_col, text_col)), marked.select(F.col("key").alias(key), verdict.alias(verdict_col)), [key], "left")
-    once = told.where(F.col(verdict_col) == "once").dropDuplicates([key])
-    return told.where(F.col(verdict_col).isNull()).unionByName(once).select(*docs.columns)
+    marked, n = packed(marked.select(F.col("key").alias(key), F.col("stays").alias(stays)))
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    out = dim_join(keyed, marked, [key], "left_anti", n)
+    again = marked.where(F.col(stays))
+    n = again.count()
+    if n:  # equal rows: one of each stays
+        out = out.unionByName(dim_join(keyed, again, [key], "left_semi", n).dropDuplicates([key]))
+    return out.select(*docs.columns)
