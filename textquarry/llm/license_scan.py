@@ -20,6 +20,7 @@ empty result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -127,7 +128,7 @@ OTHERS = [
     "The source code is governed by the terms of your contract.",
 ]
 #: Words of the notices that are no cues.
-FUNCTION_WORDS = "a above all along an and any are as at be been by can for have if in is it may must no not of on or provided should such that the this to under unless with without you".split()
+FUNCTION_WORDS = "a above all along an and any are as at be been by can for from have if in is it may must no not of on or provided should such that the this to under unless with without you".split()
 
 
 def tokens(text: Column) -> Column:
@@ -158,6 +159,12 @@ def shingles(words: Column, k: int = 5) -> Column:
     return bound(words, runs)
 
 
+def may_hold(text: Column, cues: list[str]) -> Column:
+    """False only if no token of the text is a cue: the longest run of letters and digits of a cue would be a run there."""
+    runs = sorted({max(re.findall(r"[^\W_]+", c), key=len) for c in cues if re.search(r"[^\W_]", c)})
+    return F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), F.lit(runs))
+
+
 @dataclass(frozen=True)
 class Model:
     classes: list[str]
@@ -261,8 +268,11 @@ def license_scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
 
         return bound(words, parts)
 
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(paragraphs_of(docs, text_col)).alias("paragraph", "body"))
-    parts = whole.select("doc_id", "row", "paragraph", F.explode(units(F.col("body"))).alias("line")).select("doc_id", "row", "paragraph", told_by(tokens(F.col("line"))).alias("told"))
+    # Texts, then their paragraphs, then lines are looked at closely only if they may hold a cue at all.
+    whole = docs.where(may_hold(F.col(text_col), model.cues))
+    whole = whole.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(paragraphs_of(docs, text_col)).alias("paragraph", "body"))
+    parts = whole.where(may_hold(F.col("body"), model.cues)).select("doc_id", "row", "paragraph", F.explode(units(F.col("body"))).alias("line")).where(may_hold(F.col("line"), model.cues))
+    parts = parts.select("doc_id", "row", "paragraph", told_by(tokens(F.col("line"))).alias("told"))
     hits = parts.select("doc_id", "row", "paragraph", "told.*").where("size(features) > 0 or size(known) > 0")
     hits = cut(hits.select("doc_id", "row", "paragraph", "features", "known", F.sha2(F.concat(F.array_join("features", "\n"), F.lit("\n\n"), F.array_join("known", "\n")), 256).alias("key")))
     once = cut(hits.groupBy("key").agg(F.first("features").alias("features"), F.first("known").alias("known")))
