@@ -3,7 +3,7 @@
 A sparse multinomial model on word 1- and 2-grams tells the licence family of a paragraph and of each of its lines.  A
 paragraph is a run of lines between lines without a letter or digit, so notices may be wrapped, and comment leaders don't matter.  It is
 trained on the notices below and, for the class of unknown paragraphs, on a bounded sample of the corpus.  Its
-features are n-grams of the notices that hold a cue word, any word of the notices but English function words; so a
+features are n-grams of the notices that hold a cue word, any word of the notices but numbers and English function words; so a
 paragraph without cue words has no feature, is unknown by construction, and needs no scoring.  What is scored thus depends
 on the notices alone; the sample, of distinct lines and paragraphs, decides the weights.
 Probabilities are calibrated by a temperature found on notices and lines that a first fit didn't see; the fit in use sees
@@ -136,6 +136,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda w: F.btrim(w, F.lit(".+-"))), lambda w: w != "")
 
 
+def constant(values: list[str]) -> Column:
+    """An array of strings without line feeds as one literal, which the optimiser takes apart once."""
+    return F.split(F.lit("\n".join(values)), "\n", -1)
+
+
 def bound(value: Column, use) -> Column:
     """use(value) with value evaluated once, however often use names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -159,10 +164,15 @@ def shingles(words: Column, k: int = 5) -> Column:
     return bound(words, runs)
 
 
+def telling(word: str) -> list[str]:
+    """The runs of letters and digits in a word that may make it a cue: with a letter, longer than one, no function words."""
+    return [r for r in re.findall(r"[^\W_]+", word) if len(r) > 1 and not r.isdigit() and r not in FUNCTION_WORDS]
+
+
 def may_hold(text: Column, cues: list[str]) -> Column:
-    """False only if no token of the text is a cue: the longest run of letters and digits of a cue would be a run there."""
-    runs = sorted({max(re.findall(r"[^\W_]+", c), key=len) for c in cues if re.search(r"[^\W_]", c)})
-    return F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), F.lit(runs))
+    """False only if no token of the text is a cue: a cue's longest telling run would be a run there."""
+    runs = sorted({max(telling(c), key=len) for c in cues})
+    return F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), constant(runs))
 
 
 @dataclass(frozen=True)
@@ -205,11 +215,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_u
     known = [r[0] for r in notices.where(F.col("family") != UNKNOWN).select(F.explode(runs)).distinct().collect()]
     some = docs.where(unit_hash(F.col(id_col).cast("string"), seed=23) < min(1.0, max_unknown / 8 / max(1, n)))
     some = some.select(F.explode(paragraphs_of(docs, text_col)).alias("paragraph")).select(F.explode(units(F.col("paragraph"))).alias("line")).distinct().withColumn("words", tokens(F.col("line"))).where(F.size("words") > 0)
-    some = some.where(~F.arrays_overlap(shingles(F.col("words")), F.lit(known))).orderBy(F.xxhash64("line")).limit(max_unknown)
+    some = some.where(~F.arrays_overlap(shingles(F.col("words")), constant(known))).orderBy(F.xxhash64("line")).limit(max_unknown)
     some = cut(some.select(F.lit(UNKNOWN).alias("family"), "line", "words"))
     cues = notices.where(F.col("family") != UNKNOWN).select(F.explode("words").alias("word")).distinct()
-    cues = sorted(r[0] for r in cues.where((F.length("word") > 1) & ~F.col("word").isin(FUNCTION_WORDS)).collect())
-    has_cue = lambda g: F.arrays_overlap(F.split(g, " "), F.lit(cues))
+    cues = sorted(r[0] for r in cues.collect() if telling(r[0]))
+    has_cue = lambda g: F.arrays_overlap(F.split(g, " "), constant(cues))
     # Notices weigh as much as the sample: each stands several times.
     every = notices.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(10)))).drop("copy").unionByName(some)
     every = every.withColumn("features", F.filter(n_grams(F.col("words")), has_cue)).withColumn("held", unit_hash("line", seed=29) < 0.2)
@@ -262,9 +272,9 @@ def license_scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
         """Features and notice shingles of a unit; null without a cue."""
 
         def parts(w: Column) -> Column:
-            features = F.array_sort(F.array_intersect(n_grams(w), F.lit(model.features)))
-            known = F.array_sort(F.array_intersect(F.concat(*(shingles(w, k) for k in lengths)), F.lit(listed)))
-            return F.when(F.arrays_overlap(w, F.lit(model.cues)), F.struct(features.alias("features"), known.alias("known")))
+            features = F.array_sort(F.array_intersect(n_grams(w), constant(model.features)))
+            known = F.array_sort(F.array_intersect(F.concat(*(shingles(w, k) for k in lengths)), constant(listed)))
+            return F.when(F.arrays_overlap(w, constant(model.cues)), F.struct(features.alias("features"), known.alias("known")))
 
         return bound(words, parts)
 
