@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,17 +96,17 @@ def mix_sources(
     target = fill(size, np.resize(np.asarray(weights, dtype=float), len(known)), share, limit) if len(known) else np.zeros(0)
     block = block_words_for(target, block_words)
     blocks = np.maximum(1, -(-size // block))
-    table = pd.DataFrame({"n": np.arange(len(known)), "source": [r["source"] for r in known], "source_size": size, "target": np.round(target, 6), "blocks": blocks})
-    sources = spark.createDataFrame(table.astype({"source": object}), "n long, source string, source_size long, target double, blocks long")
+    names = pa.array([r["source"] for r in known], pa.string())
+    sources = spark.createDataFrame(pa.table({"n": np.arange(len(known)), "source": names, "source_size": size, "target": np.round(target, 6), "blocks": blocks}))
 
     # Slots: points through the cumulative targets.
     upto = np.cumsum(target)
     total = float(upto[-1]) if len(upto) else 0.0
     edges = np.floor(upto / max(1e-9, total) * 2**32 + 0.5).astype(np.int64)
 
-    @F.pandas_udf("long")
-    def owner(point: pd.Series) -> pd.Series:
-        return pd.Series(np.minimum(np.searchsorted(edges, point.to_numpy(), side="right"), len(edges) - 1))
+    @F.arrow_udf("long")
+    def owner(point: pa.Array) -> pa.Array:
+        return pa.array(np.minimum(np.searchsorted(edges, point.to_numpy(), side="right"), len(edges) - 1))
 
     point = (F.col("slot") * F.lit(GOLDEN)) % F.lit(1 << 32)
     slots = spark.range(round(total / block)).withColumnRenamed("id", "slot").select("slot", owner(point).alias("n"), F.floor(F.col("slot") / 4096).alias("part"), F.lit(1).alias("one"))
