@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, warc
-from .common import crc_mod, shared_dir, table
+from . import chat, decontaminate, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_alignment, warc
+from .common import crc_mod, cut, shared_dir, table
 from .oracle import ORACLE  # noqa: F401
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -73,4 +73,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(turns.unionByName(hostile)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_mixing, op4_near_dedup, op5_license_scan, op6_quality_classifier, op7_quality_rules, op8_warc, op9_decontaminate, op10_chat_format)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    out = cut(aligned.documents.select(F.col("id").alias("doc_id"), *token_alignment.NUMBERS, "n_best", "count_sum", digest))
+    aligned.close()
+    return out
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_mixing, op4_near_dedup, op5_license_scan, op6_quality_classifier, op7_quality_rules, op8_warc, op9_decontaminate, op10_chat_format, op12_token_alignment)}
