@@ -97,4 +97,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": MIX, "op4_near_dedup": NEAR, "op7_quality_rules": RULES, "op8_warc": WARC, "op10_chat_format": CHAT}
+PRINT = """
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, ''))) AS row, doc_id, coalesce(text, '') AS text FROM documents),
+e AS (
+  SELECT row, doc_id, text, lead(row, 1, 1::BIGINT) OVER (ORDER BY row) AS next,
+    left(text, length(text) - length(text) // 4) || left(coalesce(lead(text) OVER (ORDER BY row), first_value(text) OVER (ORDER BY row)), length(text) // 4) AS edited FROM d),
+t AS (SELECT row, 0 AS version, text FROM e UNION ALL SELECT row, 1, edited FROM e),
+h AS (SELECT row, version, strlen(text) AS n, hex(encode(text)) AS h FROM t),
+g AS (SELECT row, version, CAST('0x' || substr(h, 2 * i - 1, 6) AS BIGINT) * 2654435761 % 4294967296 // 16777216 AS bucket FROM (SELECT row, version, h, unnest(range(1, n - 1)) AS i FROM h)),
+c AS (SELECT row, version, bucket, count(*) AS c FROM g GROUP BY ALL),
+l AS (SELECT row, version, n, CASE WHEN n = 0 THEN 0 ELSE length(ltrim(bin(CAST(n AS HUGEINT) * n * n * n), '0')) END AS steps, unnest(range(256)) AS bucket FROM h),
+a AS (SELECT row, version, steps, bucket, coalesce(c, 0) AS c FROM l LEFT JOIN c USING (row, version, bucket)),
+q AS (SELECT row, version, steps, list_sort(list(c)) AS s, list(c ORDER BY bucket) AS c FROM a GROUP BY row, version, steps),
+v AS (SELECT row, version, steps, [CAST(x > s[64] AS INT) + CAST(x > s[128] AS INT) + CAST(x > s[192] AS INT) FOR x IN c] AS v FROM q),
+f AS (
+  SELECT row, version, steps, v, array_to_string([lower(format('{:02X}', v[i] * 64 + v[i + 1] * 16 + v[i + 2] * 4 + v[i + 3])) FOR i IN range(1, 257, 4)], '') || lower(format('{:02X}', steps)) AS fingerprint FROM v),
+p AS (
+  SELECT e.row, e.doc_id, length(e.text) AS n_chars, sha256(e.edited) AS edited_sha256, x.fingerprint, y.fingerprint AS edited_fingerprint,
+    x.v AS xv, y.v AS yv, z.v AS zv, 4 * least(abs(x.steps - y.steps), 16) AS sy, 4 * least(abs(x.steps - z.steps), 16) AS sz, z.fingerprint AS next_fingerprint
+  FROM e JOIN f x ON x.row = e.row AND x.version = 0 JOIN f y ON y.row = e.row AND y.version = 1 JOIN f z ON z.row = e.next AND z.version = 0)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = edited_fingerprint THEN 1 ELSE 1 - (list_sum([abs(xv[i] - yv[i]) FOR i IN range(1, 257)]) + sy)::DOUBLE / (list_sum([greatest(xv[i], yv[i]) FOR i IN range(1, 257)]) + sy) END AS near_edited,
+  CASE WHEN fingerprint = next_fingerprint THEN 1 ELSE 1 - (list_sum([abs(xv[i] - zv[i]) FOR i IN range(1, 257)]) + sz)::DOUBLE / (list_sum([greatest(xv[i], zv[i]) FOR i IN range(1, 257)]) + sz) END AS near_next
+FROM p
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": MIX, "op4_near_dedup": NEAR, "op7_quality_rules": RULES, "op8_warc": WARC, "op10_chat_format": CHAT, "op13_fingerprint": PRINT}
