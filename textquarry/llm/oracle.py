@@ -97,6 +97,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source
 """
 
+def _with(f: str, cost: int | str, edit: str) -> str:
+    """A state, nine digits of cost and an audit, after one more edit; nothing stays nothing."""
+    return f"(lpad(CAST(CAST(left({f}, 9) AS INT) + ({cost}) AS VARCHAR), 9, '0') || substr({f}, 10) || '{edit}')"
+
+
+_PLACE = "CASE WHEN must THEN NULL ELSE least({}) END"
+_TO = lambda role, *fs: ", ".join(f"CASE WHEN initial = '{role}' THEN {_with(f, 'extra', 'K')} ELSE {_with(f, '3 + extra', 'R')} END" for f in fs)
+REPAIR = rf"""
+WITH RECURSIVE table32 AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS x(i)),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+crc AS (SELECT k.*, xor(list_reduce(list_concat([4294967295], [CAST(ascii(x) AS BIGINT) FOR x IN string_split(key, '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM k, table32),
+n AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+d AS (
+  SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM crc JOIN n ON crc.conv_id IS NOT DISTINCT FROM n.conv_id, LATERAL (SELECT unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+f AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM o),
+r AS (SELECT c, i, role, text, initial, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS extra FROM f),
+s AS (
+  SELECT n.conv_id, n.c, CASE WHEN count(turn) > 0 THEN max(turn) - min(turn) + 1 - count(DISTINCT turn) ELSE 0 END AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+    count(i) AS n FROM n LEFT JOIN f USING (c) GROUP BY ALL),
+p(c, i, f0, f1, f2, f3) AS (
+  SELECT c, 0::BIGINT, '000000000', NULL::VARCHAR, {_with("'000000000'", 3, 'I')}, {_with(_with("'000000000'", 3, 'I'), 3, 'I')} FROM n
+  UNION ALL
+  SELECT c, i, g0, g1, h2, least(g3, {_with('h2', 3, 'I')}) FROM (
+    SELECT *, least(g2, {_with('g0', 3, 'I')}, {_with('g1', 3, 'I')}, {_with('g3', 3, 'I')}) AS h2 FROM (
+      SELECT c, r.i, {_with('f0', 4, 'D')} AS g0, least({_with('f1', 4, 'D')}, CASE WHEN initial = 's' AND NOT must THEN {_with('f0', 'extra', 'K')} END) AS g1,
+        least({_with('f2', 4, 'D')}, {_PLACE.format(_TO('u', 'f0', 'f1', 'f3'))}) AS g2, least({_with('f3', 4, 'D')}, {_PLACE.format(_TO('a', 'f2') + ', NULL')}) AS g3
+      FROM p JOIN r USING (c) WHERE r.i = p.i + 1))),
+best AS (SELECT c, least(f0, f3) AS best FROM p JOIN s USING (c) WHERE p.i = s.n),
+e AS (SELECT c, k, substr(best, 9 + k, 1) AS edit FROM (SELECT c, best, unnest(range(1, length(best) - 8)) AS k FROM best)),
+w AS (SELECT *, sum(CAST(edit <> 'I' AS INT)) OVER x AS i, sum(CAST(edit <> 'D' AS INT)) OVER x AS place FROM e WINDOW x AS (PARTITION BY c ORDER BY k)),
+j AS (SELECT w.*, r.role, r.text, max(CAST(w.edit = 'K' AND place = 1 AND r.initial = 's' AS INT)) OVER (PARTITION BY w.c) AS led FROM w LEFT JOIN r ON r.c = w.c AND r.i = w.i AND w.edit <> 'I'),
+l AS (SELECT c, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY place) AS repaired FROM j WHERE edit <> 'D' GROUP BY c)
+SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, CAST(left(best, 9) AS BIGINT) AS cost, substr(best, 10) AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM s JOIN best USING (c) LEFT JOIN l USING (c)
+"""
+
 PRINT = """
 WITH d AS (
   SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, ''))) AS row, doc_id, coalesce(text, '') AS text FROM documents),
@@ -123,4 +164,4 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
 FROM p
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": MIX, "op4_near_dedup": NEAR, "op7_quality_rules": RULES, "op8_warc": WARC, "op10_chat_format": CHAT, "op13_fingerprint": PRINT}
+ORACLE: dict[str, str] = {"op3_mixing": MIX, "op4_near_dedup": NEAR, "op7_quality_rules": RULES, "op8_warc": WARC, "op10_chat_format": CHAT, "op11_conversation_repair": REPAIR, "op13_fingerprint": PRINT}

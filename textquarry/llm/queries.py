@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_alignment, warc
+from . import chat, conversation_repair, decontaminate, fingerprint, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, token_alignment, warc
 from .common import crc_mod, cut, shared_dir, table
 from .oracle import ORACLE  # noqa: F401
 
@@ -73,6 +73,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(turns.unionByName(hostile)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    done = conversation_repair.repair(turns, lost_col="lost")
+    return done.withColumn("repaired_sha256", conversation_repair.digest(F.col("repaired"))).drop("repaired")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = token_alignment.align(table(spark, sf_dir, "documents"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
@@ -85,4 +91,4 @@ def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_mixing, op4_near_dedup, op5_license_scan, op6_quality_classifier, op7_quality_rules, op8_warc, op9_decontaminate, op10_chat_format, op12_token_alignment, op13_fingerprint)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_mixing, op4_near_dedup, op5_license_scan, op6_quality_classifier, op7_quality_rules, op8_warc, op9_decontaminate, op10_chat_format, op11_conversation_repair, op12_token_alignment, op13_fingerprint)}
