@@ -1,17 +1,34 @@
-"""Sums over arrays within a row."""
+"""Work over the arrays of a row in time linear in their lengths.
+
+An array that a lambda looks into has to be bound by ``let``: of a column made by another projection the optimiser keeps
+only the expression, and puts it into the lambda, where it is worked out again for every element.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CHUNK = 512
+CHUNK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def numbers(n: Column) -> Column:
+    """1 to n as longs; none if n is 0."""
+    return F.when(n > 0, F.sequence(F.lit(1).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<long>"))
 
 
 def running(values: Column) -> Column:
     """For each of an array of longs the sum of those before it.
 
-    Each step of a fold copies what it has so far, so sums go by chunks: within them, and over the chunks' totals.
+    Each step of a fold copies what it has so far, so sums go by chunks: within them, over the chunks' totals, and
+    over the totals of so many chunks again.
     """
 
     def sums(x: Column) -> Column:
@@ -19,10 +36,30 @@ def running(values: Column) -> Column:
         step = lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all"))
         return F.aggregate(x, begin, step, lambda a: a["all"])
 
+    def of(x: Column, levels: int) -> Column:
+        if not levels:
+            return sums(x)
+        ranges = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda c: F.slice(x, c * CHUNK + 1, CHUNK))
+
+        def apart(chunks: Column) -> Column:
+            totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v))
+            return F.flatten(F.zip_with(chunks, let(totals, lambda t: of(t, levels - 1)), lambda c, before: F.transform(sums(c), lambda s: s + before)))
+
+        return F.when(F.size(x) <= CHUNK, sums(x)).otherwise(let(ranges, apart))
+
+    return let(values, lambda x: of(x, 2))
+
+
+def grouped(sorted_items: Column, key: Callable[[Column], Column]) -> Column:
+    """Neighbours of equal key, as an array of arrays."""
+
     def of(x: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda c: F.slice(x, c * CHUNK + 1, CHUNK))
-        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v))
-        apart = F.zip_with(chunks, sums(totals), lambda c, before: F.transform(sums(c), lambda s: s + before))
-        return F.when(F.size(x) <= CHUNK, sums(x)).otherwise(F.flatten(apart))
+        starts = F.filter(numbers(F.size(x)), lambda i: (i == 1) | (key(F.element_at(x, i.cast("int"))) != key(F.element_at(x, F.greatest(i - 1, F.lit(1)).cast("int")))))
+
+        def cut(at: Column) -> Column:
+            end = lambda k: F.coalesce(F.try_element_at(at, (k + 2).cast("int")), F.size(x).cast("long") + 1)
+            return F.transform(at, lambda i, k: F.slice(x, i.cast("int"), (end(k) - i).cast("int")))
+
+        return let(starts, cut)
 
-    return F.element_at(F.transform(F.array(values), of), 1)
+    return let(sorted_items, of)

@@ -19,7 +19,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import running
+from .arrays import let, running
 
 # The Unicode classes behind \d, \w and \s.
 DIGIT = r"\p{Nd}"
@@ -42,8 +42,6 @@ CATEGORIES = {
 OTHER_PROPERTIES = {"any": r"[\x{0}-\x{10ffff}]", "ascii": r"[\x{0}-\x{7f}]", "assigned": r"\P{Cn}", "white space": r"\p{IsWhite_Space}", "alphabetic": r"\p{IsAlphabetic}", "uppercase": r"\p{IsUppercase}", "lowercase": r"\p{IsLowercase}"}
 # The POSIX classes, ASCII alone.
 POSIX = {"alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x{0}-\x{7f}", "blank": r"\t ", "cntrl": r"\x{0}-\x{1f}\x{7f}", "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t-\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f"}
-#: Stands around matches in a marked text; no character, so texts don't hold it.
-MARK = "\uffff"
 
 
 class PatternError(ValueError):
@@ -79,6 +77,19 @@ def node(text: str, **what) -> Node:
     return out
 
 
+def for_regex(java: str) -> str:
+    """A printed pattern in the syntax of the regex module."""
+    return "(?V1)" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", java).replace(r"\z", r"\Z").replace("(?iu)", "(?i)")
+
+
+@lru_cache(maxsize=512)
+def holds_feed(java: str) -> bool:
+    try:
+        return regex.fullmatch(for_regex(java), "\n") is not None
+    except regex.error:
+        return True
+
+
 @lru_cache(maxsize=64)
 def script_extensions(name: str) -> str:
     """The characters of a script and those it shares, as ranges of a class."""
@@ -95,6 +106,7 @@ class Printer:
 
     def __init__(self, text: str, flags: Flags) -> None:
         self.s, self.i, self.f, self.literals, self.names = text, 0, flags, [], set()
+        self.feeds = False  # a class holds a line feed, or there is an anchor of lines or of the text
 
     def peek(self, n: int = 1) -> str:
         return self.s[self.i : self.i + n]
@@ -184,6 +196,7 @@ class Printer:
             inner = r"\x{0}-\x{10ffff}" if self.f.dot_all else r"^\n\r" if self.f.crlf else r"^\n"
             return self.of_class(f"[{inner}]")
         if c in "^$":
+            self.feeds = True
             return node(self.anchor(c), empty=True)
         if c == "\\":
             return self.escape()
@@ -192,6 +205,7 @@ class Printer:
         return self.literal(ord(c))
 
     def of_class(self, text: str) -> Node:
+        self.feeds |= holds_feed(text)
         return node(text, one=text)
 
     def anchor(self, c: str) -> str:
@@ -205,6 +219,7 @@ class Printer:
         if code == 10 and self.f.line_mode:
             raise PatternError("a line pattern can't hold a line feed")
         self.literals.append(chr(code))
+        self.feeds |= code == 10
         c = chr(code)
         text = c if c.isascii() and c.isalnum() else f"\\x{{{code:x}}}"
         return node(text, one=text)
@@ -281,6 +296,7 @@ class Printer:
             return node(named[m[1]], empty=True)
         if c and c in edges:
             self.i += 1
+            self.feeds |= c in "Az"
             return node(edges[c], empty=True)
         code = self.code()
         if code is None:
@@ -393,6 +409,7 @@ class Pattern:
     empty: bool = False
     risky: bool = False
     whole: bool = False  # a text without it has no line with it
+    feeds: bool = False  # a match may hold a line feed or depend on where lines begin
 
     def find(self, col: Column, start: int = 0) -> Column:
         """struct<start, end> in bytes of the first match from the start-th character on; what is before is seen by boundaries."""
@@ -404,8 +421,7 @@ class Pattern:
 
     def python(self) -> str:
         """The same for the regex module."""
-        text = re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", self.java)
-        return "(?V1)" + text.replace(r"\z", r"\Z").replace("(?iu)", "(?i)")
+        return for_regex(self.java)
 
     def matches(self, col: Column) -> Column:
         if self.fixed is not None:
@@ -458,34 +474,44 @@ class Pattern:
 
         return counted(lines)
 
-    def marked(self, col: Column) -> Column:
-        """The text with MARK before and after every match; a text that holds MARK is refused."""
-        refused = F.raise_error(F.lit("a text holds U+FFFF, which is no character"))
-        if not self.risky:
-            return F.when(col.contains(MARK), refused).otherwise(F.regexp_replace(col, self.java, f"{MARK}$0{MARK}"))
-        python = self.python()
-
-        @F.pandas_udf("string")
-        def replaced(texts: pd.Series) -> pd.Series:
-            found = regex.compile(python)
-            return texts.map(lambda t: None if t is None else found.sub(lambda m: f"{MARK}{m[0]}{MARK}", t))
-
-        return F.when(col.contains(MARK), refused).otherwise(replaced(col))
-
     def pairs(self, col: Column) -> Column:
         """array<struct<gap, match>>: each match with the text between it and the one before, without empty matches that touch one.
 
-        The gap of a match behind one that was left out is whole, as that one had no text.
+        Matches and the pieces between them come from the same search, so each match follows its piece; only an empty match
+        at the very beginning has no piece.  The gap of a match behind one that was left out is whole, as that one had no text.
         """
-        pieces = F.split(self.marked(col), MARK, -1)
+        if self.risky:
+            return self.searched_pairs(col)
 
-        def of(p: Column) -> Column:
-            every = F.transform(F.sequence(F.lit(1), F.floor(F.size(p) / 2).cast("int")), lambda i: F.struct(F.element_at(p, i * 2 - 1).alias("gap"), F.element_at(p, i * 2).alias("match"), i.alias("i")))
+        def of(x: Column) -> Column:
+            found, pieces = x["found"], x["pieces"]
+            gaps = F.when(F.size(pieces) == F.size(found), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces) if self.empty else pieces
+            every = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
             if self.empty:
-                every = F.filter(every, lambda x: (x["match"] != "") | (x["gap"] != "") | (x["i"] == 1))
-            return F.when(F.size(p) > 1, F.transform(every, lambda x: F.struct(x["gap"], x["match"]))).otherwise(F.array().cast("array<struct<gap:string,match:string>>"))
+                every = F.filter(every, lambda p, i: (p["match"] != "") | (p["gap"] != "") | (i == 0))
+            return F.when(found.isNotNull(), every)
+
+        found = F.regexp_extract_all(col, F.lit(self.java), F.lit(0))
+        return let(F.struct(found.alias("found"), F.split(col, self.java, -1).alias("pieces")), of)
+
+    def searched_pairs(self, col: Column) -> Column:
+        python = self.python()
+
+        @F.pandas_udf("array<struct<gap:string,match:string>>")
+        def searched(texts: pd.Series) -> pd.Series:
+            found = regex.compile(python)
+
+            def of(text: str) -> list[dict]:
+                out, last = [], 0
+                for m in found.finditer(text):
+                    if m.end() > m.start() or m.start() > last or not out and m.start() == 0:
+                        out.append({"gap": text[last : m.start()], "match": m[0]})
+                        last = m.end()
+                return out
 
-        return F.element_at(F.transform(F.array(pieces), of), 1)
+            return texts.map(lambda t: None if t is None else of(t))
+
+        return searched(col)
 
     def all(self, col: Column) -> Column:
         """The matches, as strings."""
@@ -495,17 +521,18 @@ class Pattern:
 
     def before_first(self, col: Column) -> Column:
         """What stands before the first match; null without one."""
-        return F.when(self.matches(col), F.element_at(self.pairs(col), 1)["gap"])
+        if self.empty or self.risky:
+            return F.try_element_at(self.pairs(col), F.lit(1))["gap"]
+        return let(F.split(col, self.java, 2), lambda p: F.when(F.size(p) == 2, F.element_at(p, 1)))
 
     def spans(self, col: Column) -> Column:
         """array<struct<start, end>> of byte offsets."""
-        pairs = self.pairs(col)
 
         def of(p: Column) -> Column:
             ends = F.transform(p, lambda x: (F.octet_length(x["gap"]) + F.octet_length(x["match"])).cast("long"))
             return F.zip_with(p, running(ends), lambda x, at: F.struct((at + F.octet_length(x["gap"])).cast("int").alias("start"), (at + F.octet_length(x["gap"]) + F.octet_length(x["match"])).cast("int").alias("end")))
 
-        return F.element_at(F.transform(F.array(pairs), of), 1)
+        return let(self.pairs(col), of)
 
 
 def check(java: str) -> None:
@@ -523,12 +550,12 @@ def check(java: str) -> None:
 def compile_pattern(text: str | tuple[str, ...], fixed: bool = False, case: str = "sensitive", word: bool = False, line: bool = False, line_mode: bool = True, dot_all: bool = False, crlf: bool = False) -> Pattern:
     """case is sensitive, ignore or smart (ignore if there are letters and none is upper case); several texts are alternatives."""
     texts = (text,) if isinstance(text, str) else text
-    printed, literals, empty, risky = [], [], False, False
+    printed, literals, empty, risky, feeds = [], [], False, False, line
     for t in texts:
         if fixed:
             printed.append("".join(f"\\x{{{ord(c):x}}}" for c in t))
             literals += t
-            empty |= not t
+            empty, feeds = empty | (not t), feeds | ("\n" in t)
         else:
             p = Printer(t, Flags(line_mode=line_mode, dot_all=dot_all, crlf=crlf))
             out = p.alternation()
@@ -536,7 +563,7 @@ def compile_pattern(text: str | tuple[str, ...], fixed: bool = False, case: str
                 raise PatternError("a group isn't opened")
             printed.append(out)
             literals += p.literals
-            empty, risky = empty | out.empty, risky | out.risky
+            empty, risky, feeds = empty | out.empty, risky | out.risky, feeds | p.feeds
     ignore = case == "ignore" or case == "smart" and bool(literals) and not any(c.isupper() for c in literals)
     java = printed[0] if len(printed) == 1 else "|".join(f"(?:{x})" for x in printed)
     if line:
@@ -544,8 +571,10 @@ def compile_pattern(text: str | tuple[str, ...], fixed: bool = False, case: str
     elif word:
         java = f"(?<![{WORD}])(?:{java})(?![{WORD}])"
     java = f"(?iu)(?:{java})" if ignore else str(java)
+    if empty and not risky:  # Java would also find nothing in the middle of a character of two units
+        java = f"(?![\\x{{dc00}}-\\x{{dfff}}])(?:{java})"
     check(java)
     plain = fixed or not re.search(r"[\\.+*?()|\[\]{}^$]", texts[0])
     only = texts[0] if len(texts) == 1 and plain and not (ignore or word or line) else None
     whole = len(texts) == 1 and plain and ignore and not (word or line) and bool(texts[0])
-    return Pattern(java, only, empty, risky and not fixed, whole)
+    return Pattern(java, only, empty, risky and not fixed, whole, feeds)

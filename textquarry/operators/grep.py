@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import running
+from ..functions.arrays import grouped, let, numbers, running
 from ..functions.pattern import Pattern, compile_pattern
 
 
@@ -44,26 +44,147 @@ def column_of(pattern: Pattern, text: Column) -> Column:
     return F.coalesce(F.octet_length(pattern.before_first(text)) + 1, F.lit(1)).cast("long")
 
 
+def matcher(pattern: str | tuple[str, ...], multiline: bool, multiline_dotall: bool, **options) -> tuple[Pattern, bool]:
+    """The pattern, and whether its matches may span lines: one that can't touch a line feed is looked for line by line."""
+    p = compile_pattern(pattern, line_mode=not multiline, dot_all=multiline_dotall, **options)
+    if multiline and not p.feeds:
+        return compile_pattern(pattern, **options), False
+    return p, multiline
+
+
+def starts_of(lines: Column) -> Column:
+    """Where each line begins, in bytes."""
+    return running(F.transform(lines, lambda x: (F.octet_length(x) + 1).cast("long")))
+
+
 def matches_in(pattern: Pattern, text: Column) -> Column:
-    """array<struct<line, last, match>>: the matches of a whole text with the first and last line that each touches.
+    """array<struct<line, last, start, end, match>>: the matches of a whole text, the first and last line and the bytes that each touches.
 
     An empty match behind the final line feed is on no line.
     """
     feeds = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("long")
+    size = lambda x: F.octet_length(x).cast("long")
 
     def of(p: Column) -> Column:
-        before = running(F.transform(p, lambda x: feeds(x["gap"]) + feeds(x["match"])))
-        ends = running(F.transform(p, lambda x: (F.length(x["gap"]) + F.length(x["match"])).cast("long")))
+        lines = running(F.transform(p, lambda x: feeds(x["gap"]) + feeds(x["match"])))
+        ends = running(F.transform(p, lambda x: size(x["gap"]) + size(x["match"])))
+
+        def match(x: Column, at: Column) -> Column:
+            first, start = at["line"] + feeds(x["gap"]) + 1, at["end"] + size(x["gap"])
+            last = first + feeds(x["match"]) - x["match"].endswith("\n").cast("long")
+            return F.struct(first.alias("line"), last.alias("last"), start.alias("start"), (start + size(x["match"])).alias("end"), x["match"].alias("match"))
+
+        return F.zip_with(p, F.zip_with(lines, ends, lambda n, e: F.struct(n.alias("line"), e.alias("end"))), match)
+
+    behind = lambda x: (x["match"] == "") & (x["start"] == size(text)) & (text.endswith("\n") | (text == ""))
+    return F.filter(let(pattern.pairs(F.coalesce(text, F.lit(""))), of), lambda x: ~behind(x))
+
+
+def lines_touched(found: Column) -> Column:
+    """The lines of matches, each once, in order: what each match touches behind what the one before it does."""
+
+    def own(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.try_element_at(found, F.when(i > 0, i.cast("int")))["last"], F.lit(0).cast("long"))
+        return between(F.greatest(x["line"], before + 1), x["last"])
+
+    return F.flatten(F.transform(found, own))
+
+
+def between(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+
+
+def with_context(kept: Column, n: Column, before: int, after: int) -> Column:
+    """The lines kept and those around them, each once, in order, of n lines."""
+
+    def own(i: Column, k: Column) -> Column:
+        done = F.coalesce(F.try_element_at(kept, F.when(k > 0, k.cast("int"))) + after, F.lit(0).cast("long"))
+        return between(F.greatest(i - before, done + 1), F.least(i + after, n.cast("long")))
+
+    return F.flatten(F.transform(kept, own))
+
+
+def pieces_by_line(found: Column, lines: Column, starts: Column) -> Column:
+    """For each line that matches touch, in order, the spans of them in it; none for a piece that is only the line feed."""
+
+    def pieces(x: Column) -> Column:
+        def piece(i: Column) -> Column:
+            begin, width = F.element_at(starts, i.cast("int")), F.octet_length(F.element_at(lines, i.cast("int"))).cast("long")
+            start, end = F.greatest(x["start"] - begin, F.lit(0)), F.least(x["end"] - begin, width)
+            span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), (x["start"] < begin).alias("continued"))
+            return F.struct(i.alias("line"), span.alias("span"), ((start < end) | (x["start"] == x["end"])).alias("shown"))
+
+        return F.transform(F.sequence(x["line"], x["last"]), piece)
+
+    spans = lambda g: F.transform(F.filter(g, lambda x: x["shown"]), lambda x: x["span"])
+    return F.transform(grouped(F.flatten(F.transform(found, pieces)), lambda x: x["line"]), spans)
+
+
+NO_SPANS = "array<struct<start:int,end:int,continued:boolean>>"
 
-        def line(x: Column, n: Column) -> Column:
-            first = n + feeds(x["gap"]) + 1
-            return F.struct(first.alias("line"), (first + feeds(x["match"]) - x["match"].endswith("\n").cast("long")).alias("last"), x["match"].alias("match"))
 
-        lined = F.zip_with(p, before, line)
-        behind = F.zip_with(p, ends, lambda x, at: (x["match"] == "") & (at + F.length(x["gap"]) == F.length(text)) & (text.endswith("\n") | (text == "")))
-        return F.filter(lined, lambda x, i: ~F.element_at(behind, i + 1))
+def regions(p: Pattern, text: Column, invert: bool, before: int, after: int, max_count: int | None, spans: bool) -> Column:
+    """array<struct<_kind, _number, _line, _offset, _spans, _continued>> of a text whose matches may span lines."""
+    no_spans = F.array().cast(NO_SPANS)
 
-    return F.element_at(F.transform(F.array(pattern.pairs(F.coalesce(text, F.lit("")))), of), 1)
+    def of(x: Column) -> Column:
+        lines, starts, every = x["lines"], x["starts"], x["every"]
+        found = F.slice(every, 1, max_count) if max_count else every
+
+        def shown(y: Column) -> Column:
+            touched, by_line = y["touched"], y["by_line"]
+            n = F.size(lines)
+            hits = F.array_except(numbers(n), touched) if invert else touched
+
+            def row(i: Column, kind: Column, its: Column, run_on: Column) -> Column:
+                return F.struct(kind.alias("_kind"), i.alias("_number"), F.element_at(lines, i.cast("int")).alias("_line"), F.element_at(starts, i.cast("int")).alias("_offset"), its.alias("_spans"), run_on.alias("_continued"))
+
+            def match(i: Column, k: Column) -> Column:
+                if invert:
+                    return row(i, F.lit("match"), no_spans, F.lit(False))
+                its = F.element_at(y["by_line"], (k + 1).cast("int")) if spans else no_spans
+                return row(i, F.lit("match"), its, (k > 0) & (F.element_at(touched, F.greatest(k, F.lit(1)).cast("int")) == i - 1))
+
+            def context(i: Column) -> Column:
+                kind = F.lit("context")
+                if max_count and not invert:  # behind the last match that counts, others show as matches
+                    late = (F.size(every) >= max_count) & (i > F.element_at(touched, -1)) & p.matches(F.element_at(lines, i.cast("int")))
+                    kind = F.when(late, "match").otherwise(kind)
+                return row(i, kind, no_spans, F.lit(False))
+
+            def rows(h: Column) -> Column:
+                def all_of(all_lines: Column) -> Column:
+                    return F.concat(F.transform(h, match), F.transform(F.array_except(all_lines, h), context))
+
+                return let(with_context(h, n, before, after), all_of) if before or after else F.transform(h, match)
+
+            return let(hits, rows)
+
+        return let(F.struct(lines_touched(found).alias("touched"), (pieces_by_line(found, lines, starts) if spans else F.lit(0)).alias("by_line")), shown)
+
+    whole = lambda lines: F.struct(lines.alias("lines"), starts_of(lines).alias("starts"), matches_in(p, text).alias("every"))
+    return let(let(lines_of(text), whole), of)
+
+
+def lines_around(p: Pattern, text: Column, flags: Column | None, invert: bool, before: int, after: int, max_count: int | None) -> Column:
+    """array<struct<_kind, _number, _line, _offset>> of the lines of a text that match, those around them, and their offsets.
+
+    flags: which lines match, where that is known already.
+    """
+
+    def of(x: Column) -> Column:
+        lines, hit = x["lines"], lambda i: F.element_at(x["flags"], i.cast("int")) != F.lit(invert)
+
+        def shown(kept: Column) -> Column:
+            around = with_context(kept, F.size(lines), before, after) if before or after else kept
+            # hits behind the last that counts may be around it, and are matches as well
+            return F.transform(around, lambda i: F.struct(F.when(hit(i), "match").otherwise("context").alias("_kind"), i.alias("_number"), F.element_at(lines, i.cast("int")).alias("_line"), F.element_at(x["starts"], i.cast("int")).alias("_offset")))
+
+        hits = F.filter(numbers(F.size(lines)), hit)
+        return let(F.slice(hits, 1, max_count) if max_count else hits, shown)
+
+    whole = lambda lines: F.struct(lines.alias("lines"), (p.flags(lines) if flags is None else flags).alias("flags"), starts_of(lines).alias("starts"))
+    return let(let(lines_of(text), whole), of)
 
 
 def grep(
@@ -83,66 +204,58 @@ def grep(
     multiline_dotall: bool = False,
     **options,
 ) -> DataFrame:
-    """Matching lines, with context lines where asked for: (ids, kind, line_number, [byte_offset, column, spans,] text).
+    """Matching lines, with context lines where asked for: (ids, kind, line_number, [byte_offset, column, spans, region_continued,] text).
 
-    Names that an id column has get an underscore.  Inverted lines have no spans.
+    Names that an id column has get an underscore.  Inverted lines have no spans.  With multiline, spans tell whether
+    their match began on an earlier line (continued), and a line whether it is of one region with the line before it.
     """
-    p = compile_pattern(pattern, line_mode=not multiline, dot_all=multiline_dotall, **options)
+    p, whole_text = matcher(pattern, multiline, multiline_dotall, **options)
     text = F.col(text_col)
     rows = df.where(p.matches(text)) if (p.fixed or p.whole) and not invert else df.where(text.isNotNull() & (text != ""))
-    ids, parts = [f"_id{i}" for i in range(len(id_cols))], {}
+    ids = [f"_id{i}" for i in range(len(id_cols))]
     rows = rows.select(*(F.col(c).alias(i) for c, i in zip(id_cols, ids)), text.alias("_text"))
-    if not (before or after or max_count or byte_offset or multiline):
-        rows = rows.select(*ids, F.posexplode(lines_of(F.col("_text"))).alias("_pos", "_line")).where(selected(p, F.col("_line"), invert))
-        rows = rows.select(*ids, F.lit("match").alias("_kind"), (F.col("_pos") + 1).cast("long").alias("_number"), "_line")
+    line = F.col("_line")
+    if whole_text:
+        rows = rows.select(*ids, F.inline(regions(p, F.col("_text"), invert, before, after, max_count, spans or column)))
+        first, its = F.coalesce(F.try_element_at("_spans", F.lit(1))["start"] + 1, F.lit(1)).cast("long"), F.col("_spans")
     else:
-        rows = rows.withColumn("_lines", lines_of(F.col("_text")))
-        everything = F.sequence(F.lit(1).cast("long"), F.size("_lines").cast("long"))
-        if multiline:
-            rows = rows.withColumn("_found", matches_in(p, F.col("_text")))
-            found = F.slice("_found", 1, max_count) if max_count else F.col("_found")
-            touched = F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["line"], x["last"]))))
-            rows = rows.withColumn("_hits", F.array_except(everything, touched) if invert else touched).withColumn("_kept", F.col("_hits"))
-        else:
-            hits = F.filter(everything, lambda i: F.element_at("_flags", i.cast("int")) != F.lit(invert))
-            rows = rows.withColumn("_flags", p.flags(F.col("_lines"))).withColumn("_hits", hits).withColumn("_kept", F.slice("_hits", 1, max_count) if max_count else F.col("_hits"))
-        rows = rows.where(F.size("_kept") > 0)
-        if before or after:
-            near = F.transform("_kept", lambda i: F.sequence(F.greatest(i - before, F.lit(1).cast("long")), F.least(i + after, F.size("_lines").cast("long"))))
-            rows = rows.withColumn("_shown", F.array_distinct(F.flatten(near)))
-            kinds = [("match", F.array_intersect("_shown", "_hits")), ("context", F.array_except("_shown", "_hits"))]
+        if before or after or max_count or byte_offset:
+            if p.risky:
+                rows = rows.withColumn("_known", p.flags(lines_of(F.col("_text"))))
+            rows = rows.select(*ids, F.inline(lines_around(p, F.col("_text"), F.col("_known") if p.risky else None, invert, before, after, max_count)))
         else:
-            kinds = [("match", F.col("_kept"))]
-        if byte_offset:
-            rows = rows.withColumn("_starts", running(F.transform("_lines", lambda x: (F.octet_length(x) + 1).cast("long"))))
-            parts["_offset"] = lambda i: F.element_at("_starts", i.cast("int"))
-        row = lambda kind: lambda i: F.struct(F.lit(kind).alias("_kind"), i.alias("_number"), F.element_at("_lines", i.cast("int")).alias("_line"), *(f(i).alias(n) for n, f in parts.items()))
-        rows = rows.select(*ids, F.inline(F.concat(*(F.transform(at, row(kind)) for kind, at in kinds))))
-    line, out = F.col("_line"), {"kind": F.col("_kind"), "line_number": F.col("_number")}
+            rows = rows.select(*ids, F.posexplode(lines_of(F.col("_text"))).alias("_pos", "_line")).where(selected(p, line, invert))
+            rows = rows.select(*ids, F.lit("match").alias("_kind"), (F.col("_pos") + 1).cast("long").alias("_number"), "_line")
+        first, its = column_of(p, line), F.array().cast("array<struct<start:int,end:int>>") if invert else p.spans(line)
+        if multiline:
+            its = F.transform(its, lambda x: F.struct(x["start"], x["end"], F.lit(False).alias("continued")))
+    out = {"kind": F.col("_kind"), "line_number": F.col("_number")}
     if byte_offset:
         out["byte_offset"] = F.col("_offset")
     if column:
-        out["column"] = column_of(p, line)
+        out["column"] = first
     if spans:
-        own = F.slice(p.spans(line), 1, max_spans_per_line) if max_spans_per_line else p.spans(line)
-        out["spans"] = F.array().cast("array<struct<start:int,end:int>>") if invert else own
+        out["spans"] = F.slice(its, 1, max_spans_per_line) if max_spans_per_line else its
+        if multiline:
+            out["region_continued"] = F.col("_continued") if whole_text else F.lit(False)
     out["text"] = line
     return rows.select(*(F.col(i).alias(c) for i, c in zip(ids, id_cols)), *(v.alias(free(k, id_cols)) for k, v in out.items()))
 
 
 def grep_count(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], invert: bool = False, matches: bool = False, multiline: bool = False, multiline_dotall: bool = False, **options) -> DataFrame:
-    """(ids, n): selected lines, or matches, of every document that has any; with multiline always matches, unless inverted."""
-    p = compile_pattern(pattern, line_mode=not multiline, dot_all=multiline_dotall, **options)
+    """(ids, n): selected lines, or matches, of every document that has any; matches that may span lines are always counted, unless inverted."""
+    p, whole_text = matcher(pattern, multiline, multiline_dotall, **options)
     text = F.col(text_col)
-    if multiline:
+    if whole_text:
         found = matches_in(p, text)
-        touched = F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["line"], x["last"])))))
-        n = F.size(lines_of(text)) - touched if invert else F.size(found)
+        n = F.size(lines_of(text)) - let(found, lambda x: F.size(lines_touched(x))) if invert else F.size(found)
     elif matches:
         n = F.lit(0) if invert else F.aggregate(p.counts(lines_of(text)), F.lit(0), lambda a, x: a + x)
     else:
         n = F.size(F.filter(p.flags(lines_of(text)), lambda x: x != F.lit(invert)))
-    return df.where(text.isNotNull() & (text != "")).select(*id_cols, n.cast("long").alias(free("n", id_cols))).where(F.col(free("n", id_cols)) > 0)
+    name = free("n", id_cols)
+    # n is asked for twice, by the filter and the result, so it comes from one array
+    return df.where(text.isNotNull() & (text != "")).select(*id_cols, F.explode(F.filter(F.array(n.cast("long")), lambda x: x > 0)).alias(name))
 
 
 def grep_documents(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], without: bool = False, **options) -> DataFrame:
@@ -157,18 +270,23 @@ def grep_documents(df: DataFrame, text_col: str, pattern: str | tuple[str, ...],
     return df.where(~hit if without else hit).select(*id_cols)
 
 
-def only_matching(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], column: bool = False, multiline: bool = False, multiline_dotall: bool = False, **options) -> DataFrame:
+def only_matching(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], column: bool = False, multiline: bool = False, multiline_dotall: bool = False, needs: str | None = None, **options) -> DataFrame:
     """(ids, line_number, nth from 1, [column,] match): a row for each match, nth within its line or, with multiline, its text.
 
-    With column, the byte column from 1 where the match begins in its line.
+    With column, the byte column from 1 where the match begins in its line.  needs: a simpler pattern that is found in every
+    line with a match; texts and lines without it are passed over.
     """
-    p = compile_pattern(pattern, line_mode=not multiline, dot_all=multiline_dotall, **options)
+    p, whole_text = matcher(pattern, multiline, multiline_dotall, **options)
     text = F.col(text_col)
     names = {k: free(k, id_cols) for k in ("line_number", "nth", "column", "match")}
-    if multiline:
-        found = df.where(text.isNotNull() & (text != "")).select(*id_cols, F.posexplode(matches_in(p, text)).alias("_pos", "_found"))
-        return found.select(*id_cols, F.col("_found.line").alias(names["line_number"]), (F.col("_pos") + 1).cast("long").alias(names["nth"]), F.col("_found.match").alias(names["match"]))
-    rows = df.select(*id_cols, F.posexplode(lines_of(text)).alias("_pos", "_line")).where(p.matches(F.col("_line")))
+    if whole_text:
+        begins = lambda x: F.struct(x["found"]["line"].alias("line"), (x["found"]["start"] - F.element_at(x["starts"], x["found"]["line"].cast("int")) + 1).alias("column"), x["found"]["match"].alias("match"))
+        both = lambda found: let(starts_of(lines_of(text)), lambda starts: F.transform(found, lambda x: begins({"found": x, "starts": starts})))
+        found = df.where(text.isNotNull() & (text != "")).select(*id_cols, F.posexplode(let(matches_in(p, text), both)).alias("_pos", "_found"))
+        return found.select(*id_cols, F.col("_found.line").alias(names["line_number"]), (F.col("_pos") + 1).cast("long").alias(names["nth"]), *([F.col("_found.column").alias(names["column"])] if column else []), F.col("_found.match").alias(names["match"]))
+    first = compile_pattern(needs) if needs else p
+    some = df.where(first.matches(text)) if needs else df
+    rows = some.select(*id_cols, F.posexplode(lines_of(text)).alias("_pos", "_line")).where(first.matches(F.col("_line")))
     each = F.transform(p.all(F.col("_line")), lambda m: F.struct(m.alias("match")))
     if column:
         each = F.zip_with(p.all(F.col("_line")), p.spans(F.col("_line")), lambda m, s: F.struct(m.alias("match"), (s["start"] + 1).cast("long").alias("column")))
@@ -204,7 +322,7 @@ GIT_HASH = r"\b[0-9a-f]{7,40}\b"
 
 
 def detect_git_hashes(df: DataFrame, text_col: str, id_cols: list[str], column: bool = False) -> DataFrame:
-    return only_matching(df, text_col, GIT_HASH, id_cols, column=column)
+    return only_matching(df, text_col, GIT_HASH, id_cols, column=column, needs="[0-9a-f]{7}")
 
 
 # Fixed value: what counts as an address; marks that end a sentence don't end an address.

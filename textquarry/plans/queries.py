@@ -72,6 +72,22 @@ register("grep_spans_empty", lambda s, d: grep.grep(read(s, d, "documents"), "te
 register("grep_multiline", lambda s, d: grep.grep(read(s, d, "documents"), "text", r"[.]\n[A-D]", ["doc_id"], multiline=True), f"WITH {LINES} SELECT doc_id, 'match' AS kind, line_number, text FROM (SELECT *, lead(text) OVER w AS after, lag(text) OVER w AS before FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_number)) WHERE (text LIKE '%.' AND regexp_matches(after, '^[A-D]')) OR (before LIKE '%.' AND regexp_matches(text, '^[A-D]'))")
 register("grep_multiline_count", lambda s, d: grep.grep_count(read(s, d, "documents"), "text", r"e\s+[A-Z]", ["doc_id"], multiline=True), r"SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, 'e[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+[A-Z]')) AS BIGINT) AS n FROM documents) WHERE n > 0")
 register("grep_multiline_matches", lambda s, d: grep.only_matching(read(s, d, "documents"), "text", r"\w+[.]\n+\w", ["doc_id"], multiline=True), r"WITH m AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+[.]\n+[\p{L}\p{M}\p{Nd}\p{Pc}]') AS m, string_split_regex(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+[.]\n+[\p{L}\p{M}\p{Nd}\p{Pc}]') AS p FROM documents), e AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM m) SELECT doc_id, CAST(1 + length(regexp_replace(array_to_string(p[1:i], ''), '[^\n]', '', 'g')) + length(regexp_replace(array_to_string(m[1:i - 1], ''), '[^\n]', '', 'g')) AS BIGINT) AS line_number, CAST(i AS BIGINT) AS nth, m[i] AS match FROM e")
+# Each match is the end of a line and the beginning of the next.
+TWO = "t AS (SELECT *, coalesce(right(before, 1) = 'e' AND regexp_matches(text, '^[A-Z]'), false) AS tail, coalesce(right(text, 1) = 'e' AND regexp_matches(after, '^[A-Z]'), false) AS head FROM (SELECT *, lead(text) OVER w AS after, lag(text) OVER w AS before FROM cut WINDOW w AS (PARTITION BY doc_id ORDER BY line_number)))"
+CUT = LINES.replace("lines AS", "cut AS").replace("FROM documents", "FROM (SELECT doc_id, replace(text, '. ', chr(10)) AS text FROM documents)")
+cut_lines = lambda s, d: read(s, d, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit("\n")))
+register("grep_multiline_spans", lambda s, d: grep.grep(cut_lines(s, d), "text", r"e\n[A-Z]", ["doc_id"], multiline=True, spans=True, column=True, byte_offset=True).select("doc_id", "line_number", "byte_offset", "column", "region_continued", F.explode("spans").alias("x")).select("doc_id", "line_number", "byte_offset", "column", "region_continued", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), F.col("x.continued").alias("continued")), f"""WITH {CUT}, {TWO},
+o AS (SELECT *, CAST(coalesce(sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset, lag(head OR tail, 1, false) OVER (PARTITION BY doc_id ORDER BY line_number) AS region_continued FROM t)
+SELECT doc_id, line_number, byte_offset, CASE WHEN tail THEN 1 ELSE strlen(text) END AS "column", region_continued, x.s AS start, x.e AS "end", x.c AS continued FROM (
+  SELECT *, unnest(CASE WHEN tail THEN [{{'s': 0::BIGINT, 'e': 1::BIGINT, 'c': true}}] ELSE [] END || CASE WHEN head THEN [{{'s': strlen(text) - 1, 'e': strlen(text), 'c': false}}] ELSE [] END) AS x FROM o)""")
+register("grep_multiline_context", lambda s, d: grep.grep(cut_lines(s, d), "text", r"e\n[A-Z]", ["doc_id"], multiline=True, before=1), f"WITH {CUT}, {TWO} SELECT doc_id, CASE WHEN hit THEN 'match' ELSE 'context' END AS kind, line_number, text FROM (SELECT *, head OR tail AS hit, lead(head OR tail, 1, false) OVER (PARTITION BY doc_id ORDER BY line_number) AS next FROM t) WHERE hit OR next")
+register("grep_multiline_invert", lambda s, d: grep.grep(cut_lines(s, d), "text", r"e\n[A-Z]", ["doc_id"], multiline=True, invert=True), f"WITH {CUT}, {TWO} SELECT doc_id, 'match' AS kind, line_number, text FROM t WHERE NOT head AND NOT tail")
+register("grep_multiline_by_line", lambda s, d: grep.grep_count(read(s, d, "documents"), "text", "th[aeiou]+n", ["doc_id"], multiline=True), f"WITH {LINES} SELECT doc_id, count(*) AS n FROM lines WHERE regexp_matches(text, 'th[aeiou]+n') GROUP BY doc_id")
+register("grep_multiline_dotall", lambda s, d: grep.grep_count(read(s, d, "documents"), "text", "en.[A-Z]", ["doc_id"], multiline=True, multiline_dotall=True), "SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '(?s)en.[A-Z]')) AS BIGINT) AS n FROM documents) WHERE n > 0")
+on_lines("grep_flags", r"(?i:DIE)\s(?-i:S)", r"regexp_matches(text, '(?i:die)[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]S')")
+on_lines("grep_class_algebra", "[a-z&&[^aeiou]]{5}", "regexp_matches(text, '[b-df-hj-np-tv-z]{5}')")
+on_lines("grep_category", r"^\p{Lu}\p{Ll}{2}\P{L}", r"regexp_matches(text, '^\p{Lu}\p{Ll}{2}\P{L}')")
+on_lines("grep_escapes", r"\x{2e}\x20\u0041n", r"regexp_matches(text, '\. An')")
 register("grep_crlf", lambda s, d: grep.grep(read(s, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n"))), "text", r"on\.$", ["doc_id"], crlf=True).select("doc_id", "line_number"), f"WITH {LINES} SELECT doc_id, line_number FROM lines WHERE ends_with(text, 'on.')")
 
 
