@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.functions.arrays import grouped, running
+from textquarry.functions.arrays import cut_text, grouped, highest, running
 from textquarry.functions.pattern import compile_pattern
 from textquarry.operators.grep import grep, grep_count, only_matching
 
@@ -44,24 +44,22 @@ def plain(pattern, text, invert=False, before=0, after=0, max_count=None):
 
 
 TEXTS = ["a\nb\nc\n", "aa\na", "b\n\nb\n\n\nb", "\n", "x", "ab\nc\nabc\nc\n\na b\n", "a\na\na\na\na\nc\na\nb", "c\n" * 9, "b\nc\nb\nc", "\n\na\n\n"]
-PATTERNS = [r"b\nc", r"a\n", r"\n", r"[^b]+", r"\s+", r"a?\n?", r"b\n*", r"(?m:^)c", r"a\s*c", r"c\n(?:\n|a)", r"\n\n"]
-OPTIONS = [{}, {"invert": True}, {"before": 1}, {"after": 2, "max_count": 1}, {"before": 1, "after": 1}, {"max_count": 2}, {"invert": True, "after": 1, "max_count": 1}]
+CASES = [(r"b\nc", {}), (r"a?\n?", {"before": 1}), (r"\s+", {"after": 2, "max_count": 1}), (r"[^b]+", {"before": 1, "after": 1}), (r"a\n", {"max_count": 2}), (r"b\n*", {"invert": True}), (r"c\n(?:\n|a)", {"invert": True, "after": 1, "max_count": 1}), (r"(?m:^)c", {"before": 2})]
 
 
-@pytest.mark.parametrize("options", OPTIONS)
-def test_regions(spark, options):
+@pytest.mark.parametrize("pattern,options", CASES)
+def test_regions(spark, pattern, options):
     rng = random.Random(8)
     texts = TEXTS + ["".join(rng.choices("ab c\n\n", k=rng.randint(1, 30))) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
-    for pattern in PATTERNS:
-        rows = grep(docs, "text", pattern, ["id"], multiline=True, spans=True, byte_offset=True, column=True, **options).collect()
-        got = {i: {} for i in range(len(texts))}
-        for r in rows:
-            assert r["line_number"] not in got[r["id"]]
-            got[r["id"]][r["line_number"]] = (r["kind"], r["byte_offset"], [tuple(s) for s in r["spans"]], r["region_continued"], r["text"])
-            assert r["column"] == (r["spans"][0]["start"] + 1 if r["spans"] else 1)
-        for i, t in enumerate(texts):
-            assert got[i] == plain(pattern, t, **options), (pattern, t)
+    rows = grep(docs, "text", pattern, ["id"], multiline=True, spans=True, byte_offset=True, column=True, **options).collect()
+    got = {i: {} for i in range(len(texts))}
+    for r in rows:
+        assert r["line_number"] not in got[r["id"]]
+        got[r["id"]][r["line_number"]] = (r["kind"], r["byte_offset"], [tuple(s) for s in r["spans"]], r["region_continued"], r["text"])
+        assert r["column"] == (r["spans"][0]["start"] + 1 if r["spans"] else 1)
+    for i, t in enumerate(texts):
+        assert got[i] == plain(pattern, t, **options), (pattern, t)
 
 
 def test_what_cant_touch_a_line_feed_is_looked_for_by_line(spark):
@@ -128,3 +126,15 @@ def test_sums_and_groups(spark):
             want.append(total)
             total += v
         assert r["r"] == want and sum(r["g"], []) == r["x"] and all(len({v // 100 for v in g}) == 1 for g in r["g"])
+
+
+def test_greatest_before_and_pieces(spark):
+    rng = random.Random(2)
+    values = [rng.randint(0, 10**6) for _ in range(20_000)]
+    df = spark.createDataFrame([(values,), (values[:3],), ([],)], "x array<long>")
+    for r in df.select("x", highest(F.col("x")).alias("h")).collect():
+        assert r["h"] == [max(r["x"][:i], default=0) for i in (range(len(r["x"])) if len(r["x"]) < 9 else [])] or len(r["h"]) == 20_000 and r["h"][-1] == max(values[:-1]) and r["h"][1] == values[0]
+    text = "aé\U0001f642\n" * 3000
+    at = [(0, 3), (3, 3), (1020, 1030), (1024, 2048), (2048, 2049), (4000, 9999), (11_990, 12_000)]
+    row = spark.createDataFrame([(text, at)], "t string, r array<struct<start:long,end:long>>").select(cut_text(F.col("t"), F.col("r")).alias("p")).first()
+    assert row["p"] == [text[a:b] for a, b in at]

@@ -24,30 +24,53 @@ def numbers(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<long>"))
 
 
-def running(values: Column) -> Column:
-    """For each of an array of longs the sum of those before it.
+def scan(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array what op makes of those before it, from zero on; op may take them in any grouping.
 
-    Each step of a fold copies what it has so far, so sums go by chunks: within them, over the chunks' totals, and
+    Each step of a fold copies what it has so far, so it goes by chunks: within them, over the chunks' totals, and
     over the totals of so many chunks again.
     """
 
-    def sums(x: Column) -> Column:
-        begin = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("all"))
-        step = lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all"))
+    def within(x: Column) -> Column:
+        begin = F.struct(zero.alias("now"), F.slice(F.array(zero), 1, 0).alias("all"))
+        step = lambda a, v: F.struct(op(a["now"], v).alias("now"), F.concat(a["all"], F.array(a["now"])).alias("all"))
         return F.aggregate(x, begin, step, lambda a: a["all"])
 
     def of(x: Column, levels: int) -> Column:
         if not levels:
-            return sums(x)
-        ranges = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda c: F.slice(x, c * CHUNK + 1, CHUNK))
+            return within(x)
+        ranges = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / CHUNK).cast("int")), lambda c: F.slice(x, c * CHUNK + 1, CHUNK))
 
         def apart(chunks: Column) -> Column:
-            totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v))
-            return F.flatten(F.zip_with(chunks, let(totals, lambda t: of(t, levels - 1)), lambda c, before: F.transform(sums(c), lambda s: s + before)))
+            totals = F.transform(chunks, lambda c: F.aggregate(c, zero, op))
+            return F.flatten(F.zip_with(chunks, let(totals, lambda t: of(t, levels - 1)), lambda c, before: F.transform(within(c), lambda s: op(before, s))))
+
+        return let(ranges, apart)
+
+    return let(values, lambda x: F.when(F.size(x) <= CHUNK, within(x)).otherwise(of(x, 2)))
+
+
+def running(values: Column) -> Column:
+    """For each of an array of longs the sum of those before it."""
+    return scan(values, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+def highest(values: Column) -> Column:
+    """For each of an array of longs that aren't negative the greatest of those before it, 0 for the first."""
+    return scan(values, F.lit(0).cast("long"), lambda a, v: F.greatest(a, v))
+
+
+def cut_text(text: Column, ranges: Column, block: int = 1024) -> Column:
+    """The pieces of a text at array<struct<start, end>> in characters, ascending; the text is gone through once."""
+
+    def of(blocks: Column) -> Column:
+        def piece(r: Column) -> Column:
+            part = lambda b: F.substr(F.element_at(blocks, (b + 1).cast("int")), F.greatest(r["start"] - b * block, F.lit(0)).cast("int") + 1, (F.least(r["end"] - b * block, F.lit(block)) - F.greatest(r["start"] - b * block, F.lit(0))).cast("int"))
+            return F.when(r["start"] < r["end"], F.array_join(F.transform(F.sequence(F.floor(r["start"] / block), F.floor((r["end"] - 1) / block)), part), "")).otherwise("")
 
-        return F.when(F.size(x) <= CHUNK, sums(x)).otherwise(let(ranges, apart))
+        return F.transform(ranges, piece)
 
-    return let(values, lambda x: of(x, 2))
+    return let(F.regexp_extract_all(text, F.lit(f"[\\x{{0}}-\\x{{10ffff}}]{{1,{block}}}"), F.lit(0)), of)
 
 
 def grouped(sorted_items: Column, key: Callable[[Column], Column]) -> Column:

@@ -166,7 +166,7 @@ def regions(p: Pattern, text: Column, invert: bool, before: int, after: int, max
     return let(let(lines_of(text), whole), of)
 
 
-def lines_around(p: Pattern, text: Column, flags: Column | None, invert: bool, before: int, after: int, max_count: int | None) -> Column:
+def lines_around(p: Pattern, text: Column, flags: Column | None, invert: bool, before: int, after: int, max_count: int | None, offsets: bool) -> Column:
     """array<struct<_kind, _number, _line, _offset>> of the lines of a text that match, those around them, and their offsets.
 
     flags: which lines match, where that is known already.
@@ -178,12 +178,12 @@ def lines_around(p: Pattern, text: Column, flags: Column | None, invert: bool, b
         def shown(kept: Column) -> Column:
             around = with_context(kept, F.size(lines), before, after) if before or after else kept
             # hits behind the last that counts may be around it, and are matches as well
-            return F.transform(around, lambda i: F.struct(F.when(hit(i), "match").otherwise("context").alias("_kind"), i.alias("_number"), F.element_at(lines, i.cast("int")).alias("_line"), F.element_at(x["starts"], i.cast("int")).alias("_offset")))
+            return F.transform(around, lambda i: F.struct(F.when(hit(i), "match").otherwise("context").alias("_kind"), i.alias("_number"), F.element_at(lines, i.cast("int")).alias("_line"), (F.element_at(x["starts"], i.cast("int")) if offsets else F.lit(0)).alias("_offset")))
 
         hits = F.filter(numbers(F.size(lines)), hit)
         return let(F.slice(hits, 1, max_count) if max_count else hits, shown)
 
-    whole = lambda lines: F.struct(lines.alias("lines"), (p.flags(lines) if flags is None else flags).alias("flags"), starts_of(lines).alias("starts"))
+    whole = lambda lines: F.struct(lines.alias("lines"), (p.flags(lines) if flags is None else flags).alias("flags"), (starts_of(lines) if offsets else F.array(F.lit(0))).alias("starts"))
     return let(let(lines_of(text), whole), of)
 
 
@@ -211,30 +211,29 @@ def grep(
     """
     p, whole_text = matcher(pattern, multiline, multiline_dotall, **options)
     text = F.col(text_col)
-    rows = df.where(p.matches(text)) if (p.fixed or p.whole) and not invert else df.where(text.isNotNull() & (text != ""))
+    rows = df.where(p.matches(text)) if (p.fixed or p.whole or whole_text and not p.risky) and not invert else df.where(text.isNotNull() & (text != ""))
     ids = [f"_id{i}" for i in range(len(id_cols))]
     rows = rows.select(*(F.col(c).alias(i) for c, i in zip(id_cols, ids)), text.alias("_text"))
     line = F.col("_line")
     if whole_text:
         rows = rows.select(*ids, F.inline(regions(p, F.col("_text"), invert, before, after, max_count, spans or column)))
-        first, its = F.coalesce(F.try_element_at("_spans", F.lit(1))["start"] + 1, F.lit(1)).cast("long"), F.col("_spans")
     else:
         if before or after or max_count or byte_offset:
             if p.risky:
                 rows = rows.withColumn("_known", p.flags(lines_of(F.col("_text"))))
-            rows = rows.select(*ids, F.inline(lines_around(p, F.col("_text"), F.col("_known") if p.risky else None, invert, before, after, max_count)))
+            rows = rows.select(*ids, F.inline(lines_around(p, F.col("_text"), F.col("_known") if p.risky else None, invert, before, after, max_count, byte_offset)))
         else:
             rows = rows.select(*ids, F.posexplode(lines_of(F.col("_text"))).alias("_pos", "_line")).where(selected(p, line, invert))
             rows = rows.select(*ids, F.lit("match").alias("_kind"), (F.col("_pos") + 1).cast("long").alias("_number"), "_line")
-        first, its = column_of(p, line), F.array().cast("array<struct<start:int,end:int>>") if invert else p.spans(line)
-        if multiline:
-            its = F.transform(its, lambda x: F.struct(x["start"], x["end"], F.lit(False).alias("continued")))
     out = {"kind": F.col("_kind"), "line_number": F.col("_number")}
     if byte_offset:
         out["byte_offset"] = F.col("_offset")
     if column:
-        out["column"] = first
+        out["column"] = F.coalesce(F.try_element_at("_spans", F.lit(1))["start"] + 1, F.lit(1)).cast("long") if whole_text else column_of(p, line)
     if spans:
+        its = F.col("_spans") if whole_text else F.array().cast("array<struct<start:int,end:int>>") if invert else p.spans(line)
+        if multiline and not whole_text:
+            its = F.transform(its, lambda x: F.struct(x["start"], x["end"], F.lit(False).alias("continued")))
         out["spans"] = F.slice(its, 1, max_spans_per_line) if max_spans_per_line else its
         if multiline:
             out["region_continued"] = F.col("_continued") if whole_text else F.lit(False)
