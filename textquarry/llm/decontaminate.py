@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import buffers, chunks, cut, dim_join, hashes, lower, row_key, spans, unused, windows
+from .common import buffers, chunks, cut, dim_join, hashes, lower, row_key, spans, trimmed, unused, windows
 
 K1, B = 1.2, 0.75
 ITEMS = 50_000
@@ -119,7 +119,7 @@ def statistics_of(items: DataFrame) -> tuple[Statistics, DataFrame]:
             terms = np.concatenate(sets) if sets else h
             yield pa.RecordBatch.from_arrays([pa.array(np.diff(first)), pa.ListArray.from_arrays(edge, pa.array(terms.view(np.int64)))], ["words", "terms"])
 
-    each = cut(items.select("text").mapInArrow(run, "words long, terms array<long>").where("words > 0"))
+    each = cut(items.select("text").mapInArrow(trimmed(run), "words long, terms array<long>").where("words > 0"))
     n, words, longest = each.agg(F.count(F.lit(1)), F.sum("words"), F.max("words")).first()
     none = np.zeros(0, np.uint64)
     return Statistics(n, words or 0, longest or 0, none, none), cut(each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
@@ -266,7 +266,7 @@ def find_leaks(
                         cols = list(zip(*out))
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), *(pa.array([int(x) for x in c], pa.int64()) for c in cols[3:])], ["doc_id", *names])
 
-        found = found.unionByName(cut(few.mapInArrow(run, schema)))
+        found = found.unionByName(cut(few.mapInArrow(trimmed(run), schema)))
         sent.destroy()
     best = F.max(F.struct("n_found", "score", "n_shingles", "question_found", "answer_found")).alias("best")
     every = dim_join(found.groupBy("doc_id", "no").agg(best), named.join(once, ["text", "question", "answer"]).select("no", "item_id"), ["no"])

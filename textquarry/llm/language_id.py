@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches, unit_hash, unused
+from .common import give_back, short_batches, trimmed, unit_hash, unused
 
 BITS, BLOCK = 15, 1 << 20
 UNKNOWN = "und"
@@ -128,7 +128,7 @@ def train(rows: DataFrame, text_col: str, lang_col: str, key_col: str, max_sampl
         buckets, names = pa.array([*there, *[None] * len(langs)], pa.int64()), pa.array([*[None] * len(there), *langs], pa.string())
         yield pa.RecordBatch.from_arrays([buckets, names, pa.array([*df[there], *langs.values()], pa.int64())], ["bucket", "lang", "n"])
 
-    counted = rows.select("text", "lang").mapInArrow(frequencies, "bucket long, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
+    counted = rows.select("text", "lang").mapInArrow(trimmed(frequencies), "bucket long, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
     with short_batches(rows.sparkSession):
         counted = counted.limit((1 << BITS) + max_languages + 1).toArrow()  # so many rows tell of too many languages
     bucket, n = counted["bucket"].to_numpy(), counted["n"].to_numpy()
@@ -151,7 +151,7 @@ def train(rows: DataFrame, text_col: str, lang_col: str, key_col: str, max_sampl
             packed = [pa.array([b[j].astype(np.int32).tobytes() for b in both], pa.binary()) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *packed], ["lang", "at", "bucket", "n"])
 
-    some = rows.where(F.col("at") < chance).mapInArrow(sampled, "lang string, at double, bucket binary, n binary").orderBy("at", "lang", "bucket", "n").limit(2 * max_sample)
+    some = rows.where(F.col("at") < chance).mapInArrow(trimmed(sampled), "lang string, at double, bucket binary, n binary").orderBy("at", "lang", "bucket", "n").limit(2 * max_sample)
     with short_batches(rows.sparkSession):
         some = some.toArrow()
     classes = sorted(langs)
@@ -182,6 +182,7 @@ def predict(spark, model: Model | None, text: Column) -> Column:
                 langs.append(model.classes[int(p.argmax())] if known else UNKNOWN)
                 scores.append(min(1.0, float(p.max())))
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        give_back()
 
     return apply(text)
 

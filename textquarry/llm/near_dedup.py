@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import buffers, chunks, connected_components, cut, dim_join, hashes, lower, mix, packed, parts_for, row_key, skew_join, unused, windows, words
+from .common import buffers, chunks, connected_components, cut, dim_join, hashes, lower, mix, packed, parts_for, row_key, skew_join, trimmed, unused, windows, words
 
 BANDS, ROWS = 24, 4  # a pair at 0.85 shares no band with a chance of 2e-8, at 0.8 of 3e-6
 PIVOTS, MORE_PIVOTS = 8, 512  # of a bucket in its first round, in later ones
@@ -108,7 +108,7 @@ def signatures(rows: DataFrame, k: int, bands: int, per_band: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*passed, pa.array(size), pa.array(keys, pa.string()), lists], [*kept, "n_shingles", "set_hash", "bands"])
 
     schema = StructType(rows.drop("text").schema.fields)
-    return rows.mapInArrow(run, schema.add("n_shingles", "long").add("set_hash", "string").add("bands", ArrayType(LongType())))
+    return rows.mapInArrow(trimmed(run), schema.add("n_shingles", "long").add("set_hash", "string").add("bands", ArrayType(LongType())))
 
 
 def full_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -121,7 +121,7 @@ def full_sets(rows: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["node", "elements"])
 
-    return rows.mapInArrow(run, "node long, elements array<long>")
+    return rows.mapInArrow(trimmed(run), "node long, elements array<long>")
 
 
 def link(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -237,10 +237,11 @@ def grouped(rows: DataFrame, shingle: int, percent: int, bands: int, per_band: i
     every = cut(signatures(rows, shingle, bands, per_band))
     usable = every.where("set_hash is not null")
     classes = usable.groupBy("set_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = classes.coalesce(parts_for(every.count(), WIDE_ROWS))
+    parts = parts_for(every.count(), WIDE_ROWS)
+    classes = classes.coalesce(parts)
     classes = cut(classes.select("set_hash", "first", "n", "bands", "first.key", F.monotonically_increasing_id().alias("node")))  # written, so the numbers are fixed
     labels = link(classes, rows.select("key", "text"), shingle, percent)
-    named = cut(skew_join(labels, classes.select("node", "first"), ["node"]).coalesce(labels.rdd.getNumPartitions()))
+    named = cut(skew_join(labels, classes.select("node", "first"), ["node"]).coalesce(parts))
     first = named.groupBy("label").agg(F.min("first").alias("group_first"))
     named = skew_join(named.select("node", "label"), first, ["label"]).select("node", "group_first")
     heads = skew_join(classes.select("set_hash", "node", "first"), named, ["node"], "left").select("set_hash", F.coalesce("group_first", "first").alias("group_first"))
