@@ -63,22 +63,47 @@ def test_fuzzy_terms():
     assert [[(t.kind, t.text, t.inverse) for t in s] for s in sets] == [[("prefix", "core", False)], [("suffix", "go", False), ("suffix", "rb", False), ("suffix", "py", False)], [("exact", "x", True)], [("exact", "a b", False)]]
 
 
-RG = [("[[:digit:]]x", ":]x", True), ("[\\]]x", "\\]x", True), ("[a-c-e]", "d", True), ("[a-c-e]", "-", False), ("[!]]", "]", False), ("a[!b]c", "a/c", True), ("a?c", "a/c", False), ("x[ab", "x[ab", True), ("{p,q}z", "qz", True), ("k{,1}m", "km", False), ("a{b,{c,d}}e", "ade", True), ("f{}g", "fg", True), ("**/x", "x", True), ("a/**/b", "a/x/y/b", True), ("a**b", "a/b", False), ("?", "é", False), ("??", "é", True), ("[é]?", "é", True)]
+# Own cases: classes without POSIX names, a bracket that comes first, a chain of ranges, negation, what is unclosed, braces, depth, bytes.
+RG = [
+    ("q[[:upper:]]", "qp]", True),
+    ("q[[:upper:]]", "qU", False),
+    ("v[]k]w", "v]w", True),
+    ("[0-4-9]", "7", True),
+    ("[0-4-9]", "-", False),
+    ("[!]t]", "t", False),
+    ("mo[!n]th", "mo/th", True),
+    ("mo?th", "mo/th", False),
+    ("part[12", "part[12", True),
+    ("{red,green}.css", "green.css", True),
+    ("id{,_2}.h", "id.h", False),
+    ("s{hort,{mall,lim}}", "slim", True),
+    ("tab{}le", "table", True),
+    ("**/notes", "notes", True),
+    ("doc/**/ch1", "doc/en/v2/ch1", True),
+    ("up**down", "up/down", False),
+    ("?", "ß", False),
+    ("??", "ß", True),
+    ("[ß]?", "ß", True),
+]
 
 
 def test_rg_globs(spark):
     rows = [(i, g, t, h) for i, (g, t, h) in enumerate(RG)]
     for _, glob, text, hit in rows:
         assert spark.createDataFrame([(text,)], "t string").select(bytewise(F.col("t")).rlike(rg_glob_regex(glob))).first()[0] is hit, (glob, text)
-    assert [bool(rg_glob_valid(g)) for g in ("n{a,b", "o}r", "[z-a]", "[a--]", "a\\", "a\\/")] == [True] * 5 + [False]
+    bad, good = ["x{1,2", "end}", "[9-0]", "[t-,]", "dir\\"], ["dir\\/", "[]]", "{a,b}", "\\{"]
+    assert all(rg_glob_valid(g) for g in bad) and not any(rg_glob_valid(g) for g in good)
 
 
 def test_rule_lines():
     line = lambda text, dialect="git": [(r.regex, r.negated, r.dir_only) for r in parse_rules(text, dialect=dialect)]
-    assert len(line("# c\n\n   \n\\#hash\n\\!bang\n!neg\ndir/\n/anchored\nmid/dle\n*.o\nlit\n")) == 8
-    assert line("tab\t\n", "rg") == line("tab\n", "rg") != line("tab\t\n")
-    assert line("esc\\  \n", "rg") == [] and len(line("esc\\  \n")) == 1
-    assert line("{a,b\n[z-a]\nok\n", "rg") == line("ok", "rg") and line("a\n\udcff\nb\n", "rg") == line("a", "rg")
+    flags = lambda text: [(r[1], r[2]) for r in line(text)]
+    assert line("#note\n\n \n#\n") == [] and len(line("\\#7\n#8\n\\!9\n")) == 2
+    assert flags("!kept\nout/\n!/both/\n") == [(True, False), (False, True), (True, True)]
+    assert [parse_rules(x)[0].basename_only for x in ("/top", "top", "in/side", "/in/side")] == [False, True, False, False]
+    assert line("q\t\n", "rg") == line("q\n", "rg") != line("q\t\n")
+    assert line("end\\  \n", "rg") == [] and len(line("end\\  \n")) == 1
+    assert line("x{1\n[5-2]\nfine\n", "rg") == line("fine", "rg") and line("one\n\udcfe\ntwo\n", "rg") == line("one", "rg")
     rules = Rules([("", "*.a\n!b\n"), ("x", "c")])
     assert (rules.rule_count, rules.whitelist_count) == (3, 1)
     rules.clear()
@@ -101,3 +126,25 @@ def test_verdicts(spark, monkeypatch, chain):
     folded = Rules([("Sub", "A*.TXT")], icase=True)
     df = spark.createDataFrame([("sub/ab.txt", False), ("sub/xab.txt", False)], "p string, d boolean")
     assert {r["path"]: r["verdict"] for r in verdicts(df, "p", folded, "d").collect()} == {"sub/ab.txt": "ignore", "sub/xab.txt": "none"}
+
+
+def test_admission(spark):
+    rejected = [r"\p{Unknown}", r"\p{sc=Zzzz}", r"\p{scx=Zzzz}", r"\p{scx=Hrkt}", r"(?:\w{1000}){1000}", "((((b{90}){90}){90}){90})", r"(?:x+x+)+y", "(?:a|aa)+b", r"(?:\w+\s?)*!x", r"(?:[ab]*[bc]*)+d", r"((?i:k)|K)*z", r"(?:a{2}|a{3})+$"]
+    for p in rejected:
+        with pytest.raises(PatternError):
+            compile_pattern(p)
+    for p in (r"\p{scx=Deva}", r"\w{1000}", "(?:ab|a)*c", r"(?:\w+\s)*!", r"(?:[ab]+[cd])+e", "(a|b)*c", r"(?:a|b|cd)+", r"(?:\d{3},)*\d", "(?:a*)*b", "(?:.*){20}z", "(?:(?:a+){3})?b"):
+        compile_pattern(p)
+
+
+def test_long_lines_that_lead_nowhere(spark):
+    """What a search would try again from every character is told apart by a character that has to be there."""
+    import time
+
+    began = time.time()
+    texts = ["a" * 200_000, "x" * 100_000, "αβ " * 20_000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p, want in (("(?:a*)*b", [False] * 3), ("(?:.*){20}z", [False] * 3), (r"\bzz\b", [False] * 3), ("(?:a|a)*a{20}", [True, False, False])):
+        assert [r[0] for r in df.select(compile_pattern(p).matches(F.col("t"))).collect()] == want, p
+    assert df.select(F.size(compile_pattern(r"\bα").all(F.col("t")))).collect()[2][0] == 20_000
+    assert time.time() - began < 20

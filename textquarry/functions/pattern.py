@@ -19,6 +19,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .ambiguity import ambiguous
 from .arrays import let, running
 
 # The Unicode classes behind \d, \w and \s.
@@ -44,6 +45,12 @@ OTHER_PROPERTIES = {"any": r"[\x{0}-\x{10ffff}]", "ascii": r"[\x{0}-\x{7f}]", "a
 POSIX = {"alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x{0}-\x{7f}", "blank": r"\t ", "cntrl": r"\x{0}-\x{1f}\x{7f}", "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t-\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f"}
 
 
+# Names of scripts that no character has; the last two only as extensions.
+NO_SCRIPTS = ("unknown", "zzzz", "hrkt", "katakana or hiragana")
+#: A pattern with its repeats written out may be so long.
+MOST_SIZE = 1 << 22
+
+
 class PatternError(ValueError):
     """The pattern isn't valid here."""
 
@@ -62,10 +69,15 @@ class Flags:
 
 class Node(str):
     """A printed part.  empty: it can match nothing; one: it is one character's class, without brackets; loop: the part that it repeats
-    without bound, and whether once at least; risky: it repeats without bound what has choices, which Java does by recursion."""
+    without bound, and whether once at least; risky: it repeats without bound what has choices, which Java does by recursion;
+    tree: its shape for the test of ambiguity; size: of what it prints with its repeats written out; needs: classes of which a match
+    holds a character each."""
 
     empty: bool = False
     one: str | None = None
+    tree: tuple = ("empty",)
+    size: int = 0
+    needs: frozenset[str] = frozenset()
     loop: tuple[Node, bool] | None = None
     risky: bool = False
     choices: bool = False
@@ -74,22 +86,34 @@ class Node(str):
 def node(text: str, **what) -> Node:
     out = Node(text)
     vars(out).update(what)
+    if out.one:
+        vars(out).update(tree=("one", out.one), size=len(text), needs=frozenset([out.one]))
     return out
 
 
+def together(parts: list[Node]) -> dict:
+    """What a sequence of parts has."""
+    return {"empty": all(x.empty for x in parts), "risky": any(x.risky for x in parts), "choices": any(x.choices for x in parts), "tree": ("seq", [x.tree for x in parts]), "size": sum(x.size for x in parts), "needs": frozenset().union(*(x.needs for x in parts))}
+
+
 def for_regex(java: str) -> str:
     """A printed pattern in the syntax of the regex module."""
     return "(?V1)" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", java).replace(r"\z", r"\Z").replace("(?iu)", "(?i)")
 
 
-@lru_cache(maxsize=512)
-def holds_feed(java: str) -> bool:
+@lru_cache(maxsize=4096)
+def holds(java: str, char: str, ignore_case: bool = False) -> bool:
+    """Whether a printed class has a character; so if one can't tell."""
     try:
-        return regex.fullmatch(for_regex(java), "\n") is not None
+        return regex.fullmatch(for_regex(java), char, regex.I if ignore_case else 0) is not None
     except regex.error:
         return True
 
 
+def holds_feed(java: str) -> bool:
+    return holds(java, "\n")
+
+
 @lru_cache(maxsize=64)
 def script_extensions(name: str) -> str:
     """The characters of a script and those it shares, as ranges of a class."""
@@ -135,7 +159,7 @@ class Printer:
         if all(x.one for x in out):
             inner = "".join(f"[{x.one}]" for x in out)
             return node(f"[{inner}]", one=inner)
-        return node("|".join(out), empty=any(x.empty for x in out), risky=any(x.risky for x in out), choices=True)
+        return node("|".join(out), empty=any(x.empty for x in out), risky=any(x.risky for x in out), choices=True, tree=("or", [x.tree for x in out]), size=sum(x.size for x in out), needs=out[0].needs.intersection(*(x.needs for x in out)))
 
     def sequence(self, depth: int) -> Node:
         out: list[Node] = []
@@ -151,7 +175,7 @@ class Printer:
             out.append(atom)
         if len(out) == 1:
             return out[0]
-        return node("".join(out), empty=all(x.empty for x in out), risky=any(x.risky for x in out), choices=any(x.choices for x in out))
+        return node("".join(out), **together(out))
 
     def repeated(self, atom: Node, least: int, most: int | None, lazy: bool) -> Node:
         if not atom:
@@ -159,10 +183,14 @@ class Printer:
         if most is None and least <= 1 and not lazy and atom.loop:  # a loop of a loop is one loop
             body, once = atom.loop
             return self.repeated(body, int(once and least == 1), None, False)
+        if atom.loop and not lazy:  # and a loop so many times is one from so many times on
+            body, once = atom.loop
+            return self.repeated(body, least if once else 0, None, False) if not once or least > 1 or least == 0 else atom
         q = {(0, None): "*", (1, None): "+", (0, 1): "?"}.get((least, most)) or "{" + (str(least) if most == least else f"{least},{'' if most is None else most}") + "}"
         text = f"{atom}{q}" if atom.one else f"(?:{atom}){q}"
         loop = (atom, least == 1) if most is None and least <= 1 and not lazy else None
-        return node(text + "?" * lazy, empty=atom.empty or least == 0, loop=loop, risky=atom.risky or most is None and atom.choices, choices=not atom.one or most != least)
+        size = atom.size * max(1, least if most is None else most)
+        return node(text + "?" * lazy, empty=atom.empty or least == 0, loop=loop, risky=atom.risky or most is None and atom.choices, choices=not atom.one or most != least, tree=("times", atom.tree, least, most), size=size, needs=atom.needs if least else frozenset())
 
     def quantifier(self) -> tuple[int, int | None, bool] | None:
         c = self.peek()
@@ -253,7 +281,7 @@ class Printer:
         self.f = before
         if inner.one and not case:
             return inner
-        return node(f"(?:{case}{inner})", empty=inner.empty, loop=None if case else inner.loop, risky=inner.risky, choices=inner.choices)
+        return node(f"(?:{case}{inner})", empty=inner.empty, loop=None if case else inner.loop, risky=inner.risky, choices=inner.choices, tree=inner.tree, size=inner.size, needs=frozenset() if case else inner.needs)
 
     def close(self) -> None:
         if self.peek() != ")":
@@ -312,6 +340,8 @@ class Printer:
         kind, name = kind.lower().replace("_", ""), re.sub(r"[\s_-]+", " ", value).strip().lower()
         if kind not in ("", "gc", "generalcategory", "sc", "script", "scx", "scriptextensions"):
             raise PatternError(f"an unknown property: {kind}")
+        if name in NO_SCRIPTS[:2] and not kind.startswith("g") or name in NO_SCRIPTS and kind in ("scx", "scriptextensions"):
+            raise PatternError(f"a script without characters: {value}")
         short = {v.lower(): v for v in CATEGORIES.values()}
         if kind.startswith("scx") or kind == "scriptextensions":
             java = f"[{script_extensions(value)}]"
@@ -410,6 +440,7 @@ class Pattern:
     risky: bool = False
     whole: bool = False  # a text without it has no line with it
     feeds: bool = False  # a match may hold a line feed or depend on where lines begin
+    needs: str | None = None  # a character that every match holds
 
     def find(self, col: Column, start: int = 0) -> Column:
         """struct<start, end> in bytes of the first match from the start-th character on; what is before is seen by boundaries."""
@@ -426,6 +457,11 @@ class Pattern:
     def matches(self, col: Column) -> Column:
         if self.fixed is not None:
             return col.contains(self.fixed)
+        if self.needs:
+            return col.contains(self.needs) & self.searched(col)
+        return self.searched(col)
+
+    def searched(self, col: Column) -> Column:
         if not self.risky:
             return col.rlike(self.java)
         python = self.python()
@@ -550,19 +586,25 @@ def check(java: str) -> None:
 def compile_pattern(text: str | tuple[str, ...], fixed: bool = False, case: str = "sensitive", word: bool = False, line: bool = False, line_mode: bool = True, dot_all: bool = False, crlf: bool = False) -> Pattern:
     """case is sensitive, ignore or smart (ignore if there are letters and none is upper case); several texts are alternatives."""
     texts = (text,) if isinstance(text, str) else text
-    printed, literals, empty, risky, feeds = [], [], False, False, line
+    printed, literals, empty, risky, feeds, needs = [], [], False, False, line, []
     for t in texts:
         if fixed:
             printed.append("".join(f"\\x{{{ord(c):x}}}" for c in t))
             literals += t
             empty, feeds = empty | (not t), feeds | ("\n" in t)
+            needs.append(frozenset())
         else:
             p = Printer(t, Flags(line_mode=line_mode, dot_all=dot_all, crlf=crlf))
             out = p.alternation()
             if p.i < len(t):
                 raise PatternError("a group isn't opened")
+            if out.size > MOST_SIZE:
+                raise PatternError(f"the pattern with its repeats written out is longer than {MOST_SIZE}")
+            if ambiguous(out.tree, lambda c, x: holds(c, x, case != "sensitive" or "(?iu)" in out)):
+                raise PatternError("a repeat can match the same text in too many ways")
             printed.append(out)
             literals += p.literals
+            needs.append(out.needs)
             empty, risky, feeds = empty | out.empty, risky | out.risky, feeds | p.feeds
     ignore = case == "ignore" or case == "smart" and bool(literals) and not any(c.isupper() for c in literals)
     java = printed[0] if len(printed) == 1 else "|".join(f"(?:{x})" for x in printed)
@@ -577,4 +619,6 @@ def compile_pattern(text: str | tuple[str, ...], fixed: bool = False, case: str
     plain = fixed or not re.search(r"[\\.+*?()|\[\]{}^$]", texts[0])
     only = texts[0] if len(texts) == 1 and plain and not (ignore or word or line) else None
     whole = len(texts) == 1 and plain and ignore and not (word or line) and bool(texts[0])
-    return Pattern(java, only, empty, risky and not fixed, whole, feeds)
+    needed = needs[0] if len(needs) == 1 and "(?iu)" not in java else frozenset()
+    rare = max((chr(int(m[1], 16)) if (m := re.fullmatch(r"\\x\{([0-9a-f]+)\}", c)) else c for c in needed if len(c) == 1 or re.fullmatch(r"\\x\{[0-9a-f]+\}", c)), default=None)
+    return Pattern(java, only, empty, risky and not fixed, whole, feeds, rare)
