@@ -148,3 +148,27 @@ def test_long_lines_that_lead_nowhere(spark):
         assert [r[0] for r in df.select(compile_pattern(p).matches(F.col("t"))).collect()] == want, p
     assert df.select(F.size(compile_pattern(r"\bα").all(F.col("t")))).collect()[2][0] == 20_000
     assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("dialect", ["git", "rg"])
+def test_rules_by_look_up(spark, monkeypatch, dialect):
+    """Ten thousand rules of a hundred bases: no path meets all of them, and verdicts are those of one expression."""
+    from textquarry.operators import ignore
+
+    kinds = {"name": "name", "*.tmp": "end", "log*": "begin", "/out/bin": "path", "a/b": "path", "a*b": None, "x/**": None, "[ab]c": None}
+    for glob, kind in kinds.items():
+        (rule,) = parse_rules(glob, dialect=dialect)
+        assert (rule.key or (None,))[0] == kind, glob
+    some = [("", "*.o\nlit\n!keep*\n/top/x\nq?\nd/\n"), ("s", "!*.o\nlit\n*é\n"), ("s/t", "x.o\n!/in/deep\n[a-c]z\n")]
+    rules = Rules(some, dialect)
+    names = ["a.o", "lit", "keep.o", "x", "qq", "d", "é", "aé", "az", "x.o", "deep"]
+    paths = [f"{d}{n}" for d in ("", "s/", "s/t/", "top/", "s/t/in/", "z/d/") for n in names]
+    df = spark.createDataFrame([(p, i % 2 == 0) for p in paths for i in range(2)], "p string, d boolean")
+    told = lambda: {(r["path"], r["is_dir"]): r["verdict"] for r in verdicts(df, "p", rules, "d").collect()}
+    want = told()
+    monkeypatch.setattr(ignore, "CHAIN", 0)
+    assert told() == want and set(want.values()) == {"none", "ignore", "whitelist"}
+    many = Rules([(f"b{i}", "".join(f"n{j}\n*.e{j}\n/p{j}/q\nf{j}*\n" for j in range(25))) for i in range(100)], dialect)
+    found = verdicts(spark.createDataFrame([("b7/x/n3",), ("b7/n25",), ("b99/a.e24",), ("b5/p6/q",), ("b5/x/p6/q",), ("b0/d/f12x",), ("c/n3",), ("n3",)], "p string").withColumn("d", F.lit(False)), "p", many, "d")
+    assert {r["path"]: r["verdict"] for r in found.collect()} == {"b7/x/n3": "ignore", "b7/n25": "none", "b99/a.e24": "ignore", "b5/p6/q": "ignore", "b5/x/p6/q": "none", "b0/d/f12x": "ignore", "c/n3": "none", "n3": "none"}
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()

@@ -177,7 +177,10 @@ def rg_glob_valid(glob: str) -> str | None:
 
 @dataclass(frozen=True)
 class Rule:
-    """regex is anchored; it meets the last component, or the path below the base.  literal: the last component that it is."""
+    """regex is anchored; it meets the last component, or the path below the base.  literal: the last component that it is.
+
+    key: what a path has to have to match, where that can be looked up: a name, the end or the beginning of one, or a path below the base.
+    """
 
     base: str
     ord: int
@@ -187,11 +190,20 @@ class Rule:
     regex: str
     literal: str | None
     bytewise: bool
+    key: tuple[str, str] | None = None
 
 
 PLAIN = re.compile(r"[^*?\[\]{}\\,]+")
 
 
+def key_of(glob: str, by_name: bool) -> tuple[str, str] | None:
+    """What a path is looked up by for a glob of a name, or of a path: a glob with at most one star, at an end of a name."""
+    for kind, plain in (("end", glob[1:] if glob.startswith("*") else ""), ("begin", glob[:-1] if glob.endswith("*") else ""), ("name" if by_name else "path", glob)):
+        if PLAIN.fullmatch(plain) and (by_name or kind == "path"):
+            return kind, plain
+    return None  # classes, braces, escapes, other stars
+
+
 def git_line(line: str) -> tuple[bool, bool, bool, str, str] | None:
     """(negated, for directories alone, by name alone, glob, name as written) of a line; None for none."""
     while line.endswith(" ") and not re.search(r"(?<!\\)(?:\\\\)*\\ \Z", line):
@@ -247,7 +259,9 @@ def parse_rules(text: str, base: str = "", dialect: str = "git", icase: bool = F
         except GlobError:
             continue
         if regex:
-            rows.append(Rule(base, len(rows), negated, dir_only, by_name and dialect == "git", regex, literal, dialect == "rg"))
+            anywhere = by_name if dialect == "git" else glob.startswith("**/") and "/" not in glob[3:]
+            key = None if icase else key_of(glob.removeprefix("**/") if anywhere and dialect == "rg" else glob, anywhere)
+            rows.append(Rule(base, len(rows), negated, dir_only, by_name and dialect == "git", regex, literal, dialect == "rg", key))
     return rows
 
 
@@ -334,20 +348,39 @@ def verdicts(paths: DataFrame, path_col: str, known: Rules, is_dir_col: str, roo
 
 
 def joined(p: DataFrame, known: Rules) -> DataFrame:
-    """The same for very many rules: literal names by equality, the rest by a broadcast of at most MAX_RULES rows."""
-    spark = p.sparkSession
-    kind = "base string, code long, dir_only boolean, basename_only boolean, regex string, literal string, bytewise boolean"
-    table = spark.createDataFrame([(r.base, known.code(r), r.dir_only, r.basename_only, r.regex, r.literal, r.bytewise) for r in known.all], kind)
-    fold = F.lower if known.icase else (lambda c: c)
-    p = p.withColumn("_name", F.element_at(F.split("_at", "/", -1), -1))
-    inside = (F.col("_at") != "") & ((F.col("base") == "") | (fold(F.substring(F.col("_at"), F.lit(1), F.length("base") + 1)) == fold(F.concat("base", F.lit("/")))))
-    inside &= ~F.col("dir_only") | F.col("is_dir")
-    below = F.when(F.col("base") == "", F.col("_at")).otherwise(F.substring(F.col("_at"), F.length("base") + 2, F.length("_at")))
-    subject = F.when(F.col("basename_only"), F.col("_name")).otherwise(below)
-    subject = F.when(F.col("bytewise"), bytewise(subject)).otherwise(subject)
-    named = p.join(F.broadcast(table.where("literal is not null")), (F.col("_name") == F.col("literal")) & inside)
-    globs = p.join(F.broadcast(table.where("literal is null")), inside & F.call_function("rlike", subject, F.col("regex")))
-    hits = named.select("path", "is_dir", "code").unionByName(globs.select("path", "is_dir", "code")).unionByName(p.select("path", "is_dir", F.lit(None).cast("long").alias("code")))
+    """The same for very many rules, by look-up: rules with a key by their base and key, the rest by their base.
+
+    A path meets the bases above it by equality, and of a base only the rules whose key it has: its name, as many ends and
+    beginnings of it as rules have different lengths, and its path below the base.  The other rules of a base are tested in
+    the path's row.  The tables of rules have at most MAX_RULES entries and are broadcast.
+    """
+    spark, fold = p.sparkSession, F.lower if known.icase else (lambda c: c)
+    one = "array<struct<code:long,dir_only:boolean,basename_only:boolean,regex:string,bytewise:boolean>>"
+    entries: dict[tuple, list] = {}
+    for r in known.all:
+        base = r.base.lower() if known.icase else r.base
+        entries.setdefault((base, *(r.key or ("other", ""))), []).append((known.code(r), r.dir_only, r.basename_only, None if r.key else r.regex, r.bytewise))
+    index = spark.createDataFrame([(*k, v) for k, v in entries.items()], f"base string, kind string, key string, rules {one}")
+    bases = spark.createDataFrame([(b,) for b in sorted({k[0] for k in entries})], "base string")
+    parts = F.split("_at", "/", -1)
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(fold(F.array_join(F.slice(parts, 1, i), "/")).alias("base"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/").alias("_below")))
+    p = p.withColumn("_name", F.element_at(parts, -1))
+    met = p.where("_at <> ''").select("path", "is_dir", "_name", F.inline(above)).join(F.broadcast(bases), "base")
+    lengths = {kind: sorted({len(k[2]) for k in entries if k[1] == kind}) for kind in ("begin", "end")}
+    key = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("key"))
+    keys = [key("name", F.col("_name")), key("path", F.col("_below")), key("other", F.lit(""))]
+    for kind, take in (("begin", F.left), ("end", F.right)):
+        keys += [F.when(F.length("_name") >= n, key(kind, take("_name", F.lit(n)))) for n in lengths[kind]]
+    looked = met.select("path", "is_dir", "base", "_name", "_below", F.inline(F.filter(F.array(*keys), lambda k: k.isNotNull())))
+
+    def holds(r: Column) -> Column:
+        subject = F.when(r["basename_only"], F.col("_name")).otherwise(F.col("_below"))
+        subject = F.when(r["bytewise"], bytewise(subject)).otherwise(subject)
+        return (~r["dir_only"] | F.col("is_dir")) & (r["regex"].isNull() | F.call_function("rlike", subject, r["regex"]))
+
+    best = F.array_max(F.transform(F.filter("rules", holds), lambda r: r["code"]))
+    hits = looked.join(F.broadcast(index), ["base", "kind", "key"]).select("path", "is_dir", best.alias("code"))
+    hits = hits.unionByName(p.select("path", "is_dir", F.lit(None).cast("long").alias("code")))
     best = hits.groupBy("path", "is_dir").agg(F.max("code").alias("code"))
     return best.select("path", "is_dir", F.when(F.col("code").isNull(), "none").when(F.col("code") % 2 == 1, "whitelist").otherwise("ignore").alias("verdict"))
 
