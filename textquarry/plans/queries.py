@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import table
 from ..operators import fuzzy, grep, ignore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +89,15 @@ on_lines("grep_flags", r"(?i:DIE)\s(?-i:S)", r"regexp_matches(text, '(?i:die)[\x
 on_lines("grep_class_algebra", "[a-z&&[^aeiou]]{5}", "regexp_matches(text, '[b-df-hj-np-tv-z]{5}')")
 on_lines("grep_category", r"^\p{Lu}\p{Ll}{2}\P{L}", r"regexp_matches(text, '^\p{Lu}\p{Ll}{2}\P{L}')")
 on_lines("grep_escapes", r"\x{2e}\x20\u0041n", r"regexp_matches(text, '\. An')")
+
+
+def sql_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function, called from SQL for each row of a table."""
+    table.register(spark)
+    return spark.sql("SELECT doc_id, f.line_number, f.start, f.`end` FROM {docs}, LATERAL search_lines(text, 'tion') f", docs=read(spark, sf_dir, "documents"))
+
+
+register("sql_search", sql_search, f"WITH {LINES}, p AS (SELECT *, string_split(text, 'tion') AS p FROM lines WHERE contains(text, 'tion')), i AS (SELECT *, unnest(generate_series(1, len(p) - 1)) AS i FROM p) SELECT doc_id, line_number, s AS start, s + 4 AS \"end\" FROM (SELECT *, strlen(array_to_string(p[1:i], 'tion')) AS s FROM i)")
 register("grep_crlf", lambda s, d: grep.grep(read(s, d, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n"))), "text", r"on\.$", ["doc_id"], crlf=True).select("doc_id", "line_number"), f"WITH {LINES} SELECT doc_id, line_number FROM lines WHERE ends_with(text, 'on.')")
 
 
