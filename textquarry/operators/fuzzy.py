@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alignment, fields, runes
+from ..functions.alignment import TOP
+from ..functions.arrays import let
+from . import fits
 
 
 @dataclass(frozen=True)
@@ -142,7 +146,40 @@ RANKS = ["rank3", "rank2", "rank1", "rank0"]
 
 
 def scored(df: DataFrame, item_col: str, sets: list[list[Term]], ranking: Ranking) -> DataFrame:
-    """Matching rows with their score and the four rank values (smaller first)."""
+    """Matching rows with their score and the four rank values (smaller first).
+
+    Each term's fit is a column: native, but for the alignment of fuzzy terms.  What the terms of a set and the sets make
+    of them, and the rank values, are native.
+    """
+    rows = df.where(F.col(item_col).isNotNull())
+    kept = [c for c in df.columns if c not in ("score", *RANKS)]
+    if ranking.nth:
+        return scored_in_fields(rows, item_col, kept, sets, ranking)
+    item, order = F.col(item_col), ranking.order()
+    by_place = bool({"chunk", "pathname"} & set(order))
+    rows = likely(rows, item_col, sets).select(*kept)
+    names: list[list[str]] = []
+    for k, terms in enumerate(sets):
+        names.append([f"_fit{k}_{n}" for n in range(len(terms))])
+        rows = rows.withColumns({name: fits.fit_of(item, t, ranking.scheme, ranking.forward(), ranking.greedy, by_place) for name, t in zip(names[-1], terms)})
+    every = F.array(*(fits.of_set(terms, [F.col(n) for n in own]) for terms, own in zip(sets, names))) if sets else F.array().cast("array<struct<hit:boolean,start:int,end:int,score:int>>")
+    if sets:
+        rows = rows.where(reduce(lambda a, b: a & b, [fits.of_set(terms, [F.col(n) for n in own])["hit"] for terms, own in zip(sets, names)]))
+
+    def told(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0), lambda a, f: a + f["score"])
+        wide = F.filter(found, lambda f: f["start"] < f["end"])
+        first = (F.lit(TOP) - F.least(F.greatest(total, F.lit(0)), F.lit(TOP))).cast("int")
+        ties = [let(wide, partial(fits.rank, item, c)) for c in order]
+        ranks = [first, *ties, *[F.lit(0)] * (3 - len(ties))]
+        return F.struct(total.alias("score"), *(r.alias(n) for r, n in zip(ranks, RANKS)))
+
+    rows = rows.select(*kept, let(every, told).alias("_fit"))
+    return rows.select(*kept, *[F.col(f"_fit.{c}").alias(c) for c in ("score", *RANKS)])
+
+
+def scored_in_fields(rows: DataFrame, item_col: str, kept: list[str], sets: list[list[Term]], ranking: Ranking) -> DataFrame:
+    """The same for terms that are looked for in some fields of an item, one after the other."""
 
     @F.pandas_udf("hit boolean, score int, rank3 int, rank2 int, rank1 int, rank0 int")
     def fit(item: pd.Series) -> pd.DataFrame:
@@ -153,11 +190,7 @@ def scored(df: DataFrame, item_col: str, sets: list[list[Term]], ranking: Rankin
         return out
 
     # Not told to be deterministic, lest the filter gets an evaluation of its own.
-    fit = fit.asNondeterministic()
-    rows = df.where(F.col(item_col).isNotNull())
-    rows = rows if ranking.nth else likely(rows, item_col, sets)
-    kept = [c for c in df.columns if c not in ("score", *RANKS)]
-    fitted = rows.select(*kept, fit(item_col).alias("_fit")).where("_fit.hit")
+    fitted = rows.select(*kept, fit.asNondeterministic()(item_col).alias("_fit")).where("_fit.hit")
     return fitted.select(*kept, *[F.col(f"_fit.{c}").alias(c) for c in ("score", *RANKS)])
 
 
