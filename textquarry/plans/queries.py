@@ -117,6 +117,11 @@ on_names("fuzzy_case", "Customer 9$", "contains(c_name, 'C') AND c_name LIKE '%C
 on_names("fuzzy_boundary", "'en' 'example'", r"regexp_matches(lower(url), '(^|[^\p{L}\p{N}])en($|[^\p{L}\p{N}])') AND regexp_matches(lower(url), '(^|[^\p{L}\p{N}])example($|[^\p{L}\p{N}])')", **PAGES)
 on_names("fuzzy_equal", "^http://ththre.example.com/fr/825?page=2&ref=x$", "lower(url) = 'http://ththre.example.com/fr/825?page=2&ref=x'", **PAGES)
 
+on_names("fuzzy_literal", "example.com/fr", "contains(lower(url), 'example.com/fr')", extended=False, exact=True, **PAGES)
+register("fuzzy_marks", lambda s, d: fuzzy.fuzzy_filter(read(s, d, "documents").select("doc_id", F.left("text", F.lit(40)).alias("start")), "start", "'etion"), "SELECT * FROM (SELECT doc_id, left(text, 40) AS start FROM documents) WHERE contains(lower(strip_accents(start)), 'etion')")
+register("fuzzy_last", lambda s, d: fuzzy.fuzzy_rank(read(s, d, "pages").select("page_id", "url"), "url", "'org", "page_id", 25, sort=False, tac=True).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE contains(lower(url), 'org') ORDER BY page_id DESC LIMIT 25")
+register("fuzzy_printed", lambda s, d: fuzzy.printed(fuzzy.fuzzy_rank(read(s, d, "pages").select("page_id", "url"), "url", "^http:", "page_id", positions=True), "url", debug=True), "SELECT CAST(5 * 16 + 10 * 2 + 4 * 10 AS VARCHAR) || chr(9) || '[0,1,2,3,4]' || chr(9) || url AS value FROM pages WHERE starts_with(lower(url), 'http:')")
+
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://[^/]*/", "").alias("path")).where("path <> ''")

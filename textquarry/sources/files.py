@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fuzzy, grep
-from .walk import walk
+from ..plans.shared import written
+from .walk import tasks_for, walk
 
 SCHEMA = "path string, size long, text string, binary_offset long, error string"
+#: Characters of text in an Arrow batch, unless a single file has more.
+BATCH = 1 << 20
 # Byte order marks and what they say.
 MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 
@@ -53,22 +56,36 @@ def read_whole(full: str, max_filesize: int | None) -> tuple[int | None, bytes |
             return size, None, "read error"
 
 
-def read_files(paths: DataFrame, path_col: str = "path", root: str = "", max_filesize: int | None = None, partitions: int = 64) -> DataFrame:
+def read_files(paths: DataFrame, path_col: str = "path", root: str = "", max_filesize: int | None = None, partitions: int | None = None) -> DataFrame:
     """(path, size, text, binary_offset, error) of each path under root.
 
-    Text is null for files that are too large or can't be read.  binary_offset is where the text's first NUL is, in characters, if it has one.
+    Small files share an Arrow batch.  Without partitions given, the paths are written and counted, and there is a task for
+    so many.  Text is null for files that are too large or can't be read.  binary_offset is where the text's first NUL is, in characters, if it has one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                size, data, error = read_whole(os.path.join(root, path), max_filesize)
-                text = decoded(data)[0] if data is not None else None
-                nul = text.find("\0") if text is not None else -1
-                row = [[path], [size], [text], [nul if nul >= 0 else None], [error]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()))], [c.split()[0] for c in SCHEMA.split(", ")])
-
-    return paths.select(F.col(path_col).cast("string").alias("path")).where("path is not null").repartition(partitions).mapInArrow(run, SCHEMA)
+        rows, held = [], 0
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            size, data, error = read_whole(os.path.join(root, path), max_filesize)
+            text = decoded(data)[0] if data is not None else None
+            nul = text.find("\0") if text is not None else -1
+            rows.append([path, size, text, nul if nul >= 0 else None, error])
+            held += len(text or "")
+            if held > BATCH or len(rows) >= 1000:
+                yield as_batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield as_batch(rows)
+
+    some = paths.select(F.col(path_col).cast("string").alias("path")).where("path is not null")
+    if partitions is None:
+        some = written(some)
+        partitions = tasks_for(some.sparkSession, some.count())
+    return some.repartition(partitions).mapInArrow(run, SCHEMA)
+
+
+def as_batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()))], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def as_text(files: DataFrame, binary: str = "quit") -> DataFrame:

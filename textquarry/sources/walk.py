@@ -39,7 +39,8 @@ KINDS = ("custom", "ignore", "git", "exclude")
 @dataclass
 class Options:
     """What to leave out.  max_depth 1 is the root's children, 0 nothing; display_root is the path under which the rg dialect
-    sees entries; git_global_file stands for the user's own excludes; partitions is how many tasks a level has at most."""
+    sees entries; git_global_file stands for the user's own excludes; partitions is how many tasks a level has at most (by default four a core,
+    or one for so many directories)."""
 
     root: str = "."
     hidden: bool = False
@@ -60,7 +61,7 @@ class Options:
     extra_ignore_files: list[str] = field(default_factory=list)
     git_global_file: str | None = None
     native_paths: bool = False
-    partitions: int = 32
+    partitions: int | None = None
 
 
 @lru_cache(maxsize=4096)
@@ -197,6 +198,11 @@ def listed(judge: Judge, path: str, depth: int, above: Above, seen: list) -> Ite
         yield [*row, down]
 
 
+def tasks_for(spark: SparkSession, n: int, each: int = 256) -> int:
+    """Tasks for n directories or files: all cores several times over, and more where there are very many."""
+    return max(1, 4 * spark.sparkContext.defaultParallelism, -(-n // each))
+
+
 def walk(spark: SparkSession, root: str, **options) -> DataFrame:
     """Entries under the root that aren't ignored: files, directories, links; those that can't be read carry an error.
 
@@ -229,7 +235,7 @@ def walk(spark: SparkSession, root: str, **options) -> DataFrame:
 
     levels, frontier, n = none, spark.createDataFrame([(json.dumps(["", 0, asdict(above), []]),)], "below string"), 1
     while n:
-        level = written(frontier.repartition(min(n, o.partitions)).mapInArrow(run, LEVEL))
+        level = written(frontier.repartition(min(n, o.partitions or tasks_for(spark, n))).mapInArrow(run, LEVEL))
         levels = levels.unionByName(level.drop("below"))
         frontier = level.where("below is not null").select("below")
         n = frontier.count()
