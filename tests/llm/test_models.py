@@ -149,3 +149,67 @@ def test_rules_judge_hosts(spark):
         rejected = (sum(hosts[h]) + m * strength) / (len(hosts[h]) + strength) > 0.5
         assert got[i]["host_rejected"] is rejected and got[i]["kept"] is (not rejected or t == good) and got[i]["n_soft"] == int(t == noisy) + int(t == noisy and got[i]["word_chars"] < 3 * got[i]["n_words"])
     assert got[0]["host_rejected"] and got[1]["host_rejected"] and not got[300]["host_rejected"]
+
+
+def test_follow_the_leader_equals_a_plain_version():
+    """One coordinate at a time, with z and n in dictionaries, from the definition of the method."""
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(60, 8, replace=False)), rng.random(8)) for _ in range(40)]
+    y = rng.integers(0, 3, 40)
+    alpha, l1, l2, epochs = 0.7, 0.05, 0.3, 2
+    z, n, order = {}, {}, np.random.default_rng(7)
+
+    def weight(k):
+        a, b = z.get(k, 0.0), n.get(k, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((1 + math.sqrt(b)) / alpha + l2)
+
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            some = [*zip(rows[i][0].tolist(), rows[i][1].tolist()), (1 << language_id.BITS, 1.0)]
+            w = {(f, c): weight((f, c)) for f, _ in some for c in range(3)}
+            e = [math.exp(sum(v * w[f, c] for f, v in some)) for c in range(3)]
+            for f, v in some:
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y[i]))
+                    before = n.get((f, c), 0.0)
+                    sigma = (math.sqrt(before + g * g) - math.sqrt(before)) / alpha
+                    z[f, c] = z.get((f, c), 0.0) + g - sigma * w[f, c]
+                    n[f, c] = before + g * g
+    got, bias = language_id.follow_the_leader(rows, y, 3, alpha, l1, l2, epochs)
+    assert np.allclose(got[:60], [[weight((f, c)) for c in range(3)] for f in range(60)]) and np.allclose(bias, [weight((1 << language_id.BITS, c)) for c in range(3)])
+    assert not got[60:].any() and (got[:60] == 0).any()
+
+
+def test_temperature_equals_a_search_over_all():
+    rng = np.random.default_rng(2)
+    logits, y = rng.normal(0, 6, (300, 4)), rng.integers(0, 4, 300)
+    y = np.where(rng.random(300) < 0.6, logits.argmax(axis=1), y)
+    loss = lambda t: -np.log(language_id.softmax(logits / t)[np.arange(300), y] + 1e-12).mean()
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 4000))
+    assert abs(np.log(language_id.temperature_of(logits, y) / grid[np.argmin([loss(t) for t in grid])])) < 0.01
+    assert language_id.temperature_of(logits[:0], y[:0]) == 1
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.9])
+def test_positive_unlabelled_steps_equal_a_plain_version(prior):
+    """The gradient of the risk by differences; below zero the part of negatives is gone up instead."""
+    width = quality_classifier.MEASURES + quality_classifier.SHAPES
+    rng = np.random.default_rng(4)
+    positive, unlabelled = rng.normal(0.4, 1, (30, width)), rng.normal(0, 1, (50, width))
+    got = quality_classifier.fit(positive, unlabelled, prior, steps=4, batch=8)
+    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 0.02
+    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
+    theta = np.append(np.zeros(width), np.log(prior / (1 - prior)))
+    draw, m, v, signs = np.random.default_rng(3), 0.0, 0.0, []
+    for t in range(1, 5):
+        xp, xu = (np.c_[x[draw.integers(len(x), size=8)], np.ones(8)] for x in (p, u))
+        as_positive = lambda w: np.log1p(np.exp(-xp @ w)).mean()  # noqa: B023, E731
+        negative = lambda w: np.log1p(np.exp(xu @ w)).mean() - prior * np.log1p(np.exp(xp @ w)).mean()  # noqa: B023, E731
+        signs.append(negative(theta) >= 0)
+        risk = (lambda w: prior * as_positive(w) + negative(w)) if signs[-1] else (lambda w: -negative(w))  # noqa: B023
+        step = np.eye(width + 1) * 1e-5
+        g = np.array([(risk(theta + d) - risk(theta - d)) / 2e-5 for d in step]) + 1e-3 * np.append(theta[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - 0.02 * (1 - t / 5) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(np.append(got.weights, got.bias), theta, atol=5e-4)
+    assert prior < 0.5 or not all(signs)

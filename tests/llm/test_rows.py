@@ -209,3 +209,14 @@ def test_marks(spark):
     df = spark.createDataFrame([(t, [(b, b - a) for a, b in s]) for t, s in rows], "t string, s array<struct<end:int,width:int>>")
     got = [r[0] for r in df.select(secret_scan.marked(F.col("t"), F.col("s"), "#")).collect()]
     assert got == [plain_marks(*r) for r in rows]
+
+
+def test_ids_of_any_type_in_rules_and_archives(spark, tmp_path):
+    from textquarry.llm import quality_rules, warc
+
+    docs = spark.createDataFrame([("a", "one two", "h"), ("", None, None), (None, "x y " * 60, "h")], "doc_id string, text string, source string")
+    assert {(r["doc_id"], r["n_words"]) for r in quality_rules.quality_rules(docs).collect()} == {("a", 2), ("", 0), (None, 120)}
+    page = "<p>" + "long enough " * 20
+    pages = spark.createDataFrame([("b/ü 1", "u", page), ("a%", None, page), ("", "v", "short"), (None, "w", page), ("%", "x", None)], "page_id string, url string, html string")
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages, str(tmp_path / "w")).collect()}
+    assert got == {("b/ü 1", "revisit", "a%"), ("a%", "response", None), ("", "response", None), (None, "revisit", "a%"), ("%", "response", None)}

@@ -71,8 +71,8 @@ def document_counts(docs: DataFrame, id_col: str, text_col: str, host: Column) -
                 keep = [batch.column(i).slice(lo, hi - lo) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*keep, *(pa.array(out[c].astype(np.int64)) for c in COUNTS)], ["doc_id", "host", *COUNTS])
 
-    few = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("="), host), F.lit("")).alias("host"), F.col(text_col).alias("text"))
-    return few.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    few = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), host), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+    return few.mapInArrow(run, f"doc_id {few.schema['doc_id'].dataType.simpleString()}, host string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:

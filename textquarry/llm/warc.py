@@ -35,7 +35,7 @@ from .common import cut, dim_join
 
 PIECE = 1 << 20
 INDEX = "path string, offset long, length long, record_id string"
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def store(base: str) -> tuple[pafs.FileSystem, str]:
@@ -56,8 +56,8 @@ def publish(fs: pafs.FileSystem, temp: str, path: str) -> None:
     fs.move(temp, path)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    name = lambda n: f"<urn:page:{'' if n is None else n}>"
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    name = lambda n: f"<urn:page:{'' if n is None else quote(n, safe='') or '%'}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
     block = http + (payload if refers_to is None else b"")
@@ -126,7 +126,8 @@ def write_archives(rows: DataFrame, base: str) -> DataFrame:
         else:
             fs.delete_file(temporary(path))
 
-    return rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string")
+    as_text = [F.col(c).cast("string").alias(c) for c in ("page_id", "url", "payload", "digest", "refers_to")]
+    return rows.select(*as_text).mapInArrow(run, "path string")
 
 
 def normalise(files: DataFrame, base: str) -> DataFrame:
@@ -170,9 +171,10 @@ def as_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def read_records(index: DataFrame, base: str) -> DataFrame:
     """Read each record of an index by its offset; payload digests are computed anew and held against the header."""
 
-    def number(name: str | None) -> int | None:
-        digits = unquote(name or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits else None
+    def told(name: str | None) -> str | None:
+        """An id as it was written: nothing for null, a bare % for an empty one."""
+        quoted = (name or "").removeprefix("<urn:page:").removesuffix(">")
+        return "" if quoted == "%" else unquote(quoted) if quoted else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = store(base)
@@ -191,7 +193,7 @@ def read_records(index: DataFrame, base: str) -> DataFrame:
                 size, digest = int(headers(http)["content-length"]), head["warc-payload-digest"].removeprefix("sha256:")
                 if head["warc-type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"{path} at {offset}: the payload doesn't have its digest")
-                out.append((number(head["warc-record-id"]), size, digest, head["warc-type"], number(head.get("warc-refers-to"))))
+                out.append((told(head["warc-record-id"]), size, digest, head["warc-type"], told(head.get("warc-refers-to"))))
             if out:
                 yield as_batch(out, RECORD)
         if stream:
@@ -203,11 +205,12 @@ def read_records(index: DataFrame, base: str) -> DataFrame:
 def archive_pages(pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100) -> DataFrame:
     """Write, normalise and read back all rows: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.encode("payload", "UTF-8"), 256))
     firsts = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rows = dim_join(rows, firsts, ["digest"], "left")
     rows = rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     files = cut(write_archives(rows, f"{base}/monolithic"))
     index = cut(normalise(files, f"{base}/records"))
-    return read_records(index, f"{base}/records")
+    kind = rows.schema["page_id"].dataType
+    return read_records(index, f"{base}/records").withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
