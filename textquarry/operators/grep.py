@@ -5,7 +5,7 @@ its row already, so nothing here moves rows between tasks: lines are selected in
 first, where the pattern is a fixed string), and context, limits and offsets are worked out over the row's array of lines.
 
 With ``multiline`` a pattern meets whole texts and may span lines: all lines that a match touches are selected, and
-limits count matches.  Documents are rows, whatever their ids.
+limits count matches.  Documents are rows, whatever their ids.  A limit may be a column, so that each row has its own.
 """
 
 from __future__ import annotations
@@ -166,7 +166,7 @@ def regions(p: Pattern, text: Column, invert: bool, before: int, after: int, max
     return let(let(lines_of(text), whole), of)
 
 
-def lines_around(p: Pattern, text: Column, flags: Column | None, invert: bool, before: int, after: int, max_count: int | None, offsets: bool) -> Column:
+def lines_around(p: Pattern, text: Column, flags: Column | None, invert: bool, before: int, after: int, max_count: int | Column | None, offsets: bool) -> Column:
     """array<struct<_kind, _number, _line, _offset>> of the lines of a text that match, those around them, and their offsets.
 
     flags: which lines match, where that is known already.
@@ -181,7 +181,7 @@ def lines_around(p: Pattern, text: Column, flags: Column | None, invert: bool, b
             return F.transform(around, lambda i: F.struct(F.when(hit(i), "match").otherwise("context").alias("_kind"), i.alias("_number"), F.element_at(lines, i.cast("int")).alias("_line"), (F.element_at(x["starts"], i.cast("int")) if offsets else F.lit(0)).alias("_offset")))
 
         hits = F.filter(numbers(F.size(lines)), hit)
-        return let(F.slice(hits, 1, max_count) if max_count else hits, shown)
+        return let(hits if max_count is None else F.slice(hits, 1, max_count), shown)
 
     whole = lambda lines: F.struct(lines.alias("lines"), (p.flags(lines) if flags is None else flags).alias("flags"), (starts_of(lines) if offsets else F.array(F.lit(0))).alias("starts"))
     return let(let(lines_of(text), whole), of)
@@ -195,7 +195,7 @@ def grep(
     invert: bool = False,
     before: int = 0,
     after: int = 0,
-    max_count: int | None = None,
+    max_count: int | Column | None = None,
     byte_offset: bool = False,
     column: bool = False,
     spans: bool = False,
@@ -211,17 +211,21 @@ def grep(
     """
     p, whole_text = matcher(pattern, multiline, multiline_dotall, **options)
     text = F.col(text_col)
+    per_row, max_count = max_count if isinstance(max_count, Column) else None, None if isinstance(max_count, Column) else max_count or None
+    if per_row is not None and whole_text:
+        raise ValueError("a limit for each row goes by lines")
     rows = df.where(p.matches(text)) if (p.fixed or p.whole or whole_text and not p.risky) and not invert else df.where(text.isNotNull() & (text != ""))
     ids = [f"_id{i}" for i in range(len(id_cols))]
-    rows = rows.select(*(F.col(c).alias(i) for c, i in zip(id_cols, ids)), text.alias("_text"))
+    rows = rows.select(*(F.col(c).alias(i) for c, i in zip(id_cols, ids)), text.alias("_text"), *([] if per_row is None else [per_row.alias("_most")]))
+    limit = max_count if per_row is None else F.col("_most")
     line = F.col("_line")
     if whole_text:
         rows = rows.select(*ids, F.inline(regions(p, F.col("_text"), invert, before, after, max_count, spans or column)))
     else:
-        if before or after or max_count or byte_offset:
+        if before or after or limit is not None or byte_offset:
             if p.risky:
                 rows = rows.withColumn("_known", p.flags(lines_of(F.col("_text"))))
-            rows = rows.select(*ids, F.inline(lines_around(p, F.col("_text"), F.col("_known") if p.risky else None, invert, before, after, max_count, byte_offset)))
+            rows = rows.select(*ids, F.inline(lines_around(p, F.col("_text"), F.col("_known") if p.risky else None, invert, before, after, limit, byte_offset)))
         else:
             rows = rows.select(*ids, F.posexplode(lines_of(F.col("_text"))).alias("_pos", "_line")).where(selected(p, line, invert))
             rows = rows.select(*ids, F.lit("match").alias("_kind"), (F.col("_pos") + 1).cast("long").alias("_number"), "_line")

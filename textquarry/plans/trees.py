@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grep
-from ..sources import files, walk
+from ..sources import files, ranges, walk
 from .shared import shared_dir, written
 
 #: Ignore files by folder.  The folders are a page's number modulo 7.
@@ -96,6 +96,11 @@ def tree_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.search_files(listed(spark, sf_dir), "<title>", root=tree(spark, sf_dir)).select("path", "line_number", "text")
 
 
+def tree_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By ranges of bytes, so that a file is dealt over tasks."""
+    return ranges.search_ranges(listed(spark, sf_dir), "<p", root=tree(spark, sf_dir), range_bytes=1000, after=1).select("path", "kind", "line_number", "text")
+
+
 def tree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = files.read_files(listed(spark, sf_dir), root=tree(spark, sf_dir, "substring(html, 1, page_id * 7 % 300)"), max_filesize=200)
     return read.select("path", "size", F.octet_length("text").cast("long").alias("bytes"))
@@ -129,7 +134,7 @@ def items_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_items(spark, path, null_separated=True)
 
 
-QUERIES = {f.__name__: f for f in (tree_files, tree_search, tree_context, tree_find, tree_hidden, tree_depth, tree_globs, tree_extra, tree_ignore_case, tree_listed, tree_sizes, tree_binary, tree_binary_text, tree_binary_report, tree_printed, items_read)}
+QUERIES = {f.__name__: f for f in (tree_files, tree_search, tree_context, tree_find, tree_hidden, tree_depth, tree_globs, tree_extra, tree_ignore_case, tree_listed, tree_ranges, tree_sizes, tree_binary, tree_binary_text, tree_binary_report, tree_printed, items_read)}
 ALL = KEPT.split("WHERE")[0].replace("kept AS", "every AS").rstrip() + ")"
 SPLIT = "string_split(CASE WHEN {t} LIKE '%' || chr(10) THEN left({t}, length({t}) - 1) ELSE {t} END, chr(10))"
 # The text with a line of its own, with a NUL, behind the second line; and its lines.
@@ -147,6 +152,7 @@ ORACLE = {
     "tree_extra": f"WITH {KEPT} SELECT path FROM kept WHERE path NOT LIKE '%9.txt'",
     "tree_ignore_case": f"WITH {KEPT} SELECT path FROM kept WHERE path NOT LIKE '5/%7.txt'",
     "tree_listed": f"WITH {ALL}, l AS (SELECT path, unnest(generate_series(1, len(x))) AS i, x FROM (SELECT path, {SPLIT.format(t='html')} AS x FROM every WHERE html <> '')) SELECT path, CAST(i AS BIGINT) AS line_number, x[i] AS text FROM l WHERE contains(x[i], '<title>')",
+    "tree_ranges": f"WITH {ALL}, {LINES.replace('FROM kept', 'FROM every')} SELECT path, CASE WHEN hit THEN 'match' ELSE 'context' END AS kind, line_number, text FROM (SELECT *, contains(text, '<p') AS hit, coalesce(contains(lag(text) OVER (PARTITION BY path ORDER BY line_number), '<p'), false) AS before FROM lines) WHERE hit OR before",
     "tree_sizes": f"WITH {ALL.replace('coalesce(html', 'coalesce(left(html, page_id * 7 % 300)')}, b AS (SELECT path, strlen(html) AS n, CASE WHEN page_id % 3 = 0 THEN 2 + 2 * length(html) + 2 * length(regexp_replace(html, '[^\\x{{10000}}-\\x{{10ffff}}]', '', 'g')) ELSE strlen(html) END AS size FROM every) SELECT path, CAST(size AS BIGINT) AS size, CASE WHEN size <= 200 THEN CAST(n AS BIGINT) END AS bytes FROM b",
     "tree_binary": f"WITH {WITH_NUL} SELECT path, line_number, text FROM l WHERE line_number < n AND contains(text, '<')",
     "tree_binary_text": f"WITH {WITH_NUL} SELECT path, line_number, text FROM l WHERE contains(text, '<p')",
