@@ -220,3 +220,21 @@ def test_ids_of_any_type_in_rules_and_archives(spark, tmp_path):
     pages = spark.createDataFrame([("b/ü 1", "u", page), ("a%", None, page), ("", "v", "short"), (None, "w", page), ("%", "x", None)], "page_id string, url string, html string")
     got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages, str(tmp_path / "w")).collect()}
     assert got == {("b/ü 1", "revisit", "a%"), ("a%", "response", None), ("", "response", None), (None, "revisit", "a%"), ("%", "response", None)}
+
+
+def test_a_very_long_item_widens_no_other_passage(spark):
+    import time
+
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    short = [(i, " ".join(word() for _ in range(30)) + ". Answer " + " ".join(word() for _ in range(6))) for i in range(300)]
+    parts = [t.split(" ") for _, t in short]
+    long_item = (999, " ".join(w for p in parts for w in p[:20]) + " " + " ".join(word() for _ in range(14_000)) + ". The end")
+    docs = [(i, " ".join(word() for _ in range(400)) + (" " + short[i][1] if i % 3 == 0 else "")) for i in range(60)]
+    docs += [(100, "x " * 50 + long_item[1]), (101, " ".join(w for p in rng.sample(parts, 100) for w in p[::2]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = lambda items: sorted(map(tuple, decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()))
+    began = time.time()
+    both, alone = rows([*short, long_item]), rows(short)
+    assert time.time() - began < 60
+    assert {r[:2] for r in alone} == {(i, i) for i in range(0, 60, 3)} and {r[:2] for r in both} == {r[:2] for r in alone} | {(100, 999)}

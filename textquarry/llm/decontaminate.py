@@ -100,6 +100,10 @@ class Statistics:
     df: np.ndarray
 
 
+#: Words of the longest items of the first class of lengths; each next class has eight times as long ones.
+CLASS_WORDS = 256
+
+
 def statistics(h: np.ndarray, first: np.ndarray) -> Statistics:
     length = np.diff(first)
     row = np.repeat(np.arange(len(length)), length)
@@ -154,6 +158,19 @@ def build_index(rows: list[tuple], over: Statistics | None = None, block: int |
     return Index(terms, maybe, item.astype(np.int32), share.astype(np.float32), cell, bound.reshape(len(terms), blocks), parts, [rows[i][0] for i in keep], length, max(32, over.longest))
 
 
+def by_length(rows: list[tuple], over: Statistics) -> Iterator[tuple[list[tuple], Statistics]]:
+    """The items by classes of length, each with the statistics of all and its own longest: passages are no wider than its items need.
+
+    In passages as wide as a very long item asks for, nearly every short one would reach the threshold.
+    """
+    words = np.diff(hashed(pa.array([r[1] for r in rows], pa.string()))[1])
+    low, high = 0, CLASS_WORDS
+    while low < over.longest:
+        if own := [r for r, n in zip(rows, words) if low < n <= high]:
+            yield own, replace(over, longest=min(high, over.longest))
+        low, high = high, 8 * high
+
+
 def search(index: Index, h: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first word, item, score) of every passage and item at or above the threshold."""
     count = np.diff(first)
@@ -242,32 +259,31 @@ def find_leaks(
             term = known["term"].to_numpy().view(np.uint64)
             order = np.argsort(term)
             over = replace(over, terms=term[order], df=known["df"].to_numpy()[order])
-        index = build_index(rows, over)
-        if index is None:
-            continue
-        sent = spark.sparkContext.broadcast(vars(index))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, stop = Index(**sent.value), not_word()
-            for batch in batches:
-                data_all, at_all = buffers(batch.column(1))
-                for lo, hi in chunks(at_all):
-                    data, at = normal(data_all[at_all[lo] : at_all[hi]]), at_all[lo : hi + 1] - at_all[lo]
-                    starts, ends, first = spans(data, at, stop)
-                    h = hashes(data, starts, ends)
-                    out = []
-                    for row, begin, item, score in zip(*search(index, h, first, threshold)):
-                        end = min(first[row + 1], begin + 2 * index.stride)
-                        both = index.parts[item]
-                        hits = [int(np.isin(x, shingles(h[begin:end], k)).sum()) for k, x in both]
-                        if all(100 * n >= percent * len(x) for n, (_, x) in zip(hits, both)):
-                            out.append((lo + row, index.ids[item], score, sum(len(x) for _, x in both), sum(hits), *hits))
-                    if out:
-                        cols = list(zip(*out))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), *(pa.array([int(x) for x in c], pa.int64()) for c in cols[3:])], ["doc_id", *names])
-
-        found = found.unionByName(cut(few.mapInArrow(trimmed(run), schema)))
-        sent.destroy()
+        for few_rows, known in by_length(rows, over or statistics(*hashed(pa.array([r[1] for r in rows], pa.string())))):
+            index = build_index(few_rows, known)
+            sent = spark.sparkContext.broadcast(vars(index))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                index, stop = Index(**sent.value), not_word()
+                for batch in batches:
+                    data_all, at_all = buffers(batch.column(1))
+                    for lo, hi in chunks(at_all):
+                        data, at = normal(data_all[at_all[lo] : at_all[hi]]), at_all[lo : hi + 1] - at_all[lo]
+                        starts, ends, first = spans(data, at, stop)
+                        h = hashes(data, starts, ends)
+                        out = []
+                        for row, begin, item, score in zip(*search(index, h, first, threshold)):
+                            end = min(first[row + 1], begin + 2 * index.stride)
+                            both = index.parts[item]
+                            hits = [int(np.isin(x, shingles(h[begin:end], k)).sum()) for k, x in both]
+                            if all(100 * n >= percent * len(x) for n, (_, x) in zip(hits, both)):
+                                out.append((lo + row, index.ids[item], score, sum(len(x) for _, x in both), sum(hits), *hits))
+                        if out:
+                            cols = list(zip(*out))
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), *(pa.array([int(x) for x in c], pa.int64()) for c in cols[3:])], ["doc_id", *names])
+
+            found = found.unionByName(cut(few.mapInArrow(trimmed(run), schema)))
+            sent.destroy()
     best = F.max(F.struct("n_found", "score", "n_shingles", "question_found", "answer_found")).alias("best")
     every = dim_join(found.groupBy("doc_id", "no").agg(best), named.join(once, ["text", "question", "answer"]).select("no", "item_id"), ["no"])
     return every.select("doc_id", "item_id", F.round("best.score", 4).alias("score"), "best.n_shingles", "best.n_found", "best.question_found", "best.answer_found")
