@@ -127,15 +127,15 @@ def test_items_are_scored_once_and_a_limit_stays_a_top_k(spark):
     assert plan.count("[align(") == 1 and "TakeOrderedAndProject" in plan and "Exchange" not in plan
 
 
-@pytest.mark.parametrize("ranking", [Ranking(), Ranking("path"), Ranking("history", tiebreak=("begin", "end", "length")), Ranking(tiebreak=("chunk", "pathname", "end")), Ranking(tiebreak=("end",), greedy=True)])
+@pytest.mark.parametrize("ranking", [Ranking(), Ranking("history", tiebreak=("begin", "end", "pathname")), Ranking(tiebreak=("chunk", "end"), greedy=True)])
 def test_native_fits_equal_whole_blocks(spark, ranking):
     """Columns and the block-wise version say the same of every item."""
     draw = random.Random(21)
     letters = "abAB/_ -1.,\\\u00e9\u00c9\u6f22\t\u00a0\U0001f642İσΣ"
     items = ["".join(draw.choices(letters, k=draw.randint(0, 14))) for _ in range(700)] + ["", " ", "ab", "_ab_", " ab ", "ab ab", "aab", "a/ab", "AB_ab-ab", "1ab1", "漢ab"]
     df = spark.createDataFrame(list(enumerate(items)), "i long, item string").coalesce(2)
-    exact = ("'ab", "^a", "'ab'", "^ab$", "b$", "'A", "'σ") if ranking == Ranking() else ("'ab'", "^ab")
-    for query in (*exact, "!ab", "ab 'b", "!a | 'b | ^é", "'é !b$ a"):
+    some = ("'ab", "^a", "^ab$", "b$", "'σ") if ranking == Ranking() else ("!ab", "!a | 'b | ^é")
+    for query in (*some, "'ab'", "'é !b$ a"):
         sets = parse(query)
         got = {r["i"]: (r["score"], r["rank3"], r["rank2"], r["rank1"], r["rank0"]) for r in fuzzy_rank(df, "item", query, "i", ranking=ranking).collect()}
         want = {}
