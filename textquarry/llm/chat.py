@@ -12,6 +12,7 @@ Roles other than plain names are URL-encoded.
 Edge cases: null text and null role are empty.  Rows are ordered by turn, then role, then text, with
 nulls last; repeated rows are turns of their own.  A row without a conversation id is a conversation
 of its own, as nothing bounds how many there are.  Invalid conversations are formatted as well and marked.  Extra columns are ignored; an empty table gives an empty result.
+A conversation, however long, is one row of the result and so one value in one task; very long texts are formatted whole.
 """
 
 from __future__ import annotations

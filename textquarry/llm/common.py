@@ -36,7 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """These settings for a while, and those of before afterwards; a plan takes them when it is made."""
+    """These settings for a while, and those of before afterwards; a plan takes them when it is made.
+
+    They are the session's, so other threads see them meanwhile: work at the same time wants a session for each thread.
+    """
     before = {k: spark.conf.get(k) for k in values}
     for k, v in values.items():
         spark.conf.set(k, v)

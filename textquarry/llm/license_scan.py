@@ -14,7 +14,8 @@ may hold several.  A paragraph has a row for each family that is predicted or co
 Paragraphs and lines of equal features and notice shingles are scored once, however many documents hold them.
 
 Edge cases: null text is empty.  Texts without a licence give no row.  Notices of fewer than five words
-are one shingle, looked up among the paragraph's runs of as many words.  Null and repeated ids are kept as they are, a row for each.  Extra columns are ignored; an empty table gives an
+are one shingle, looked up among the paragraph's runs of as many words.  Null and repeated ids are kept as they are, a row for each.
+Very long texts are scanned whole, a text's words in one row.  Extra columns are ignored; an empty table gives an
 empty result.
 """
 
