@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions.arrays import cut_text, grouped, highest, running
 from textquarry.functions.pattern import compile_pattern
-from textquarry.operators.grep import grep, grep_count, only_matching
+from textquarry.operators.grep import grep, grep_count, grep_documents, grep_stats, only_matching
 
 
 def plain(pattern, text, invert=False, before=0, after=0, max_count=None):
@@ -138,3 +138,11 @@ def test_greatest_before_and_pieces(spark):
     at = [(0, 3), (3, 3), (1020, 1030), (1024, 2048), (2048, 2049), (4000, 9999), (11_990, 12_000)]
     row = spark.createDataFrame([(text, at)], "t string, r array<struct<start:long,end:long>>").select(cut_text(F.col("t"), F.col("r")).alias("p")).first()
     assert row["p"] == [text[a:b] for a, b in at]
+
+
+def test_documents_and_stats(spark):
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "a\n"), (3, ""), (4, None), (5, "b\nb\n")], "id long, text string")
+    ids = lambda p, **o: sorted(r["id"] for r in grep_documents(docs, "text", p, ["id"], multiline=True, **o).collect())
+    assert ids(r"a\nb") == [1] and ids(r"a\nb", without=True) == [2, 3, 4, 5] and ids(r"a\s?\z") == [2] and ids(r"\z") == [1] and ids("a") == [1, 2]
+    assert ids(r"b\n", invert=True) == [1, 2] and ids("b", invert=True) == [1, 2] and ids(r"a\n", invert=True) == [1, 5]
+    assert tuple(grep_stats(docs, "text", r"b\n", ["id"], multiline=True).first()) == (5, 1, 2, 2, 9)

@@ -261,15 +261,20 @@ def grep_count(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_
     return df.where(text.isNotNull() & (text != "")).select(*id_cols, F.explode(F.filter(F.array(n.cast("long")), lambda x: x > 0)).alias(name))
 
 
-def grep_documents(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], without: bool = False, **options) -> DataFrame:
-    """The ids of documents with (or without) a matching line."""
-    p = compile_pattern(pattern, **options)
-    if p.fixed is not None and "\n" not in p.fixed:
-        hit = F.coalesce(F.col(text_col).contains(p.fixed), F.lit(False))
+def grep_documents(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], without: bool = False, invert: bool = False, multiline: bool = False, multiline_dotall: bool = False, **options) -> DataFrame:
+    """The ids of documents with (or without) a selected line: one that matches or, inverted, one that doesn't."""
+    p, whole_text = matcher(pattern, multiline, multiline_dotall, **options)
+    text = F.col(text_col)
+    if whole_text and invert:
+        hit = let(matches_in(p, text), lambda x: F.size(lines_touched(x))) < F.size(lines_of(text))
+    elif whole_text:  # an empty match may be on no line
+        hit = F.size(matches_in(p, text)) > 0 if p.empty or p.risky else F.coalesce(p.matches(text), F.lit(False))
+    elif p.fixed is not None and "\n" not in p.fixed and not invert:
+        hit = F.coalesce(text.contains(p.fixed), F.lit(False))
     elif p.risky:
-        hit = F.exists(p.flags(lines_of(F.col(text_col))), lambda x: x)
+        hit = F.exists(p.flags(lines_of(text)), lambda x: x != F.lit(invert))
     else:
-        hit = F.exists(lines_of(F.col(text_col)), p.matches)
+        hit = F.exists(lines_of(text), lambda x: selected(p, x, invert))
     return df.where(~hit if without else hit).select(*id_cols)
 
 
@@ -311,12 +316,15 @@ def grep_hits(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], path
     return found.orderBy(F.split("path", "/"), "line").limit(max_results) if max_results else found
 
 
-def grep_stats(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], **options) -> DataFrame:
-    """One row: documents searched and matched, matching lines, matches, and bytes searched."""
-    p = compile_pattern(pattern, **options)
+def grep_stats(df: DataFrame, text_col: str, pattern: str | tuple[str, ...], id_cols: list[str], multiline: bool = False, multiline_dotall: bool = False, **options) -> DataFrame:
+    """One row: documents searched and matched, matching lines (of matches that may span lines, matches), matches, and bytes searched."""
+    p, whole_text = matcher(pattern, multiline, multiline_dotall, **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    each = df.select(F.octet_length(text).alias("bytes"), p.counts(lines_of(text)).alias("counts"))
-    each = each.select("bytes", F.size(F.filter("counts", lambda x: x > 0)).alias("hit"), F.aggregate("counts", F.lit(0), lambda a, x: a + x).alias("found"))
+    if whole_text:
+        each = df.select(F.octet_length(text).alias("bytes"), F.explode(F.array(F.size(matches_in(p, text)))).alias("hit")).withColumn("found", F.col("hit"))
+    else:
+        each = df.select(F.octet_length(text).alias("bytes"), p.counts(lines_of(text)).alias("counts"))
+        each = each.select("bytes", F.size(F.filter("counts", lambda x: x > 0)).alias("hit"), F.aggregate("counts", F.lit(0), lambda a, x: a + x).alias("found"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return each.agg(F.count(F.lit(1)).alias("searched"), total((F.col("hit") > 0).cast("long")).alias("matched"), total("hit").alias("matched_lines"), total("found").alias("matches"), total("bytes").alias("bytes_searched"))
 

@@ -83,6 +83,8 @@ SELECT doc_id, line_number, byte_offset, CASE WHEN tail THEN 1 ELSE strlen(text)
   SELECT *, unnest(CASE WHEN tail THEN [{{'s': 0::BIGINT, 'e': 1::BIGINT, 'c': true}}] ELSE [] END || CASE WHEN head THEN [{{'s': strlen(text) - 1, 'e': strlen(text), 'c': false}}] ELSE [] END) AS x FROM o)""")
 register("grep_multiline_context", lambda s, d: grep.grep(cut_lines(s, d), "text", r"e\n[A-Z]", ["doc_id"], multiline=True, before=1), f"WITH {CUT}, {TWO} SELECT doc_id, CASE WHEN hit THEN 'match' ELSE 'context' END AS kind, line_number, text FROM (SELECT *, head OR tail AS hit, lead(head OR tail, 1, false) OVER (PARTITION BY doc_id ORDER BY line_number) AS next FROM t) WHERE hit OR next")
 register("grep_multiline_invert", lambda s, d: grep.grep(cut_lines(s, d), "text", r"e\n[A-Z]", ["doc_id"], multiline=True, invert=True), f"WITH {CUT}, {TWO} SELECT doc_id, 'match' AS kind, line_number, text FROM t WHERE NOT head AND NOT tail")
+register("grep_multiline_files", lambda s, d: grep.grep_documents(cut_lines(s, d), "text", r"e\n[A-D]", ["doc_id"], multiline=True, without=True), "SELECT doc_id FROM documents WHERE NOT regexp_matches(replace(text, '. ', chr(10)), 'e\n[A-D]')")
+register("grep_multiline_stats", lambda s, d: grep.grep_stats(cut_lines(s, d), "text", r"e\n[A-D]", ["doc_id"], multiline=True), "WITH m AS (SELECT strlen(replace(text, '. ', chr(10))) AS b, len(regexp_extract_all(replace(text, '. ', chr(10)), 'e\n[A-D]')) AS n FROM documents) SELECT count(*) AS searched, count(*) FILTER (WHERE n > 0) AS matched, CAST(sum(n) AS BIGINT) AS matched_lines, CAST(sum(n) AS BIGINT) AS matches, CAST(sum(b) AS BIGINT) AS bytes_searched FROM m")
 register("grep_multiline_by_line", lambda s, d: grep.grep_count(read(s, d, "documents"), "text", "th[aeiou]+n", ["doc_id"], multiline=True), f"WITH {LINES} SELECT doc_id, count(*) AS n FROM lines WHERE regexp_matches(text, 'th[aeiou]+n') GROUP BY doc_id")
 register("grep_multiline_dotall", lambda s, d: grep.grep_count(read(s, d, "documents"), "text", "en.[A-Z]", ["doc_id"], multiline=True, multiline_dotall=True), "SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '(?s)en.[A-Z]')) AS BIGINT) AS n FROM documents) WHERE n > 0")
 on_lines("grep_flags", r"(?i:DIE)\s(?-i:S)", r"regexp_matches(text, '(?i:die)[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]S')")
