@@ -123,3 +123,11 @@ def test_ranks_are_the_vocabulary(spark):
     assert t.fast is not None
     for r in spark.read.parquet(f"{SF}/documents.parquet").where(F.length("text") < 3000).select("text").collect():
         assert t.encode_a(f" {r['text']}").tolist() == encode_a(r["text"])
+
+
+def test_texts_on_which_the_quick_way_gives_up():
+    """Its pattern needs a stack as deep as a run of white space is long; the file's own library doesn't."""
+    t = token_alignment.tokenizers(token_alignment.Pair())
+    with pytest.raises(ValueError):
+        t.fast.encode_to_numpy(" " * 3_000_000, allowed_special=set(), disallowed_special=())
+    assert len(t.encode_a(" " * 3_000_000)) == 3_000_000
