@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    out = cut(warc.archive_pages(table(spark, sf_dir, "pages"), folder))
+    fs, root = warc.store(folder)
+    if fs.get_file_info(root).type == FileType.Directory:  # without pages there is none
+        fs.delete_dir(root)  # the query's archives are read; who wants to keep them gives archive_pages a folder of their own
+    return out
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
