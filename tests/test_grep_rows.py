@@ -4,12 +4,14 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions.arrays import cut_text, grouped, highest, running
-from textquarry.functions.pattern import compile_pattern
+from textquarry.functions.pattern import compile_pattern, spans_in_parts
 from textquarry.operators.grep import grep, grep_count, grep_documents, grep_stats, only_matching
+from textquarry.plans.queries import QUERIES
 
 
 def plain(pattern, text, invert=False, before=0, after=0, max_count=None):
@@ -92,6 +94,32 @@ def test_any_character_may_stand_in_a_text(spark, pattern):
         assert got[i]["before"] == (t.encode()[: want[0][0]].decode() if want else None)
 
 
+def test_spans_are_summed_over_batches(spark):
+    """Once for all rows of a batch, not by a fold in each row, whose steps copy what they have."""
+    plan = QUERIES["grep_spans_empty"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("regexp_extract_all(") == 1 and plan.count("aggregate(") == 1
+    texts = ["ab cd", None, "", "é12é", " ab", "ab"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    want = {"ab cd": [(0, 2), (3, 5)], None: None, "": [(0, 0)], "é12é": [(0, 0), (2, 2), (3, 3), (4, 4), (6, 6)], " ab": [(0, 0), (1, 3)], "ab": [(0, 2)]}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {r["id"]: r["s"] and [tuple(s) for s in r["s"]] for r in docs.select("id", compile_pattern("[a-z]*").spans(F.col("t")).alias("s")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [got[i] for i in range(len(texts))] == [want[t] for t in texts]
+
+
+def test_spans_in_parts_of_a_batch():
+    found = pa.array([["ab", "", "cd", ""], None, [], [""], ["x"]] * 3, pa.list_(pa.string()))
+    pieces = pa.array([["", "", " ", "", ""], None, ["é"], [""], ["é", ""]] * 3, pa.list_(pa.string()))
+    want = [[(0, 2), (3, 5)], None, [], [(0, 0)], [(2, 3)]] * 3
+    for most in (1, 2, 5, 1000):
+        for a in (0, 2):
+            got = spans_in_parts(pieces[a:], found[a:], True, most).to_pylist()
+            assert [x if x is None else [(s["start"], s["end"]) for s in x] for x in got] == want[a:]
+    assert len(spans_in_parts(pieces[:0], found[:0], True)) == 0
+
+
 def test_very_many_lines(spark):
     """100 000 lines in one text: each way of asking takes a few seconds, as its work is in proportion to the lines."""
     lines = [f"line {i} {'hit' if i % 7 == 0 else 'miss'}" for i in range(100_000)]

@@ -11,7 +11,10 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
@@ -20,7 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .ambiguity import ambiguous
-from .arrays import let, running
+from .arrays import let
 
 # The Unicode classes behind \d, \w and \s.
 DIGIT = r"\p{Nd}"
@@ -49,6 +52,8 @@ POSIX = {"alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x{0}-\x{7f}", "bla
 NO_SCRIPTS = ("unknown", "zzzz", "hrkt", "katakana or hiragana")
 #: A pattern with its repeats written out may be so long.
 MOST_SIZE = 1 << 22
+#: Matches whose offsets are worked out at once, but for those of a single row.
+MOST_MATCHES = 1 << 18
 
 
 class PatternError(ValueError):
@@ -562,13 +567,47 @@ class Pattern:
         return let(F.split(col, self.java, 2), lambda p: F.when(F.size(p) == 2, F.element_at(p, 1)))
 
     def spans(self, col: Column) -> Column:
-        """array<struct<start, end>> of byte offsets."""
+        """array<struct<start, end>> of byte offsets: of what pairs says, the sums over whole batches of rows at once."""
+        empty = self.empty and not self.risky  # what is searched in Python comes without the empty ones, each with its piece
 
-        def of(p: Column) -> Column:
-            ends = F.transform(p, lambda x: (F.octet_length(x["gap"]) + F.octet_length(x["match"])).cast("long"))
-            return F.zip_with(p, running(ends), lambda x, at: F.struct((at + F.octet_length(x["gap"])).cast("int").alias("start"), (at + F.octet_length(x["gap"]) + F.octet_length(x["match"])).cast("int").alias("end")))
+        @F.arrow_udf("array<struct<start:int,end:int>>")
+        def offsets(pieces: pa.Array, found: pa.Array) -> pa.Array:
+            return spans_in_parts(pieces, found, empty)
 
-        return let(self.pairs(col), of)
+        if not self.risky:
+            return offsets(F.split(col, self.java, -1), F.regexp_extract_all(col, F.lit(self.java), F.lit(0)))
+        each = self.searched_pairs(col)
+        return offsets(F.transform(each, lambda x: x["gap"]), F.transform(each, lambda x: x["match"]))
+
+
+def spans_in_parts(pieces: pa.Array, found: pa.Array, empty: bool, most: int = MOST_MATCHES) -> pa.Array:
+    """The same as spans_of, for some rows after the other, as a batch of long lines has very many matches."""
+    part = np.cumsum(counts_of(found)) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(found)]
+    return pa.concat_arrays([spans_of(pieces[a:b], found[a:b], empty) for a, b in zip(cuts, cuts[1:])])
+
+
+def counts_of(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def spans_of(pieces: pa.Array, found: pa.Array, empty: bool) -> pa.Array:
+    """Spans of the matches of each row, given the pieces between them; if they may be empty, without empty ones that touch one.
+
+    The first match of a row has no piece where there are as many pieces as matches and it is empty.
+    """
+    wide = lambda x: pc.binary_length(x.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, m, match, piece = counts_of(found), counts_of(pieces), wide(found), wide(pieces)
+    first = np.cumsum(n) - n
+    nth = np.arange(len(match)) - np.repeat(first, n)
+    own = nth - np.repeat((m == n) & empty, n)  # the piece before each match, in its row
+    gap = np.where(own >= 0, np.append(piece, 0)[np.maximum(np.repeat(np.cumsum(m) - m, n) + own, 0)], 0)
+    end = np.cumsum(gap + match)
+    end -= np.repeat(np.append(0, end)[first], n)
+    keep = (match > 0) | (gap > 0) | (nth == 0) if empty else np.ones(len(match), bool)
+    counts = np.append(0, np.cumsum(keep))[np.append(first, len(match))]
+    spans = pa.StructArray.from_arrays([pa.array((end - match)[keep].astype(np.int32)), pa.array(end[keep].astype(np.int32))], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), spans, mask=found.is_null())
 
 
 def check(java: str) -> None:
